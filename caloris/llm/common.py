@@ -11,9 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from caloris.session import ship_package
+
 #: Code points handled at once by the vectorised text code; bounds its memory to about 60 times this many bytes.
 CHUNK_CHARS = 2 << 20
 
+#: Most ids that are broadcast (8 bytes each, 40 as rows).
+BROADCAST_IDS = 1 << 20
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
 _powers: list[np.ndarray] = []
@@ -44,6 +49,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:
     """mapInArrow where fn yields dicts of columns (numpy arrays, lists or arrow arrays)."""
     names = [f.split()[0] for f in _fields(schema)]
+    ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in fn(batches):
@@ -141,6 +147,16 @@ def lower_ascii(points: np.ndarray) -> np.ndarray:
     return points + np.where((points >= 65) & (points <= 90), np.uint32(32), np.uint32(0))
 
 
+def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the ids in `dropped` (one column); broadcast only if they are few, else joined by a shuffle.
+
+    A null id is never dropped; repeated rows of an id stay or go together.
+    """
+    gone = dropped.toDF("_gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+
+
 def crc_of_id(column: str = "doc_id") -> F.Column:
     """crc32 of an id's decimal text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).cast("binary"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import map_arrow, mix64, staged
+from .common import drop_ids, map_arrow, mix64, staged
 
 #: A memtable is flushed at so many rows or bytes of kept text.
 MEMTABLE_ROWS, MEMTABLE_BYTES = 200_000, 48 << 20
@@ -159,8 +159,9 @@ def exact_dedup(docs: DataFrame, *, keep: str = "max", id_col: str = "doc_id", t
     return out.select(id_col, "keep_id", "group_size", (F.col("winner") & (F.col("at") == F.col("best_at"))).alias("kept"), "text_sha256")
 
 
-def survivors(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns; ids must be unique."""
-    id_col = str(options.get("id_col", "doc_id"))
-    kept = exact_dedup(docs, **options).where("kept").select(F.col(id_col).alias("_kept_id"))  # type: ignore[arg-type]
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
+def survivors(docs: DataFrame, *, keep: str = "max", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns. Rows with null ids stay; of several rows with one
+    id and one text all stay if one does."""
+    found = staged(exact_dedup(docs, keep=keep, id_col=id_col, text_col=text_col).select(id_col, "kept"))
+    ids = found.where(f"NOT kept AND `{id_col}` IS NOT NULL").select(id_col)
+    return drop_ids(docs, ids.join(found.where("kept").select(id_col), id_col, "left_anti"), id_col)

@@ -7,12 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, packing
-from .common import read
+from pyspark.sql import functions as F
+
+from . import bpe, exact, langid, packing, toxicity
+from .common import crc_of_id, read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels outside the held-out third."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), crc_of_id() % 3 != 1)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (crc_of_id() % 3 == 1).alias("held_out"), "score", "predicted")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies in documents; the largest doc_id of each group stays."""
     return exact.exact_dedup(read(spark, sf_dir, "documents"), keep="max")
@@ -23,12 +33,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end_id=1, with_ids=False)
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from lang outside the held-out fifth."""
+    docs = read(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs, crc_of_id() % 5 != 0))
+    return found.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded, as digests."""
     return bpe.digests(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op4_packing, op9_bpe_roundtrip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_exact_dedup, op4_packing, op6_langid, op9_bpe_roundtrip)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": """
