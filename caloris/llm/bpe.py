@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches_of, code_points, expand, map_arrow, pick, span_hashes
+from .common import batches_of, code_points, distinct_spans, expand, map_arrow, pick
 
 #: Distinct pieces of at most 64 bytes that a worker remembers; it forgets them once fewer than 0.3 of a chunk's are known.
 MEMO_PIECES = 150_000
@@ -282,16 +282,11 @@ class ByteBpe:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(points))
-        hashes = span_hashes(points, starts, ends)
-        _, chosen, kind = np.unique(hashes, return_index=True, return_inverse=True)
-        lengths = ends - starts
-        same = lengths[chosen][kind] == lengths
-        if not same.all() or not np.array_equal(points[expand(starts[chosen][kind], lengths)], points):  # a hash collision
-            chosen = kind = np.arange(len(starts))
+        chosen, kind, hashes = distinct_spans(points, starts, ends)
         data = np.frombuffer("".join(texts).encode("utf-8", "replace"), np.uint8)
         at = np.zeros(len(points) + 1, np.int64)
         np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), out=at[1:])
-        flat, sizes = self.merge_known(hashes[chosen], data, at[starts[chosen]], at[ends[chosen]] - at[starts[chosen]])
+        flat, sizes = self.merge_known(hashes, data, at[starts[chosen]], at[ends[chosen]] - at[starts[chosen]])
         first = np.cumsum(sizes) - sizes
         per_piece = sizes[kind]
         ids = flat[expand(first[kind], per_piece)]

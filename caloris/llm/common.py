@@ -126,6 +126,20 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
 
 
+def distinct_spans(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One representative of each distinct span, each span's representative, and the representatives' hashes.
+
+    Spans are told apart by hash and then compared with their representative; if two ever collide, each span stands for
+    itself, which callers must allow for.
+    """
+    hashes = span_hashes(points, starts, ends)
+    _, chosen, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    lengths = ends - starts
+    if not np.array_equal(lengths[chosen][kind], lengths) or not np.array_equal(points[expand(starts[chosen][kind], lengths)], points[expand(starts, lengths)]):
+        chosen = kind = np.arange(len(starts))
+    return chosen, kind, hashes[chosen]
+
+
 #: What the corpus contracts call white space: space and U+0009 to U+000D.
 def is_blank(points: np.ndarray) -> np.ndarray:
     return (points == 32) | ((points >= 9) & (points <= 13))

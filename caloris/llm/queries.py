@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, packing, topk, toxicity, urls
+from . import bpe, exact, langid, lm, packing, topk, toxicity, urls
 from .common import crc_of_id, read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end_id=1, with_ids=False)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of all but the held-out seventh."""
+    docs = read(spark, sf_dir, "documents")
+    scored = lm.score(docs, *lm.train(docs, crc_of_id() % 7 != 2))
+    return scored.withColumn("held_out", crc_of_id() % 7 == 2)
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from lang outside the held-out fifth."""
     docs = read(spark, sf_dir, "documents")
@@ -59,7 +66,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_exact_dedup, op4_packing, op6_langid, op7_url_filters, op9_bpe_roundtrip, op10_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_exact_dedup, op4_packing, op5_lm_scoring, op6_langid, op7_url_filters, op9_bpe_roundtrip, op10_exact_topk)}
 
 ORACLES: dict[str, str] = {
     "op7_url_filters": r"""
