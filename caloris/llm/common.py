@@ -178,3 +178,41 @@ def crc_of_id(column: str = "doc_id") -> F.Column:
 
 def crc_ids(ids: Iterable[int | None]) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) for i in ids], np.int64)
+
+
+class Bloom:
+    """A Bloom filter of binary keys (16 bytes or more, already random), of bounded size: too small for its keys it only
+    lets more through."""
+
+    BITS_PER_KEY, MAX_BITS, PROBES = 16, 1 << 26, 4
+
+    def __init__(self, words: np.ndarray, log2: int) -> None:
+        self.words, self.log2 = words, log2
+
+    @staticmethod
+    def _bits(keys: Sequence[bytes], log2: int) -> np.ndarray:
+        head = np.frombuffer(b"".join(k[:8] for k in keys), "<u8")
+        with np.errstate(over="ignore"):
+            return (mix64(head[:, None] + np.arange(Bloom.PROBES, dtype=np.uint64) * _MIX) >> np.uint64(64 - log2)).astype(np.int64)
+
+    @classmethod
+    def of(cls, keys: DataFrame, column: str) -> Bloom:
+        """Built where the keys are; only the OR of its words reaches the driver, MAX_BITS at most."""
+        n = keys.count()
+        log2 = max(10, min(cls.MAX_BITS.bit_length() - 1, (max(1, n) * cls.BITS_PER_KEY).bit_length()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for batch in batches:
+                bits = np.unique(cls._bits(batch.column(0).to_pylist(), log2))
+                word, first = np.unique(bits >> 6, return_index=True)
+                values = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (bits & 63).astype(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
+                yield {"word": word, "bits": values.view(np.int64)}
+
+        rows = map_arrow(keys.select(column), run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+        words = np.zeros(1 << (log2 - 6), np.uint64)
+        words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+        return cls(words, log2)
+
+    def test(self, keys: Sequence[bytes]) -> np.ndarray:
+        bits = self._bits(keys, self.log2)
+        return ((self.words[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)

@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, lm, packing, topk, toxicity, urls
+from . import bpe, exact, langid, lm, minhash, packing, topk, toxicity, urls
 from .common import crc_of_id, read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicate documents: five-word shingles, similarity 0.8 or more."""
+    return minhash.near_dedup(read(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from labels outside the held-out third."""
     docs = read(spark, sf_dir, "documents")
@@ -66,7 +71,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_exact_dedup, op4_packing, op5_lm_scoring, op6_langid, op7_url_filters, op9_bpe_roundtrip, op10_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_exact_dedup, op4_packing, op5_lm_scoring, op6_langid, op7_url_filters, op9_bpe_roundtrip, op10_exact_topk)}
 
 ORACLES: dict[str, str] = {
     "op7_url_filters": r"""
