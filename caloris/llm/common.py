@@ -30,11 +30,28 @@ def staged(df: DataFrame) -> DataFrame:
     The session's setting is used where there is one; otherwise (tests, a laptop) a folder under the temp directory is
     set. Checkpoint files are removed by Spark's own cleaner once no plan refers to them.
     """
-    spark = df.sparkSession
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def keep_rows(docs: DataFrame, good: Callable[[list[str]], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows whose text is good, with all their columns: `good` maps texts (null as '') to booleans."""
+    ship_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in batches_of(batch, text_col):
+                yield batch.slice(first, len(texts)).filter(pa.array(good(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .bpe import _LETTER, _classes
-from .common import batches_of, code_points, map_arrow
+from .common import batches_of, code_points, keep_rows, map_arrow
 
 #: Sample for each language: so many labelled texts (those of lowest hash), a stretch of so many characters of each.
 SAMPLE_TEXTS, SAMPLE_CHARS = 60, 300
@@ -105,6 +105,17 @@ class CrossParser:
         return bits, letters
 
 
+    def best(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each text's language (-1: undetermined) and its margin."""
+        bits, letters = self.parse(texts)
+        score = np.ones(len(texts))
+        if len(self.languages) > 1:
+            two = np.sort(bits, axis=1)[:, :2]
+            score = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)
+        none = (letters == 0) | (not self.languages)
+        return np.where(none, -1, bits.argmin(axis=1) if self.languages else -1), np.where(none, 0.0, np.clip(score, 0, 1))
+
+
 def _automaton(seq: list[int]) -> np.ndarray:
     """Suffix automaton of seq as a flat table: [state * ALPHABET + class] -> 2 * ALPHABET * next + (1 if a phrase ends)."""
     edges: list[dict[int, int]] = [{}]
@@ -168,15 +179,20 @@ def identify(docs: DataFrame, model: tuple[tuple[str, str], ...], *, id_col: str
         names = np.array([*parser.languages, UNDETERMINED], object)
         for batch in batches:
             for first, texts in batches_of(batch, "text"):
-                bits, letters = parser.parse(texts)
-                if len(parser.languages) > 1:
-                    two = np.sort(bits, axis=1)[:, :2]
-                    score = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)
-                else:
-                    score = np.ones(len(texts))
-                none = (letters == 0) | (not parser.languages)
-                best = np.where(none, -1, bits.argmin(axis=1) if parser.languages else -1)
-                yield {id_col: batch.column(0).slice(first, len(texts)), "lang_pred": pa.array(names[best].tolist(), pa.string()), "score": np.where(none, 0.0, np.clip(score, 0, 1))}
+                best, score = parser.best(texts)
+                yield {id_col: batch.column(0).slice(first, len(texts)), "lang_pred": pa.array(names[best].tolist(), pa.string()), "score": score}
 
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("text"))
     return map_arrow(rows, run, f"{id_col} {dict(docs.dtypes)[id_col]}, lang_pred string, score double")
+
+
+def known_rows(docs: DataFrame, model: tuple[tuple[str, str], ...], *, languages: tuple[str, ...] | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in one of `languages` (by default any language learnt)."""
+
+    def good(texts: list[str]) -> np.ndarray:
+        parser = _parser(model)
+        best, _ = parser.best(texts)
+        wanted = np.array([*(languages is None or x in languages for x in parser.languages), False])
+        return wanted[best]
+
+    return keep_rows(docs, good, text_col)

@@ -193,7 +193,8 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 1, t
                     "offset": got["offset"],
                 }
                 if with_ids:
-                    out["ids"] = pa.array([x.astype(np.int32) for x in cut], pa.list_(pa.int32()))
+                    flat = np.concatenate([*cut, np.zeros(0, "<u4")]).astype(np.int32)
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(got["length"])]).astype(np.int32)), pa.array(flat))
                 yield out
 
     rows = placed.select("id", "queue", (F.col("base") + F.col("before")).alias("first"), "n", "ids", "wide")

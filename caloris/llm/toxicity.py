@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bpe import _LETTER, _classes
-from .common import batches_of, code_points, map_arrow, span_hashes
+from .common import batches_of, code_points, keep_rows, map_arrow, span_hashes
 
 #: Labelled texts in the fitting sample: of each class at most so many, those of lowest hash.
 SAMPLE_PER_CLASS = 5000
@@ -157,6 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, *, label_col: str =
     return fit(rows["text"].tolist(), rows["_label"].tolist(), terms=terms)
 
 
+def scores(texts: Sequence[str], model: Model) -> np.ndarray:
+    row, col = _matrix(texts, model.features)
+    return 1 / (1 + np.exp(-np.clip(np.bincount(row, model.weights[col], len(texts)) + model.bias, -500, 500)))
+
+
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text: id, score (0 to 1), predicted (1 from the threshold on).
 
@@ -169,9 +174,14 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.7, id_col: str
         m = shared.value
         for batch in batches:
             for first, texts in batches_of(batch, "text"):
-                row, col = _matrix(texts, m.features)
-                value = 1 / (1 + np.exp(-np.clip(np.bincount(row, m.weights[col], len(texts)) + m.bias, -500, 500)))
+                value = scores(texts, m)
                 yield {id_col: batch.column(0).slice(first, len(texts)), "score": value, "predicted": (value >= threshold).astype(np.int32)}
 
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("text"))
     return map_arrow(rows, run, f"{id_col} {dict(docs.dtypes)[id_col]}, score double, predicted int")
+
+
+def clean_rows(docs: DataFrame, model: Model, *, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, lambda texts: scores(texts, shared.value) < threshold, text_col)
