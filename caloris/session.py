@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +24,17 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent).as_posix())
     context.addPyFile(archive)
     _shipped.add(context.applicationId)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder (spark.checkpoint.dir), or one under the temp directory where none is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    return context.getCheckpointDir()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint, which survives the loss of executors."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
