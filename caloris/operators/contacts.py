@@ -19,6 +19,10 @@ def _box(prefix: str = "") -> tuple[list[Column], list[Column]]:
     return low, high
 
 
+def _corners(prefix: str = "") -> tuple[list[Column], list[Column]]:
+    return [F.col(f"{prefix}low_{a}") for a in AXES], [F.col(f"{prefix}high_{a}") for a in AXES]
+
+
 def bucket_size(cells: DataFrame, gap_mm: float) -> float:
     """Median of the cells' shortest edges plus the gap."""
     m = cells.agg(F.percentile(F.least("sx", "sy", "sz"), F.lit(0.5)).alias("m")).first()["m"]
@@ -33,6 +37,9 @@ def candidate_pairs(cells: DataFrame, gap_mm: float = 0.0) -> DataFrame:
     """
     size, pad = bucket_size(cells, gap_mm), gap_mm / 2 + P.TOUCH_MM
     low, high = _box()
+    # corners are columns of their own, so that what follows the shuffle stays small enough to compile
+    cells = cells.withColumns({f"low_{a}": x for a, x in zip(AXES, low, strict=True)} | {f"high_{a}": x for a, x in zip(AXES, high, strict=True)})
+    low, high = _corners()
     spans = [F.sequence(F.floor((lo - pad) / size).cast("long"), F.floor((hi + pad) / size).cast("long")) for lo, hi in zip(low, high, strict=True)]
     rows = cells
     for a, s in zip(AXES, spans, strict=True):
@@ -40,7 +47,7 @@ def candidate_pairs(cells: DataFrame, gap_mm: float = 0.0) -> DataFrame:
     left = rows.select(*[F.col(c).alias(f"a_{c}") for c in cells.columns], *[f"k{a}" for a in AXES])
     right = rows.select(*[F.col(c).alias(f"b_{c}") for c in cells.columns], *[f"k{a}" for a in AXES])
     pairs = left.join(right, [f"k{a}" for a in AXES]).where("a_node_id < b_node_id")
-    (al, ah), (bl, bh) = _box("a_"), _box("b_")
+    (al, ah), (bl, bh) = _corners("a_"), _corners("b_")
     for k, a in enumerate(AXES):
         corner = F.greatest(al[k], bl[k]) - pad
         pairs = pairs.where((corner <= F.least(ah[k], bh[k]) + pad) & (F.floor(corner / size).cast("long") == F.col(f"k{a}")))
@@ -53,7 +60,7 @@ def _distance() -> Column:
 
 def shared_faces(pairs: DataFrame) -> DataFrame:
     """Pairs that touch along exactly one axis and overlap along the others: area_mm2, distance_mm."""
-    (al, ah), (bl, bh) = _box("a_"), _box("b_")
+    (al, ah), (bl, bh) = _corners("a_"), _corners("b_")
     g, o = P.gaps(al, ah, bl, bh), P.overlaps(al, ah, bl, bh)
     touch = [F.abs(x) <= P.TOUCH_MM for x in g]
     apart = [(x > 0) & ~t for x, t in zip(g, touch, strict=True)]
@@ -65,10 +72,11 @@ def shared_faces(pairs: DataFrame) -> DataFrame:
 
 def near_faces(pairs: DataFrame, gap_mm: float) -> DataFrame:
     """Pairs at most gap_mm apart along one axis at most, with positive overlap along the other two."""
-    (al, ah), (bl, bh) = _box("a_"), _box("b_")
+    (al, ah), (bl, bh) = _corners("a_"), _corners("b_")
     named = {f"_g{n}": F.greatest(x, F.lit(0.0)) for n, x in enumerate(P.gaps(al, ah, bl, bh))} | {f"_o{n}": x for n, x in enumerate(P.overlaps(al, ah, bl, bh))}
-    rows = pairs.withColumns(named)
-    pos, o = [F.col(f"_g{n}") for n in range(3)], [F.col(f"_o{n}") for n in range(3)]
+    # a generator of one row computes gaps and overlaps once; inlined into each use they would be too much to compile
+    rows = pairs.withColumn("_m", F.explode(F.array(F.struct(*[x.alias(n) for n, x in named.items()]))))
+    pos, o = [F.col(f"_m._g{n}") for n in range(3)], [F.col(f"_m._o{n}") for n in range(3)]
     count = lambda flags: flags[0].cast("int") + flags[1].cast("int") + flags[2].cast("int")
     rows = rows.withColumn("_apart", count([x > P.TOUCH_MM for x in pos])).withColumn("_touch", count([F.abs(x) <= P.TOUCH_MM for x in o]))
     rows = rows.where((P.norm(pos) <= gap_mm) & ((F.col("_apart") == 1) | ((F.col("_apart") == 0) & (F.col("_touch") == 1))))
@@ -80,7 +88,7 @@ def near_faces(pairs: DataFrame, gap_mm: float) -> DataFrame:
     p = F.when(F.col("_face") == 0, o[1]).otherwise(o[0])
     q = F.when(F.col("_face") == 2, o[1]).otherwise(o[2])
     out = rows.where((p > 0) & (q > 0)).withColumns({"area_mm2": p * q, "gap_mm": P.norm(pos), "distance_mm": _distance()})
-    return out.drop(*named, "_apart", "_touch", "_face")
+    return out.drop("_m", "_apart", "_touch", "_face")
 
 
 def typed_edges(contacts: DataFrame, *, near: bool = False, interface: float = P.INTERFACE_W_M2K) -> DataFrame:
@@ -152,6 +160,6 @@ def coarse_neighbours(cells: DataFrame, ratio: float) -> DataFrame:
 
 def overlapping_boxes(boxes: DataFrame) -> DataFrame:
     """Unordered pairs of boxes with a common inside."""
-    (al, ah), (bl, bh) = _box("a_"), _box("b_")
+    (al, ah), (bl, bh) = _corners("a_"), _corners("b_")
     o = P.overlaps(al, ah, bl, bh)
     return candidate_pairs(boxes, 0.0).where((o[0] > 0) & (o[1] > 0) & (o[2] > 0)).select(F.col("a_node_id").alias("node_i"), F.col("b_node_id").alias("node_j"))
