@@ -37,8 +37,8 @@ def explicit_steps(state: DataFrame, edges: DataFrame, dt: float, steps: int, *,
     edges = staged(edges.select("node_i", "node_j", "g_w_k"))
     for n in range(1, steps + 1):
         for _ in range(substeps):
-            state = rates(state, edges, radiation).withColumn("temperature_k", F.col("temperature_k") + F.col("rate_k_s") * (dt / substeps)).drop("rate_k_s")
-        state = staged(state)
+            # a step reads its state three times, so every step is cut off from the one before
+            state = staged(rates(state, edges, radiation).withColumn("temperature_k", F.col("temperature_k") + F.col("rate_k_s") * (dt / substeps)).drop("rate_k_s"))
         out = out.unionByName(state.select(F.lit(n).alias("step"), "node_id", "temperature_k"))
     return out
 
