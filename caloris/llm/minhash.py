@@ -31,7 +31,7 @@ REGISTERS, ROWS = 96, 4
 #: Pairs of a lower estimate are not verified: 4.5 standard deviations below the threshold.
 LEAST_ESTIMATE = 0.62
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,35 +166,58 @@ def verify(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a binary, b binary")
 
 
-def _across(members: DataFrame, least: float) -> DataFrame:
-    """Pairs of a bucket's members in different components whose signatures agree enough.
+def _across(members: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between a bucket's members in different components: enough to join what belongs together.
 
-    members: band, key, brief, component; only buckets that are not all connected. Members are dealt into blocks of about
-    BLOCK; each pair of blocks is one group, so a group's size is bounded.
+    members: band, key, component; only of buckets that are not all connected. Buckets of the same members count once.
+    Members are dealt into blocks of about BLOCK texts or BLOCK_BYTES of shingles and each pair of blocks is one group, so
+    a group's size is bounded. Inside, shared shingles of all texts are counted by a matrix product, and one link is given
+    for each pair of components that has one.
     """
-    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    sets = members.groupBy("band").agg(F.count("*").alias("n"), *[F.sum(F.xxhash64("key", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)])
+    once = sets.groupBy("n", "h0", "h1").agg(F.min("band").alias("band")).select("band")
+    rows = members.join(once, "band").join(shingles, "key")
+    sizes = rows.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    placed = placed.withColumn("pair", F.explode(every)).select("band", "pair.i", "pair.j", "block", "key", "brief", "component")
+    placed = placed.withColumn("pair", F.explode(every)).select("band", "pair.i", "pair.j", "block", "key", "shingles", "component")
 
     def compare(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        keys, comps = table["key"].to_pylist(), table["component"].to_pylist()
-        label = np.unique(np.array([c.hex() for c in comps]), return_inverse=True)[1]
-        brief = np.frombuffer(b"".join(table["brief"].to_pylist()), "<u2").reshape(len(keys), -1)
-        block = table["block"].to_numpy()
-        a, b = [], []
-        for r in np.flatnonzero(block == i).tolist():
-            other = np.flatnonzero((block == j) & (label != label[r])) if i != j else r + 1 + np.flatnonzero(label[r + 1 :] != label[r])
-            hit = other[(brief[other] == brief[r]).mean(axis=1) >= least] if len(other) else other
-            for s in hit.tolist():
-                a.append(min(keys[r], keys[s]))
-                b.append(max(keys[r], keys[s]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        keys = table["key"].to_pylist()
+        label = np.unique(np.array([c.hex() for c in table["component"].to_pylist()]), return_inverse=True)[1]
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        links = linked_components(sets, label, table["block"].to_numpy(), threshold)
+        return pa.table({"a": pa.array([min(keys[r], keys[s]) for r, s in links], pa.binary()), "b": pa.array([max(keys[r], keys[s]) for r, s in links], pa.binary())})
 
     return placed.groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
+def linked_components(sets: list[np.ndarray], label: np.ndarray, block: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """One pair of similar sets for each pair of labels that has any; within one block, or across two where there are two."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], float)
+    values, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(n), sizes.astype(np.int64))
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((n, n), np.float32)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, (k, k + 2048))
+        part = np.zeros((n, 2048), np.float32)
+        part[owner[a:b], column[a:b] - k] = 1
+        both += part @ part.T
+    similar = both >= threshold * (sizes[:, None] + sizes[None, :] - both)
+    similar &= (label[:, None] != label[None, :]) & (both > 0)
+    if len(np.unique(block)) > 1:
+        similar &= block[:, None] != block[None, :]
+    r, s = np.nonzero(np.triu(similar, 1))
+    low, high = np.minimum(label[r], label[s]), np.maximum(label[r], label[s])
+    _, first = np.unique(low * (n + 1) + high, return_index=True)
+    return list(zip(r[first].tolist(), s[first].tolist(), strict=True))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node) of every node in the links (a, b), by large-star and small-star rounds."""
     edges = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
@@ -237,9 +260,9 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "
     links = staged(verify(pairs, shingles, threshold))
     labels = components(links)
     # what the leaders have not connected
-    known = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "brief", F.coalesce("component", "key").alias("component"))
+    known = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("component"))
     apart = known.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    more = staged(verify(_across(known.join(apart, "band"), LEAST_ESTIMATE).join(pairs, ["a", "b"], "left_anti"), shingles, threshold))
+    more = staged(verify(_across(known.join(apart, "band"), shingles, threshold), shingles, threshold))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     keys = signed.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")).join(labels.withColumnRenamed("node", "key"), "key", "left")
