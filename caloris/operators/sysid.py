@@ -39,7 +39,7 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     size = F.sqrt(F.sum(F.col("a") * F.col("a")))
     return align(a, b).agg(
         F.count("*").alias("cells"), F.max(F.abs(d)).alias("max_abs"), F.avg(F.abs(d)).alias("mean_abs"),
-        F.when(size > 0, F.sqrt(F.sum(d * d)) / size).alias("relative"), F.nanvl(F.corr("a", "b"), F.lit(None).cast("double")).alias("correlation"),
+        F.when(size > 0, F.sqrt(F.sum(d * d)) / size).alias("relative"), (F.covar_pop("a", "b") / F.nullif(F.stddev_pop("a") * F.stddev_pop("b"), F.lit(0.0))).alias("correlation"),
     )
 
 
