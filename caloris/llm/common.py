@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -11,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caloris.session import ship_package
+from caloris.session import checkpoint_dir, ship_package, staged  # noqa: F401  staging for all operators
 
 #: Code points handled at once by the vectorised text code; bounds its memory to about 60 times this many bytes.
 CHUNK_CHARS = 2 << 20
@@ -24,24 +22,6 @@ _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
 _powers: list[np.ndarray] = []
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder named by spark.checkpoint.dir.
-
-    The session's setting is used where there is one; otherwise (tests, a laptop) a folder under the temp directory is
-    set. Checkpoint files are removed by Spark's own cleaner once no plan refers to them.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return sc.getCheckpointDir()
-
-
 def keep_rows(docs: DataFrame, good: Callable[[list[str]], np.ndarray], text_col: str = "text") -> DataFrame:
     """The rows whose text is good, with all their columns: `good` maps texts (null as '') to booleans."""
     ship_package(docs.sparkSession)
