@@ -304,7 +304,7 @@ class ByteBpe:
             start = cut
         return [*out, text[start:]]
 
-    def encode(self, texts: list[str], limit: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
         """As encode_chunk, for any texts: added tokens in them get their ids, very long ones are cut at safe places."""
         parts, owner, special = [], [], {}
         for i, x in enumerate(texts):

@@ -177,8 +177,8 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 1, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         mixture = Mixture(totals, rates, capacity)
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                batch = whole.slice(k, 2000)
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
                 q, a, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
                 got = mixture.pieces(q, a, n)
                 ids = [np.frombuffer(x, "<u4" if w else "<u2").astype("<u4") for x, w in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
