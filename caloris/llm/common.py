@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -30,6 +32,7 @@ def keep_rows(docs: DataFrame, good: Callable[[list[str]], np.ndarray], text_col
         for batch in batches:
             for first, texts in batches_of(batch, text_col):
                 yield batch.slice(first, len(texts)).filter(pa.array(good(texts), pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -51,6 +54,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in fn(batches):
             yield pa.RecordBatch.from_arrays([x if isinstance(x := out[n], (pa.Array, pa.ChunkedArray)) else pa.array(x) for n in names], names=names)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -66,16 +70,30 @@ def _fields(schema: str) -> list[str]:
 
 
 def batches_of(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Runs of rows of at most `limit` characters (one row at least): first row, texts with null as ''."""
-    texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+    """Runs of rows of at most `limit` characters (one row at least): first row, texts with null as ''.
+
+    Texts become Python strings a few rows at a time, so a batch of long texts is not held twice.
+    """
+    column = batch.column(batch.schema.get_field_index(text))
+    run: list[str] = []
     start = size = 0
-    for i, x in enumerate(texts):
-        if i > start and size + len(x) > limit:
-            yield start, texts[start:i]
-            start, size = i, 0
-        size += len(x)
-    if start < len(texts):
-        yield start, texts[start:]
+    for at in range(0, len(column), 128):
+        for i, x in enumerate(column.slice(at, 128).to_pylist(), at):
+            x = x or ""
+            if run and size + len(x) > limit:
+                yield start, run
+                run, start, size = [], i, 0
+            run.append(x)
+            size += len(x)
+    if run:
+        yield start, run
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused and an executor's budget counts all of them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def code_points(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
