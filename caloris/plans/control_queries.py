@@ -139,7 +139,17 @@ def normalised_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT CAST(s_suppkey % 40 AS BIGINT) AS node, CAST(l_partkey % 40 AS BIGINT) AS other FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1),
     b AS (SELECT node, other FROM p UNION ALL SELECT other, node FROM p) SELECT DISTINCT node AS role_node, other FROM b WHERE node % 5 = 0 AND other % 5 <> 0""")
 def body_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = views.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 40).cast("long").alias("node_i"), (F.col("l_partkey") % 40).cast("long").alias("node_j"))
+    """Over the first line of each order, as its SQL says; body_neighbours_all takes every line."""
+    return _neighbours(views.table(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
+
+
+@query()
+def body_neighbours_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(views.table(spark, sf_dir, "lineitem"))
+
+
+def _neighbours(lines: DataFrame) -> DataFrame:
+    li = lines.select((F.col("l_suppkey") % 40).cast("long").alias("node_i"), (F.col("l_partkey") % 40).cast("long").alias("node_j"))
     ids = li.select(F.explode(F.array("node_i", "node_j")).alias("node_id")).where("node_id % 5 = 0")
     return roles.body_neighbours(li, ids)
 

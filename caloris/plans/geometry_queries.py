@@ -176,17 +176,20 @@ def octree_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One triangle beside every solid cell of the lowest layer."""
-    c = views.cells(spark, sf_dir).where("k = 0")
+    """One triangle beside every part's cell."""
+    c = views.cells(spark, sf_dir, None)
     corners = F.array(F.col("cx") - 3, F.col("cy") - 3, F.col("cz"), F.col("cx") + 3, F.col("cy") - 3, F.col("cz"), F.col("cx"), F.col("cy") + 3, F.col("cz") + 2.0)
     return c.select("component", corners.alias("tri"))
 
 
 @query()
 def surface_octree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaves of a surface octree over a layer of triangles, by level."""
-    root = spark.createDataFrame([("r", 0, 100.0, 100.0, 0.0, 320.0, 320.0, 320.0)], "cell_id string, level int, cx double, cy double, cz double, sx double, sy double, sz double")
-    leaves = octree.build(_triangles(spark, sf_dir), root, max_size_mm=20.0, max_depth=4)
+    """Leaves of surface octrees over all triangles, by level: one root of 320 mm for each 320 mm of height."""
+    tri = _triangles(spark, sf_dir)
+    high = tri.agg(F.max(F.greatest(*[F.col("tri")[n] for n in (2, 5, 8)]))).first()[0] or 0.0
+    stacked = spark.range(int((high + 160.0) // 320.0) + 1)
+    root = stacked.select(F.format_string("r%d-", "id").alias("cell_id"), F.lit(0).alias("level"), F.lit(100.0).alias("cx"), F.lit(100.0).alias("cy"), (F.col("id") * 320.0).alias("cz"), *[F.lit(320.0).alias(f"s{a}") for a in "xyz"])
+    leaves = octree.build(tri, root, max_size_mm=20.0, max_depth=4)
     return octree.histograms(leaves).where("level IS NOT NULL").select("level", "leaves", "solid")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from caloris.functions import physics as P
 from caloris.operators import graph, reports, simulate
@@ -36,11 +36,14 @@ def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def conn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The sparse cells, whose components are not trivial, and their grid edges."""
+def conn(spark: SparkSession, sf_dir: str, largest: int | None = 20) -> tuple[DataFrame, DataFrame]:
+    """The sparse cells, whose components are not trivial, and their grid edges; with largest None, those of the whole table.
+
+    The recursive SQL of the component queries is written for the sparse cells; their namesakes in _all take every row.
+    """
     from caloris.operators.contacts import grid_edges
 
-    cells = views.cells(spark, sf_dir, 20)
+    cells = views.cells(spark, sf_dir, largest)
     return cells, grid_edges(cells)
 
 
@@ -78,6 +81,11 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.numbered_components(graph.components(*conn(spark, sf_dir)))
 
 
+@query()
+def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.numbered_components(graph.components(*conn(spark, sf_dir, None)))
+
+
 @query(f"""{_CONN}, x AS (SELECT component_id, c.* FROM lab JOIN num USING (label) JOIN conn c USING (node_id)),
     pc AS (SELECT component_id, component, count(*) AS n, row_number() OVER (PARTITION BY component_id ORDER BY count(*) DESC, min(node_id)) AS r FROM x GROUP BY 1, 2),
     pm AS (SELECT component_id, material, count(*) AS n, row_number() OVER (PARTITION BY component_id ORDER BY count(*) DESC, min(node_id)) AS r FROM x GROUP BY 1, 2),
@@ -89,14 +97,22 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
       (SELECT string_agg(material || ':' || n, ',' ORDER BY r) FROM pm WHERE pm.component_id = x.component_id AND r <= 10) AS top_materials
     FROM x GROUP BY component_id""")
 def component_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, edges = conn(spark, sf_dir)
+    return _summary(*conn(spark, sf_dir))
+
+
+@query()
+def component_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(*conn(spark, sf_dir, None))
+
+
+def _summary(cells: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = cells.withColumns({"is_heater": F.col("node_id") % 11 == 0, "is_sensor": F.col("node_id") % 13 == 0})
     return graph.component_summary(nodes, graph.numbered_components(graph.components(cells, edges)))
 
 
-def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse cells as report nodes: warnings, confidence and roles follow from the id."""
-    cells, edges = conn(spark, sf_dir)
+def _reported(spark: SparkSession, sf_dir: str, largest: int | None = 20) -> DataFrame:
+    """Cells as report nodes: warnings, confidence and roles follow from the id."""
+    cells, edges = conn(spark, sf_dir, largest)
     labels = graph.components(cells, edges)
     big = labels.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select(F.col("label").alias("big"))
     rows = cells.join(graph.degrees(cells, edges).select("node_id", "degree"), "node_id").join(labels, "node_id").join(F.broadcast(big), F.col("label") == F.col("big"), "left")
@@ -123,6 +139,11 @@ def warning_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reported(spark, sf_dir).select("node_id", F.array_join(reports.warning_tags(8.0), ",").alias("tags"))
 
 
+@query()
+def warning_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reported(spark, sf_dir, None).select("node_id", F.array_join(reports.warning_tags(8.0), ",").alias("tags"))
+
+
 _TAGS = ("oversized_cell", "low_confidence", "isolated_node", "disconnected_component", "unpaired_heater", "unpaired_sensor", "node_warning", "invalid_heater", "invalid_sensor")
 
 
@@ -133,6 +154,11 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.quality(_reported(spark, sf_dir).withColumn("tags", reports.warning_tags(8.0)), errors=1, warnings=3)
 
 
+@query()
+def quality_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.quality(_reported(spark, sf_dir, None).withColumn("tags", reports.warning_tags(8.0)), errors=1, warnings=3)
+
+
 _BIG = """, big AS (SELECT *, CASE WHEN w LIKE '%Blocked by%' THEN 'blocked_by_max_leaf_cells_old_code' WHEN w LIKE '%max_depth or%' THEN 'blocked_by_max_depth_or_min_cell_size'
     WHEN w LIKE '%marker-only%' OR level < 0 THEN 'marker_node' WHEN w IS NOT NULL THEN 'node_warning' ELSE 'unknown' END AS reason FROM rep WHERE size_mm > 8)"""
 
@@ -142,11 +168,21 @@ def oversized_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.oversized_summary(reports.oversized(_reported(spark, sf_dir), 8.0))
 
 
+@query()
+def oversized_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.oversized_summary(reports.oversized(_reported(spark, sf_dir, None), 8.0))
+
+
 @query(f"{_REP} SELECT node_id, component, size_mm FROM rep ORDER BY size_mm DESC, node_id LIMIT 20")
 def largest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.largest(_reported(spark, sf_dir)).select("node_id", "component", "size_mm")
 
 
+@query()
+def largest_nodes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.largest(_reported(spark, sf_dir, None)).select("node_id", "component", "size_mm")
+
+
 @query(sql("cells grid", """, b AS (SELECT DISTINCT node FROM (SELECT node_i AS node, a.component <> c.component AS x FROM grid JOIN cells a ON a.node_id = node_i JOIN cells c ON c.node_id = node_j
       UNION ALL SELECT node_j, a.component <> c.component FROM grid JOIN cells a ON a.node_id = node_i JOIN cells c ON c.node_id = node_j) WHERE x)
     SELECT node_id FROM cells WHERE material = 'SMALL' AND (level BETWEEN 1 AND 3 OR node_id % 11 = 0) AND node_id IN (SELECT node FROM b)"""))
@@ -184,8 +220,18 @@ def dense_conductance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CAST(l_suppkey AS BIGINT) AS node_i, CAST(l_partkey AS BIGINT) AS node_j, CAST(count(*) AS BIGINT) AS edges FROM lineitem WHERE l_suppkey < l_partkey AND l_discount > 0 AND l_suppkey % 3 = 0 AND l_partkey % 3 = 0
     AND l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey IN (SELECT s_suppkey FROM supplier) GROUP BY ALL""")
 def edges_from_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Among every third supplier, as its SQL says; edges_from_matrix_all takes them all."""
+    return _matrix_edges(spark, sf_dir, F.col("node_id") % 3 == 0)
+
+
+@query()
+def edges_from_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matrix_edges(spark, sf_dir, F.lit(True))
+
+
+def _matrix_edges(spark: SparkSession, sf_dir: str, wanted: Column) -> DataFrame:
     li = views.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("row"), F.col("l_partkey").cast("long").alias("col"), F.col("l_discount").alias("value"))
-    nodes = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("node_id")).where("node_id % 3 = 0")
+    nodes = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("node_id")).where(wanted)
     return graph.edges_from_matrix(li, nodes).groupBy("node_i", "node_j").agg(F.count("*").alias("edges"))
 
 

@@ -70,9 +70,14 @@ def text_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT CAST(n_nationkey AS INTEGER) AS id, CASE n_nationkey WHEN 0 THEN '#000040' WHEN 24 THEN '#ffffff' END AS colour, 'name: ' || n_name || chr(10) || 'id: ' || n_nationkey AS tip FROM nation WHERE n_nationkey IN (0, 24)""")
 def colour_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two ends of the scale, whose colours the SQL names; colour_scale_all colours every nation."""
+    return colour_scale_all(spark, sf_dir).where("id IN (0, 24)")
+
+
+@query()
+def colour_scale_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey")
-    rows = views.table(spark, sf_dir, "nation").select(n.cast("int").alias("id"), X.hex_colour(n.cast("double"), F.lit(0.0), F.lit(24.0)).alias("colour"), X.tooltip(("name", F.col("n_name")), ("id", n), ("none", F.lit(None).cast("string"))).alias("tip"))
-    return rows.where("id IN (0, 24)")
+    return views.table(spark, sf_dir, "nation").select(n.cast("int").alias("id"), X.hex_colour(n.cast("double"), F.lit(0.0), F.lit(24.0)).alias("colour"), X.tooltip(("name", F.col("n_name")), ("id", n), ("none", F.lit(None).cast("string"))).alias("tip"))
 
 
 @query(sql("cells", "SELECT component, count(*) FILTER (lower(material) LIKE '%mall%') AS matches, CAST(min(CASE WHEN component = 'Brand#7' THEN node_id END) AS BIGINT) AS first_hit FROM cells GROUP BY component"))

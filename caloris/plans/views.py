@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cells(spark: SparkSession, sf_dir: str, largest: int = 45) -> DataFrame:
-    """A grid of cubes 10 mm apart, 20 by 20 by n, of 10 or 6 mm; parts of larger p_size are air."""
+def cells(spark: SparkSession, sf_dir: str, largest: int | None = 45) -> DataFrame:
+    """A grid of cubes 10 mm apart, 20 by 20 by n, of 10 or 6 mm; parts of larger p_size are air (None: every part is a cell)."""
     p = F.col("p_partkey").cast("long")
     i, j, k = p % 20, F.floor(p / 20).cast("long") % 20, F.floor(p / 400).cast("long")
     size = F.when(F.col("p_size") > 10, 10.0).otherwise(6.0)
-    rows = table(spark, sf_dir, "part").where(F.col("p_size") <= largest)
+    rows = table(spark, sf_dir, "part")
+    if largest is not None:
+        rows = rows.where(F.col("p_size") <= largest)
     return rows.select(
         p.alias("node_id"), i.alias("i"), j.alias("j"), k.alias("k"), *[(v * 10.0).alias(f"c{a}") for v, a in ((i, "x"), (j, "y"), (k, "z"))], *[size.alias(f"s{a}") for a in "xyz"],
         F.col("p_brand").alias("component"), F.col("p_type").alias("material"), (p % 5).cast("int").alias("level"), F.col("p_size").cast("int").alias("p_size"),
