@@ -2,7 +2,7 @@
 
 Nodes: node_id, capacity_j_k, temperature_k, power_w, radiation_w_k4 (e s A) and surroundings_k. Explicit steps are joins
 and sums. Implicit steps solve each connected component in a task of its own, as components do not influence each other;
-components beyond TASK_NODES are solved by conjugate gradients whose products are joins.
+components beyond TASK_NODES take the same steps to the same tolerance by conjugate gradients whose products are joins.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from caloris.operators.graph import both_ways, components
 from caloris.session import ship_package, staged
 
 TASK_NODES = 200_000
 GAMMA = 2 - math.sqrt(2)
+#: Residual of a solve relative to its right side, and the rounds after which it has failed.
+RTOL, MOST_ROUNDS = 1e-10, 1000
 
 
 def rates(state: DataFrame, edges: DataFrame, radiation: bool = True) -> DataFrame:
@@ -55,7 +57,7 @@ def substep_count(least_tau_s: float, dt: float, safety: float = 0.2, most: int
     return max(1, min(most, math.ceil(dt / (least_tau_s * safety)))) if least_tau_s > 0 else most
 
 
-def conjugate_gradient(matvec, b: np.ndarray, diagonal: np.ndarray, x: np.ndarray, rtol: float = 1e-10, most: int = 1000) -> np.ndarray:  # noqa: ANN001
+def conjugate_gradient(matvec, b: np.ndarray, diagonal: np.ndarray, x: np.ndarray, rtol: float = RTOL, most: int = MOST_ROUNDS) -> np.ndarray:  # noqa: ANN001
     """Jacobi-preconditioned conjugate gradients for a symmetric positive definite system."""
     r = b - matvec(x)
     z = r / diagonal
@@ -69,6 +71,8 @@ def conjugate_gradient(matvec, b: np.ndarray, diagonal: np.ndarray, x: np.ndarra
         z = r / diagonal
         new = float(r @ z)
         p, rz = z + (new / rz) * p, new
+    if rz != 0 and not np.linalg.norm(r) <= goal:
+        raise RuntimeError(f"conjugate gradients did not converge in {most} rounds")
     return x
 
 
@@ -122,31 +126,51 @@ def implicit_steps(state: DataFrame, edges: DataFrame, dt: float, steps: int = 1
     out = small.applyInArrow(solve, "node_id long, temperature_k double")
     if big.isEmpty():
         return out
-    return out.unionByName(_distributed(nodes.join(big, "label", "left_semi").drop("label"), links.join(big, "label", "left_semi").drop("label"), dt, steps))
-
-
-def _distributed(nodes: DataFrame, edges: DataFrame, dt: float, steps: int, rtol: float = 1e-8, most: int = 300) -> DataFrame:
-    """Backward Euler by conjugate gradients whose vectors are tables; two sums reach the driver in each round."""
-    total = both_ways(edges, "g_w_k").groupBy("node").agg(F.sum("g_w_k").alias("loss")).withColumnRenamed("node", "node_id")
-    base = staged(nodes.join(total, "node_id", "left").withColumn("d", F.col("c") + dt * F.coalesce("loss", F.lit(0.0))))
-
-    def times(v: DataFrame, name: str) -> DataFrame:
-        there = both_ways(edges, "g_w_k").join(v.select(F.col("node_id").alias("other"), F.col(name).alias("_x")), "other").groupBy("node").agg(F.sum(F.col("g_w_k") * F.col("_x")).alias("_n")).withColumnRenamed("node", "node_id")
-        return v.join(there, "node_id", "left").withColumn("q", F.col("d") * F.col(name) - dt * F.coalesce("_n", F.lit(0.0))).drop("_n")
-
-    for _ in range(steps):
-        v = times(base.withColumn("x", F.col("t")), "x")
-        v = staged(v.withColumn("r", F.col("c") * F.col("t") + dt * F.col("s") - F.col("q")).withColumn("p", F.col("r") / F.col("d")))
-        rz, size = v.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sqrt(F.sum(F.pow(F.col("c") * F.col("t"), F.lit(2))))).first()
+    return out.unionByName(_distributed(nodes.join(big, "label", "left_semi").drop("label"), links.join(big, "label", "left_semi").drop("label"), dt, steps, method))
+
+
+def _distributed(nodes: DataFrame, edges: DataFrame, dt: float, steps: int, method: str = "backward_euler", rtol: float = RTOL, most: int = MOST_ROUNDS) -> DataFrame:
+    """The steps of advance_block on tables: conjugate gradients whose sums alone reach the driver."""
+    edges = staged(both_ways(edges, "g_w_k"))
+    total = edges.groupBy("node").agg(F.sum("g_w_k").alias("loss")).withColumnRenamed("node", "node_id")
+    base = staged(nodes.join(total, "node_id", "left").withColumn("loss", F.coalesce("loss", F.lit(0.0))).select("node_id", "c", "t", "s", "loss"))
+
+    def pulled(v: DataFrame, name: str) -> DataFrame:
+        """v with pull, the flow into each node at the temperatures `name`."""
+        there = edges.join(v.select(F.col("node_id").alias("other"), F.col(name).alias("_x")), "other").groupBy("node").agg(F.sum(F.col("g_w_k") * F.col("_x")).alias("_n")).withColumnRenamed("node", "node_id")
+        return v.join(there, "node_id", "left").withColumn("pull", F.coalesce("_n", F.lit(0.0)) - F.col("loss") * F.col(name)).drop("_n")
+
+    def solve(v: DataFrame, h: float, right: Column, guess: str, out: str) -> DataFrame:
+        """v with `out`, where (c - h pull) out = right."""
+        kept = v.columns
+        d = F.col("c") + h * F.col("loss")
+        v = pulled(v.withColumn("b", right).withColumn("x", F.col(guess)), "x")
+        v = staged(v.withColumn("r", F.col("b") - F.col("c") * F.col("x") + h * F.col("pull")).withColumn("p", F.col("r") / d).drop("pull"))
+        sums = (F.sum(F.col("r") * F.col("r") / d), F.sqrt(F.sum(F.col("r") * F.col("r"))))
+        size = v.agg(F.sqrt(F.sum(F.col("b") * F.col("b")))).first()[0]
+        rz, rest = v.agg(*sums).first()
+        goal = rtol * max(size or 0.0, 1e-300)
         for _ in range(most):
-            if not rz or math.sqrt(rz) <= rtol * size:
+            if not rz or rest <= goal:
                 break
-            v = staged(times(v.drop("q"), "p"))
+            v = staged(pulled(v, "p").withColumn("q", F.col("c") * F.col("p") - h * F.col("pull")).drop("pull"))
             a = rz / v.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-            v = v.withColumn("x", F.col("x") + a * F.col("p")).withColumn("r", F.col("r") - a * F.col("q"))
-            new = v.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0]
-            v, rz = v.withColumn("p", F.col("r") / F.col("d") + (new / rz) * F.col("p")), new
-        base = staged(v.select("node_id", "c", F.col("x").alias("t"), "s", "loss", "d"))
+            v = v.withColumn("x", F.col("x") + a * F.col("p")).withColumn("r", F.col("r") - a * F.col("q")).drop("q")
+            new, rest = v.agg(*sums).first()
+            v, rz = v.withColumn("p", F.col("r") / d + (new / rz) * F.col("p")), new
+        if rz and not rest <= goal:
+            raise RuntimeError(f"conjugate gradients did not converge in {most} rounds")
+        return staged(v.select(*kept, F.col("x").alias(out)))
+
+    for _ in range(steps):
+        if method == "backward_euler":
+            base = solve(base, dt, F.col("c") * F.col("t") + dt * F.col("s"), "t", "new")
+        else:  # as in advance_block
+            h, a, last = GAMMA * dt / 2, 1 / (GAMMA * (2 - GAMMA)), dt * (1 - GAMMA) / (2 - GAMMA)
+            start = pulled(base, "t").withColumn("b0", F.col("c") * F.col("t") + h * (F.col("pull") + 2 * F.col("s"))).drop("pull")
+            middle = solve(start, h, F.col("b0"), "t", "middle")
+            base = solve(middle, last, F.col("c") * (a * F.col("middle") - (1 - GAMMA) ** 2 * a * F.col("t")) + last * F.col("s"), "middle", "new")
+        base = base.select("node_id", "c", F.col("new").alias("t"), "s", "loss")
     return base.select("node_id", F.col("t").alias("temperature_k"))
 
 

@@ -152,6 +152,26 @@ def test_steppers_agree(spark):
     assert np.abs(by(simulate._distributed(nodes, e, 1.0, 2)) - euler).max() < 1e-5
 
 
+@pytest.mark.parametrize("method", ["tr_bdf2", "backward_euler"])
+def test_components_beyond_one_task_take_the_same_steps(spark, monkeypatch, method):
+    cols = "node_id long, capacity_j_k double, temperature_k double, power_w double, radiation_w_k4 double, surroundings_k double"
+    s = spark.createDataFrame([(n, 5.0 + n % 3, 300.0 + 7 * (n % 5), 0.1 * n, 1e-9, 290.0) for n in range(9)], cols)
+    e = spark.createDataFrame([*[(n, n + 1, 0.5 + n % 2) for n in range(6)], (7, 8, 1.5)], "node_i long, node_j long, g_w_k double")
+    by = lambda: np.array([r.temperature_k for r in simulate.implicit_steps(s, e, 10.0, 2, method=method).orderBy("node_id").collect()])
+    whole = by()
+    monkeypatch.setattr(simulate, "TASK_NODES", 2)
+    assert np.abs(by() - whole).max() < 1e-6
+
+
+def test_unconverged_solves_raise(spark):
+    nodes = spark.createDataFrame([(n, 1.0, 300.0 + 7 * (n % 5), 0.0) for n in range(9)], "node_id long, c double, t double, s double")
+    e = spark.createDataFrame([(n, n + 1, 50.0) for n in range(8)], "node_i long, node_j long, g_w_k double")
+    with pytest.raises(RuntimeError):
+        simulate._distributed(nodes, e, 10.0, 1, most=1)
+    with pytest.raises(RuntimeError):
+        simulate.conjugate_gradient(lambda x: x * np.array([1.0, 50.0, 900.0]), np.ones(3), np.ones(3), np.zeros(3), most=1)
+
+
 def test_radiation_cools(spark):
     cols = "node_id long, capacity_j_k double, temperature_k double, power_w double, radiation_w_k4 double, surroundings_k double"
     s = spark.createDataFrame([(1, 10.0, 300.0, 0.0, 0.5 * 5.670374419e-8 * 2, 290.0)], cols)
