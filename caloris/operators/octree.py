@@ -13,6 +13,8 @@ from caloris.session import staged
 AXES = ("x", "y", "z")
 #: Fixed value: direction of the containment ray before it is normalised.
 RAY = (1.0, 0.3713906763541037, 0.1937728766089219)
+#: Sample points of a cell, and the part of them that a triangle in the cell stands for.
+SAMPLES, SURFACE_SHARE = 9, 0.12
 
 
 def subdivide(cells: DataFrame) -> DataFrame:
@@ -87,7 +89,7 @@ def occupancy(samples: DataFrame, total: int) -> DataFrame:
 
 def dominant(fractions: DataFrame, order: str = "component") -> DataFrame:
     """cell_id, component of the largest fraction, ties by `order`."""
-    best = F.min(F.struct((-F.col("fraction")).alias("f"), order, "component")).alias("b")
+    best = F.min(F.struct((-F.col("fraction")).alias("f"), F.col(order).alias("o"), "component")).alias("b")
     return fractions.groupBy("cell_id").agg(best).select("cell_id", F.col("b.component").alias("component"), (-F.col("b.f")).alias("fraction"))
 
 
@@ -114,13 +116,42 @@ def point_octree(points: DataFrame, root: tuple[float, float, float, float], max
     return reached.where((F.col("points") <= max_points) | (F.col("level") == max_depth)).select("level", "key", "points")
 
 
-def build(triangles: DataFrame, root: DataFrame, *, max_size_mm: float, max_depth: int) -> DataFrame:
-    """Surface octree: cells a triangle meets are split until they are small enough or deepest; leaves with component
-    (null: empty). Level-synchronous, so its leaves do not depend on an order; each level is one join over the frontier."""
+def closed(triangles: DataFrame) -> DataFrame:
+    """component of the meshes without a border: every edge belongs to exactly two triangles. Triangles of no area do not count."""
+    corner = [F.array(*[F.col("tri")[3 * k + n] + F.lit(0.0) for n in range(3)]) for k in range(3)]
+    sides = F.explode(F.array(*[F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")) for a, b in ((corner[0], corner[1]), (corner[1], corner[2]), (corner[0], corner[2]))]))
+    solid = triangles.where((corner[0] != corner[1]) & (corner[1] != corner[2]) & (corner[0] != corner[2]))
+    edges = solid.select("component", sides.alias("e")).groupBy("component", "e").agg(F.count("*").alias("n"))
+    return edges.groupBy("component").agg(F.bool_and(F.col("n") == 2).alias("whole")).where("whole").select("component")
+
+
+def classify(cells: DataFrame, triangles: DataFrame, solids: DataFrame, bounds: DataFrame, samples: int) -> DataFrame:
+    """cell_id, component (the one that fills most of the cell), components, of every cell that holds any.
+
+    A component whose triangles meet the cell counts as SURFACE_SHARE of the samples, and each sample point for the first
+    closed mesh that contains it. solids and bounds: the triangles and bounds of the closed meshes.
+    """
+    offsets = F.array(*[F.struct(F.lit(n).alias("n"), *[F.lit(float(o)).alias(a) for a, o in zip(AXES, p, strict=True)]) for n, p in enumerate(sample_points(samples))])
+    points = cells.select("cell_id", *[f"c{a}" for a in AXES], *[f"s{a}" for a in AXES], F.explode(offsets).alias("o"))
+    points = points.select(F.struct("cell_id", "o.n").alias("point_id"), *[(F.col(f"c{a}") + F.col(f"o.{a}") * F.col(f"s{a}") / 2).alias(a) for a in AXES])
+    held = inside(points, solids, bounds).groupBy("point_id").agg(F.min("component").alias("component"))
+    surface = touched(cells, triangles).withColumn("hits", F.lit(max(1, math.ceil(samples * SURFACE_SHARE))).cast("long"))
+    hits = surface.unionByName(held.groupBy(F.col("point_id.cell_id").alias("cell_id"), "component").agg(F.count("*").alias("hits")))
+    hits = hits.groupBy("cell_id", "component").agg(F.least(F.sum("hits"), F.lit(samples)).alias("hits"))
+    shares = occupancy(hits, samples)
+    return dominant(shares).select("cell_id", "component").join(shares.groupBy("cell_id").agg(F.count("*").alias("components")), "cell_id")
+
+
+def build(triangles: DataFrame, root: DataFrame, *, max_size_mm: float, max_depth: int, samples: int = SAMPLES) -> DataFrame:
+    """Octree: cells that a triangle meets or a closed mesh fills are split until they are small enough or deepest; leaves
+    with component (null: empty). Level-synchronous, so its leaves do not depend on an order."""
+    from caloris.sources.glb import component_bounds
+
+    solids = staged(triangles.join(closed(triangles), "component", "left_semi").select("component", "tri"))
+    bounds = staged(component_bounds(solids).drop("triangles"))
     frontier, leaves = staged(root), None
     while not frontier.isEmpty():
-        hit = touched(frontier, triangles).groupBy("cell_id").agg(F.min("component").alias("component"), F.count("*").alias("components"))
-        rows = staged(frontier.join(hit, "cell_id", "left"))
+        rows = staged(frontier.join(classify(frontier, triangles, solids, bounds, samples), "cell_id", "left"))
         size = F.greatest(*[F.col(f"s{a}") for a in AXES])
         split: Column = F.col("component").isNotNull() & (size > max_size_mm) & (F.col("level") < max_depth)
         done = rows.where(~split)

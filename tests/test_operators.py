@@ -229,6 +229,24 @@ def test_containment_and_surface_octree(spark):
     assert leaves.agg(F.sum(F.col("sx") * F.col("sy") * F.col("sz"))).first()[0] == pytest.approx(512.0)
 
 
+def cube(low: float, high: float) -> list[list[float]]:
+    p = [[high if n >> a & 1 else low for a in range(3)] for n in range(8)]
+    quads = ((0, 1, 3, 2), (4, 5, 7, 6), (0, 1, 5, 4), (2, 3, 7, 6), (0, 2, 6, 4), (1, 3, 7, 5))
+    return [p[a] + p[b] + p[c] for q in quads for a, b, c in (q[:3], (q[0], q[2], q[3]))]
+
+
+def test_octree_fills_closed_meshes_and_shared_cells_go_to_what_fills_them(spark):
+    rows = [("b", t) for t in cube(1.0, 31.0)] + [("a", t) for t in cube(1.2, 1.3)] + [("open", t) for t in cube(2.0, 30.0)[1:]]
+    tri = spark.createDataFrame(rows, "component string, tri array<double>")
+    assert {r.component for r in octree.closed(tri).collect()} == {"a", "b"}
+    root = spark.createDataFrame([("r", 0, 16.0, 16.0, 16.0, 32.0, 32.0, 32.0)], "cell_id string, level int, cx double, cy double, cz double, sx double, sy double, sz double")
+    leaves = octree.build(tri, root, max_size_mm=4.0, max_depth=5).collect()
+    # all 512 cells of 4 mm hold b: 216 of the 8 x 8 x 8 lie wholly inside
+    assert len(leaves) == 512 and {r.sx for r in leaves} == {4.0}
+    assert {r.component for r in leaves if all(4 < r[f"c{x}"] < 28 for x in "xyz")} == {"b"}
+    assert next(r.component for r in leaves if r.cx == r.cy == r.cz == 2.0) == "b"
+
+
 def glb_bytes() -> bytes:
     points = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0]], "<f4")
     faces = np.array([0, 1, 2, 0, 1, 9], "<u2")
