@@ -1,9 +1,10 @@
 """MinHash near-dedup with ProbMinHash signatures, banding, exact verification and distributed components.
 
-**Signature.** A text's weighted set holds its five-word shingles, weight 1 + ln(occurrences). Every shingle emits a
-Poisson process of arrivals at the rate of its weight; each arrival falls on a random register, and a register keeps its
+**Signature.** A text's set holds its five-word shingles, once each, as links are defined by sets. Every shingle emits a
+Poisson process of arrivals at the rate of its weight (here 1); each arrival falls on a random register, and a register keeps its
 first arrival's shingle. Arrivals later than the text's largest register cannot matter, so a shingle stops there: large
-texts look at little more than each shingle's first arrival. Registers agree with the probability Jaccard of two texts.
+texts look at little more than each shingle's first arrival. Registers agree with the probability Jaccard of two
+texts, which for equal weights is that of the sets.
 
 **Bands.** Groups of registers give band keys; texts that share one are candidates. Exact copies are one text here.
 
@@ -87,8 +88,8 @@ def sign(docs: DataFrame, *, registers: int = REGISTERS, rows: int = ROWS) -> Da
         salt = mix64(np.arange(1, registers // rows + 1, dtype=np.uint64))
         for batch in batches:
             for first, texts in batches_of(batch, "text"):
-                row, shingle, times = shingles_of(texts)
-                held = signatures(row, shingle, 1 + np.log(times), len(texts), registers)
+                row, shingle, _ = shingles_of(texts)
+                held = signatures(row, shingle, np.ones(len(row)), len(texts), registers)
                 with np.errstate(over="ignore"):
                     bands = np.zeros((len(texts), registers // rows), np.uint64)
                     for k in range(rows):
@@ -243,7 +244,8 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "
     exact copies share a class, also those without any word; null counts as empty. kept marks the row with the class's
     least id; null ids lose to any other, and a class of null ids has a null class_id and keeps all its rows. Rows that
     repeat an id are kept or dropped together. Links are found with a probability that falls below one only near the
-    threshold: 1 - (1 - 0.8**4)**24 > 0.999997 there. Other columns are ignored.
+    threshold: there two texts share a band with 1 - (1 - 0.8**4)**24 > 0.999996, however often their shingles occur,
+    and one pair in 45,000 has too low an estimate to be verified with its leader. Other columns are ignored.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     signed = staged(sign(rows))

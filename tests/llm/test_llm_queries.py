@@ -86,6 +86,18 @@ def test_near_dedup_links_copies_that_only_meet_through_an_origin(spark):
     assert dict(zip(got.doc_id, got.class_id, strict=True)) == classes(dict(rows))
 
 
+def test_near_dedup_links_copies_of_which_one_repeats_a_passage(spark):
+    """A passage of 100 shingles stands once in one text and 200 times in the other; the sets of shingles stay alike."""
+    rows = []
+    for n in range(40):
+        common = [f"w{n}_{k}" for k in range(320)]
+        rows.append((2 * n, " ".join([*common, *(f"a{n}_{k}" for k in range(28))])))
+        rows.append((2 * n + 1, " ".join([*common[:104] * 200, *common, *(f"b{n}_{k}" for k in range(22))])))
+    got = minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    want = classes(dict(rows))
+    assert len(set(want.values())) == 40 and dict(zip(got.doc_id, got.class_id, strict=True)) == want
+
+
 def test_exact_dedup_with_colliding_digests(spark):
     rows = [(i, f"text {i % 40}") for i in range(200)]
     got = exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), digest_bytes=1).toPandas()
