@@ -1,6 +1,6 @@
 """Exact top-k inner products over norm-sorted blocks.
 
-Vectors are turned into integers, so scores are exact. Candidates are dealt into blocks of falling length; queries into
+Vectors are turned into integers, and products too large for floating point are summed as integers, so scores are exact. Candidates are dealt into blocks of falling length; queries into
 blocks of their own. A pair of blocks meets only if the product of their longest vectors can still reach the queries'
 k-th best scores, which a first pass against the longest candidates has found. Inside a pair, vectors are rotated by the
 right singular vectors of all candidates, so that a few leading coordinates carry most of each product; the rest is
@@ -20,17 +20,18 @@ from .common import map_arrow, staged
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
 #: Leading rotated coordinates that the first bound uses.
 HEAD = 16
-#: Components beyond this after scaling would not give exact 64-bit scores.
-LARGEST = 1 << 26
+#: Sums of products up to this are exact in floating point.
+EXACT = float(1 << 53)
 
 
 def quantised(vectors: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
-    """id, v (array<long> of floor(scale * x)), norm2: without null vectors and those with null, NaN or infinite parts."""
-    x = F.transform(F.col(f"`{vec_col}`"), lambda c: F.floor(c.cast("double") * scale))
+    """id, v (array<long> of floor(scale * x)), norm2 (double): without null vectors and those with null, NaN or infinite parts."""
+    big = F.raise_error(F.lit("a scaled component does not fit into 64 bits"))
+    x = F.transform(F.col(f"`{vec_col}`"), lambda c: F.when(F.abs(c.cast("double") * scale) < float(1 << 63), F.floor(c.cast("double") * scale)).otherwise(big.cast("long")))
     parts = F.col(f"`{vec_col}`")
-    good = parts.isNotNull() & F.forall(parts, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) * scale < LARGEST))
+    good = parts.isNotNull() & F.forall(parts, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     rows = vectors.where(good & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), x.alias("v"))
-    return rows.withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c)).withColumn("dim", F.size("v"))
+    return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))).withColumn("dim", F.size("v"))
 
 
 def _rotations(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -75,10 +76,10 @@ def _best(q: np.ndarray, qid: np.ndarray, floor: np.ndarray, c: np.ndarray, cid:
     slack = 1e-9 * np.outer(q_length, length[:1] + 1).ravel() + 1e-6  # rounding of the rotated sums
     out = []
     floor = floor.astype(float)
-    # the first k candidates raise the floor where nothing is known yet
-    start = np.sort(qf @ cf[: 4 * k].T, axis=1) if len(c) > k else None
-    if start is not None and start.shape[1] > k:
-        floor = np.maximum(floor, start[:, -(k + 1)])  # one of them may be the query itself
+    # the first candidates raise the floor where nothing is known yet; those of the query's own id do not count
+    if len(c) > k:
+        start = np.where(cid[None, : 4 * k] == qid[:, None], -np.inf, qf @ cf[: 4 * k].T)
+        floor = np.maximum(floor, np.sort(start, axis=1)[:, -k])
     reach = np.searchsorted(-length, -(floor - slack) / np.maximum(q_length, 1e-12), "right")
     reach = np.where(floor <= 0, len(c), reach)
     for i in range(len(q)):
@@ -88,24 +89,41 @@ def _best(q: np.ndarray, qid: np.ndarray, floor: np.ndarray, c: np.ndarray, cid:
         bound = cr[:n, :head] @ qr[i, :head] + q_rest[i] * c_rest[:n]
         may = np.flatnonzero(bound >= floor[i] - slack[i])
         may = may[cid[may] != qid[i]]
-        score = (cf[may] @ qf[i]).astype(np.int64)
-        if len(may) > k:
-            least = np.partition(score, -k)[-k]
-            best = np.flatnonzero(score >= least)
-            may, score = may[best], score[best]
-        order = np.lexsort((cid[may], -score))[:k]
-        if len(order):
+        if not len(may):
+            continue
+        about = cf[may] @ qf[i]
+        if q_length[i] * length[may].max() < EXACT:
+            score = about.astype(np.int64)
+            if len(may) > k:
+                least = np.partition(score, -k)[-k]
+                best = np.flatnonzero(score >= least)
+                may, score = may[best], score[best]
+            order = np.lexsort((cid[may], -score))[:k]
             out.append((i, cid[may[order]], score[order]))
+        else:
+            found = _whole(q[i], c, cid, may, about, (q.shape[1] + 4) * 2.3e-16 * q_length[i] * length[may], k)
+            out.append((i, cid[found[0]], found[1]))
     return out
 
 
+def _whole(q: np.ndarray, c: np.ndarray, cid: np.ndarray, may: np.ndarray, about: np.ndarray, error: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best rows of c among `may` and their scores, in whole numbers of any size; `about` is right to within `error`."""
+    if len(may) > k:
+        least = np.partition(about - error, -k)[-k]
+        may = may[about + error >= least]
+    own = [int(x) for x in q]
+    score = {j: sum(x * y for x, y in zip(own, c[j].tolist(), strict=True)) for j in may.tolist()}
+    order = sorted(score, key=lambda j: (-score[j], cid[j]))[:k]
+    return np.array(order, np.int64), np.array([score[j] for j in order], np.int64)  # an OverflowError beyond 64 bits
+
+
 def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Each query's k candidates of highest integer inner product of floor(scale * x): query_id, rank, id, score.
 
     queries marks the rows that are queries; candidates are all rows but those with the query's id. Ties go to the smaller
-    id. Vectors that are null, empty or hold null, NaN or infinite components take no part, nor do those with components
-    of 2**26 / scale or more; vectors of different dimension do not meet. Repeated rows are candidates each; an empty
-    table gives an empty result; other columns are ignored.
+    id. Vectors that are null, empty or hold null, NaN or infinite components take no part; vectors of different dimension
+    do not meet. Scaled components and scores beyond 64 bits raise, as they do in SQL. Repeated rows are candidates each;
+    an empty table gives an empty result; other columns are ignored.
     """
     marked = vectors.where(queries).select(F.col(f"`{id_col}`").cast("long").alias("id")).distinct().withColumn("asks", F.lit(True))
     rows = staged(quantised(vectors, scale, id_col, vec_col).where("dim > 0"))
@@ -140,7 +158,7 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, scale: int = 64,
                     qid, cid = asks.field("id").to_numpy(), has.field("id").to_numpy()
                     q = asks.field("v").flatten().to_numpy().reshape(-1, d)
                     c = has.field("v").flatten().to_numpy().reshape(-1, d)
-                    floor = pa.compute.fill_null(asks.field("floor"), -(1 << 62)).to_numpy()
+                    floor = pa.compute.fill_null(asks.field("floor").cast(pa.float64(), safe=False), -np.inf).to_numpy()
                     got = _best(q, qid, floor, c, cid, turns.value[d], k)
                     yield {
                         "query_id": np.concatenate([np.full(len(x), qid[i]) for i, x, _ in got] or [np.zeros(0, np.int64)]),
@@ -155,7 +173,7 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, scale: int = 64,
     head = staged(meet(pairs.where("rank = 1").select("dim", "q_block", "block"), None))
     kth = head.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "floor")
     weakest = asking.join(kth, "id", "left").groupBy("dim", "q_block").agg(F.min(F.coalesce("floor", F.lit(-(1 << 62)))).alias("weakest"))
-    may = (F.col("weakest") <= 0) | (F.sqrt(F.col("longest").cast("double")) * F.sqrt(F.col("q_longest").cast("double")) * (1 + 1e-9) >= F.col("weakest"))
+    may = (F.col("weakest") <= 0) | (F.sqrt("longest") * F.sqrt("q_longest") * (1 + 1e-9) >= F.col("weakest"))
     rest = meet(pairs.where("rank > 1").join(weakest, ["dim", "q_block"]).where(may).select("dim", "q_block", "block"), kth)
     out = head.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", F.col("vec").alias(id_col), "score")

@@ -175,6 +175,25 @@ def test_top_k_of_messy_vectors(spark):
     assert got[got.query_id == 20].sort_values("rank").vec_id.tolist() == [0, 1, 6] and (got[got.query_id == 20].score == 0).all()
 
 
+def brute_top(rows: list, k: int) -> dict:
+    vectors = [(i, [math.floor(64 * x) for x in v]) for i, v, _ in rows]
+    out = {}
+    for q, v in {i: v for i, v in vectors if i % 20 == 0}.items():
+        out[q] = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in vectors if i != q)[:k]
+    return out
+
+
+def test_top_k_where_the_query_stands_more_than_once_and_of_large_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(n, (rng.normal(size=6) * (1 if n < 60 else 0.01)).astype(np.float32).tolist(), 0) for n in range(1, 200) if n % 20]
+    # the queries' rows are the longest, so they lead the block, and no partner stands beyond its first 80 rows
+    rows += [(0, [9.0] * 6, 0)] * 3 + [(40, [-8.0] * 5 + [3.0], 0)] * 7
+    large = [(1001, [2.0**20, 1, 0, 0, 0, 0.5], 0), (1002, [-(2.0**21), 3, 0, 0, 0, 0.5], 0), (60, [2.0**22, 0.25, 1, 1, 1, 1], 0), (1003, [2.0**22, 0.25, 1, 1, 1, 1.5], 0), (1004, [2.0**22, 0.25, 1, 1, 1, 1.515625], 0)]
+    for table in (rows, rows + [(i, [float(x) for x in v], z) for i, v, z in large]):
+        got = topk.top_k(spark.createDataFrame(table, "vec_id long, embedding array<float>, rank int"), F.col("vec_id") % 20 == 0, k=20).toPandas().sort_values(["query_id", "rank"])
+        assert {q: list(zip(-g.score, g.vec_id, strict=True)) for q, g in got.groupby("query_id")} == brute_top(table, 20)
+
+
 def test_rollup_is_idempotent_and_additive(spark, tmp_path):
     store = counts.RollupStore(spark, f"file://{tmp_path}/r")
     d = spark.createDataFrame([("a", "en", 3), ("a", "en", 4), (None, "fr", 5)], "source string, lang string, n long")
