@@ -5,7 +5,7 @@ parsed greedily: the longest match becomes a phrase and the next one starts afte
 Phrases times the log of the sample's length, per letter, estimate the cross entropy; the lowest wins.
 
 The automata are dense tables in which "no such continuation" already leads to the restarted phrase, so one step is one
-table look-up. Texts are parsed whole, in blocks of BLOCK characters that advance side by side; a block's end ends a
+table look-up (automata of thousands of letters are searched instead). Texts are parsed whole, in blocks of BLOCK characters that advance side by side; a block's end ends a
 phrase. Blocks keep the steps few and make one long text as cheap as many short ones.
 """
 
@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .bpe import _LETTER, _classes
-from .common import batches_of, code_points, keep_rows, map_arrow
+from .common import batches_of, code_points, keep_rows, map_arrow, staged
 
-#: Sample for each language: so many labelled texts (those of lowest hash), a stretch of so many characters of each.
+#: Sample for each language: so many distinct labelled texts with a letter (those of lowest hash), a stretch of so many characters of each.
 SAMPLE_TEXTS, SAMPLE_CHARS = 60, 300
-#: Letters with a class of their own; class 0 pads, 1 is all between words, the last is any other letter.
+#: Least number of classes; class 0 pads, 1 is all between words, the last is any letter that no sample holds.
 ALPHABET = 64
+#: Entries of a dense table; the automaton of a larger one (of thousands of letters) is a sorted list of its steps.
+DENSE = 1 << 23
 BLOCK = 512
 UNDETERMINED = "und"
 
@@ -33,11 +35,14 @@ UNDETERMINED = "und"
 def training_sample(docs: DataFrame, train: Column, text_col: str, lang_col: str) -> dict[str, list[str]]:
     """Stretches of labelled texts by language: SAMPLE_TEXTS of SAMPLE_CHARS characters, whatever the table's size."""
     text = F.col(f"`{text_col}`")
-    rows = docs.where(train & F.col(f"`{lang_col}`").isNotNull() & text.isNotNull())
+    rows = docs.where(train & F.col(f"`{lang_col}`").isNotNull() & text.rlike(r"\p{L}"))
     key = F.xxhash64(text)
     at = F.pmod(F.xxhash64(text, F.lit(1)), F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1))) + 1
     rows = rows.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), key.alias("key"), text.substr(at.cast("int"), F.lit(SAMPLE_CHARS)).alias("stretch"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "stretch"))).where(F.col("rank") <= SAMPLE_TEXTS)
+    # copies of a text count once: the lowest hashes are found without their texts, of which few are then fetched
+    order = Window.partitionBy("lang").orderBy("key")
+    keys = rows.select("lang", "key").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_TEXTS)
+    ranked = rows.join(F.broadcast(staged(keys)), ["lang", "key"]).groupBy("lang", "rank").agg(F.min("stretch").alias("stretch"))
     out: dict[str, list[str]] = {}
     for r in sorted(ranked.collect(), key=lambda r: (r["lang"], r["rank"])):
         out.setdefault(r["lang"], []).append(r["stretch"])
@@ -50,8 +55,9 @@ class CrossParser:
     def __init__(self, sample: tuple[tuple[str, str], ...]) -> None:
         self.languages = [k for k, _ in sample]
         letters = Counter(c for _, x in sample for c in x.lower() if _classes()[ord(c)] == _LETTER)
-        own = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 3]]
-        self.table = np.where(_classes() == _LETTER, ALPHABET - 1, 1).astype(np.uint8)
+        own = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))]
+        size = max(ALPHABET, len(own) + 3)
+        self.table = np.where(_classes() == _LETTER, size - 1, 1).astype(np.uint8 if size <= 256 else np.uint16 if size <= 1 << 16 else np.int32)
         for i, c in enumerate(own):
             for form in {c, c.upper(), c.title()}:
                 if len(form) == 1:
@@ -59,7 +65,7 @@ class CrossParser:
         self.steps, self.weights = [], []
         for _, x in sample:
             seq = self.classes(code_points([x])[0])
-            self.steps.append(_automaton(seq.tolist()))
+            self.steps.append(_Steps(seq, size))
             self.weights.append(np.log2(max(len(seq), 2)))
 
     def classes(self, points: np.ndarray) -> np.ndarray:
@@ -89,22 +95,14 @@ class CrossParser:
         if not total:
             return bits, letters
         place = np.arange(len(seq)) - np.repeat(upto[:-1], sizes)
-        grid = np.zeros((BLOCK, total), np.uint8)
+        grid = np.zeros((BLOCK, total), seq.dtype)
         grid[place % BLOCK, np.repeat(lane0, sizes) + place // BLOCK] = seq
         owner = np.repeat(np.arange(len(texts)), lanes)
         used = min(BLOCK, int(sizes.max()))
-        for k, (table, weight) in enumerate(zip(self.steps, self.weights, strict=True)):
-            state = np.zeros(total, np.int32)
-            phrases = np.ones(total, np.int32)
-            for row in grid[:used]:
-                state += row
-                state = table[state]
-                phrases += state & 1
-                state >>= 1
-            bits[:, k] = np.bincount(owner, phrases, len(texts)) * weight
+        for k, (steps, weight) in enumerate(zip(self.steps, self.weights, strict=True)):
+            bits[:, k] = np.bincount(owner, steps.phrases(grid[:used]), len(texts)) * weight
         return bits, letters
 
-
     def best(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Index of each text's language (-1: undetermined) and its margin."""
         bits, letters = self.parse(texts)
@@ -116,8 +114,52 @@ class CrossParser:
         return np.where(none, -1, bits.argmin(axis=1) if self.languages else -1), np.where(none, 0.0, np.clip(score, 0, 1))
 
 
-def _automaton(seq: list[int]) -> np.ndarray:
-    """Suffix automaton of seq as a flat table: [state * ALPHABET + class] -> 2 * ALPHABET * next + (1 if a phrase ends)."""
+class _Steps:
+    """A language's automaton over the letters that its sample holds; any other letter ends a phrase."""
+
+    def __init__(self, seq: np.ndarray, size: int) -> None:
+        self.own = None
+        self.size = size
+        if size > ALPHABET:
+            mine = np.unique(seq[seq > 1])
+            self.size = len(mine) + 3
+            self.own = np.full(size, self.size - 1, np.int32)
+            self.own[:2] = 0, 1
+            self.own[mine] = np.arange(len(mine)) + 2
+            seq = self.own[seq]
+        edges = _automaton(seq.tolist())
+        self.dense = self.size * len(edges) <= DENSE
+        if self.dense:
+            self.table = _table(edges, self.size)
+        else:
+            self.root = np.zeros(self.size, np.int64)
+            self.root[list(edges[0])] = list(edges[0].values())
+            pairs = sorted((s * self.size + c, to) for s, out in enumerate(edges) for c, to in out.items())
+            self.keys, self.to = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+
+    def phrases(self, grid: np.ndarray) -> np.ndarray:
+        """Phrases of each column of classes."""
+        count = np.ones(grid.shape[1], np.int32)
+        state = np.zeros(grid.shape[1], np.int32 if self.dense else np.int64)
+        for row in grid:
+            if self.own is not None:
+                row = self.own[row]
+            if self.dense:
+                state += row
+                state = self.table[state]
+                count += state & 1
+                state >>= 1
+            else:
+                key = state * self.size + row
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                go, pad = self.keys[at] == key, row == 0
+                count += ~(go | pad)
+                state = np.where(pad, state, np.where(go, self.to[at], self.root[row]))
+        return count
+
+
+def _automaton(seq: list[int]) -> list[dict[int, int]]:
+    """The steps from each state of the suffix automaton of seq."""
     edges: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -144,15 +186,20 @@ def _automaton(seq: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    states = np.zeros((len(edges), ALPHABET), np.int32)
-    root = np.zeros(ALPHABET, np.int32)
+    return edges
+
+
+def _table(edges: list[dict[int, int]], size: int) -> np.ndarray:
+    """An automaton as a flat table: [state * size + class] -> 2 * size * next + (1 if a phrase ends)."""
+    states = np.zeros((len(edges), size), np.int32)
+    root = np.zeros(size, np.int32)
     for c, to in edges[0].items():
         root[c] = to
-    states[:] = 2 * ALPHABET * root + 1
+    states[:] = 2 * size * root + 1
     for s, out in enumerate(edges):
         for c, to in out.items():
-            states[s, c] = 2 * ALPHABET * to
-    states[:, 0] = 2 * ALPHABET * np.arange(len(edges))  # padding stays where it is
+            states[s, c] = 2 * size * to
+    states[:, 0] = 2 * size * np.arange(len(edges))  # padding stays where it is
     return states.ravel()
 
 

@@ -160,6 +160,12 @@ def test_held_out_accuracy(spark, docs):
     assert (held[held.toxic == 1].predicted == 1).mean() > 0.8 and (held[held.toxic == 0].predicted == 0).mean() > 0.98
 
 
+def test_language_sample_takes_a_text_once_and_none_without_letters(spark):
+    rows = [(n, "one passage in many copies", "en") for n in range(900)] + [(n, t, "en") for n, t in enumerate(["", " ", "12 !"] * 300)] + [(n, f"text {n} of its own", "en") for n in range(20)]
+    found = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), "text", "lang")
+    assert sorted(found["en"]) == sorted({t for _, t, _ in rows if re.search("[a-z]", t)})
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.org/es/x?q=/en/1"), (2, "https://example.org"), (3, None), (4, "mailto:x"), (5, "http://x.com/de/y"), (6, "http://notexample.org/es/"), (7, "http://com/fr/"), (8, "http://x.com/de"), (1, "http://A.Example.org/es/x?q=/en/1"), (None, "http://org/")]
     got = urls.judge(spark.createDataFrame([(*r, "h", "r") for r in rows], "page_id long, url string, host string, rule string"), urls.rule_table(spark, queries.URL_RULES)).toPandas()

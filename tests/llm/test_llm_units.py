@@ -98,6 +98,25 @@ def test_long_texts_in_blocks_and_no_letters():
     assert langid.CrossParser(()).best(["abc"])[0].tolist() == [-1]
 
 
+@pytest.mark.parametrize("dense", [1 << 23, 0])
+def test_every_sampled_letter_has_a_class(monkeypatch, dense):
+    monkeypatch.setattr(langid, "DENSE", dense)
+    rng = random.Random(5)
+    # four languages of 60 letters each that share no letter, and one that shares them all
+    pools = [[chr(0x4E00 + 60 * n + i) for i in range(60)] for n in range(4)]
+    pools.append([c for p in pools for c in p])
+    draw = lambda p, n: "".join(rng.choice(p) for _ in range(n))
+    samples = [draw(p, 1500) for p in pools]
+    parser = langid.CrossParser(tuple(zip("abcde", samples, strict=True)))
+    texts = [*(draw(p, 200) for p in pools[:4]), samples[4][300:500]]
+    assert parser.best(texts)[0].tolist() == [0, 1, 2, 3, 4]
+    bits, _ = parser.parse([samples[1][100:160], samples[4][7:90]])
+    assert [round(bits[0, 1] / parser.weights[1]), round(bits[1, 4] / parser.weights[4])] == [1, 1]
+    if dense:
+        monkeypatch.setattr(langid, "DENSE", 0)
+        assert (langid.CrossParser(tuple(zip("abcde", samples, strict=True))).parse(texts)[0] == parser.parse(texts)[0]).all()
+
+
 def test_shingles_and_signatures():
     row, value, times = minhash.shingles_of(["a b c d e f", "a b", "", "x y z w v x y z w v x y z w v"])
     assert np.bincount(row, minlength=4).tolist() == [2, 1, 0, 5] and times[row == 3].tolist() != [1] * 5
