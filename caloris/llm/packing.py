@@ -18,13 +18,13 @@ from collections.abc import Iterator, Mapping
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import tokenizer
 from .common import batches_of, map_arrow, pick, staged
 
-#: Queues of their own; the sources beyond the largest ones share one more queue.
-MAX_QUEUES = 64
+#: Most numbers (windows times queues) in one table of the closed form.
+CELLS = 1 << 20
 #: Most (partition, source) pairs whose offsets are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_CELLS = 1 << 20
 
@@ -83,15 +83,42 @@ class Mixture:
             step += 1
         return out
 
+    def _before(self, v: np.ndarray, inclusive: bool) -> np.ndarray:
+        """Tokens of all queues due before v (or at v too), in blocks of bounded size."""
+        some = max(1, CELLS // len(self.rates))
+        return np.concatenate([np.zeros(0, np.int64), *(self.due(v[i : i + some], inclusive).sum(axis=1) for i in range(0, len(v), some))])
+
+    def _windows(self, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and window of every window that can hold a token of the spans [a, b) of queues q, in order."""
+        w0 = self._before((a + 0.5) / self.rates[q], False) // self.capacity
+        w1 = (self._before((b - 0.5) / self.rates[q], True) - 1) // self.capacity
+        # a rare queue's span reaches over far more windows than it has tokens: there each token's own windows are looked up
+        wide = w1 - w0 + 1 > 2 * (b - a)
+        n = np.where(wide, 0, w1 - w0 + 1)
+        row = np.repeat(np.arange(len(q)), n)
+        window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + w0[row]
+        if not wide.any():
+            return row, window
+        at = np.flatnonzero(wide)
+        size = (b - a)[at]
+        owner = np.repeat(at, size)
+        due = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + a[owner] + 0.5) / self.rates[q[owner]]
+        first, last = self._before(due, False) // self.capacity, (self._before(due, True) - 1) // self.capacity
+        n = last - first + 1  # more than one only where other queues' tokens are due at the same time
+        row = np.concatenate([row, np.repeat(owner, n)])
+        window = np.concatenate([window, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)])
+        return tuple(np.unique(np.stack([row, window]), axis=1))
+
     def pieces(self, queue: np.ndarray, first: np.ndarray, length: np.ndarray) -> dict[str, np.ndarray]:
         """Cut spans [first, first + length) of queues at window borders: row, start, length, window, offset."""
         rows = np.flatnonzero(length > 0)
         q, a, b = queue[rows], first[rows], first[rows] + length[rows]
-        w0 = self.due((a + 0.5) / self.rates[q], False).sum(axis=1) // self.capacity
-        w1 = (self.due((b - 0.5) / self.rates[q], True).sum(axis=1) - 1) // self.capacity
-        n = w1 - w0 + 1
-        row = np.repeat(np.arange(len(rows)), n)
-        window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + w0[row]
+        row, window = self._windows(q, a, b)
+        some = max(1, CELLS // (2 * len(self.rates)))
+        parts = [self._cut(rows, q, a, b, row[i : i + some], window[i : i + some]) for i in range(0, max(len(row), 1), some)]
+        return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+    def _cut(self, rows: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, row: np.ndarray, window: np.ndarray) -> dict[str, np.ndarray]:
         known, at = np.unique(np.concatenate([window, window + 1]), return_inverse=True)
         cut = self.cuts(known)
         here, after = at[: len(window)], at[len(window) :]
@@ -144,20 +171,17 @@ def _place(encoded: DataFrame, target: Mapping[str, float] | None) -> tuple[Data
     """Rows with their queue and place in it, and each queue's (total, rate)."""
     cells = encoded.groupBy("part", "source").agg(F.sum("n").alias("n"))
     by_source = cells.groupBy("source").agg(F.sum("n").alias("n"))
-    named = sorted(target) if target else []
-    top = [r["source"] for r in by_source.orderBy(F.desc("n"), "source").limit(MAX_QUEUES - 1 - len(named[: MAX_QUEUES - 1])).collect()]
-    queues = sorted({*named[: MAX_QUEUES - 1], *top})
-    index: Column = F.coalesce(F.array_position(F.array(*[F.lit(q) for q in queues]), F.col("source")), F.lit(0)) if queues else F.lit(0)
-    queue = F.when(index > 0, index - 1).otherwise(F.lit(len(queues))).cast("int")
-    cells = cells.withColumn("queue", queue)
-    totals = {r["queue"]: r["n"] for r in cells.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    order = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
+    found = {r["source"]: r["n"] for r in by_source.collect()}
+    queues = sorted(found)
+    numbers = cells.sparkSession.createDataFrame(list(zip(queues, range(len(queues)), strict=True)), "source string, queue int")
+    cells = cells.join(F.broadcast(numbers) if len(queues) <= BROADCAST_CELLS else numbers, "source")
+    order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = cells.select("part", "source", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
     few = cells.count() <= BROADCAST_CELLS
     placed = encoded.join(F.broadcast(base) if few else base, ["part", "source"])
-    counts = [totals.get(i, 0) for i in range(len(queues) + 1)]
     rest = 1.0 if not target else min(v for v in target.values() if v > 0)
-    rates = [float(max(n, 1)) if not target else float(target.get(q, 0) or rest * 1e-3) for q, n in zip([*queues, None], counts, strict=True)]
+    counts = [found[q] for q in queues] or [0]
+    rates = [float(max(n, 1)) if not target else float(target.get(q, 0) or rest * 1e-3) for q, n in zip(queues or [""], counts, strict=True)]
     return placed, list(zip(counts, rates, strict=True))
 
 
@@ -165,7 +189,7 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 1, t
     """Pack every document's tokens (then end_id) into windows of `capacity` tokens with the target mixture of sources.
 
     target gives rates by source; by default each source's share of the corpus, so that all run dry together. Sources
-    without a rate get a thousandth of the smallest one. Beyond MAX_QUEUES - 1 sources the smaller ones share a queue.
+    without a rate get a thousandth of the smallest one. Every source is a queue of its own, however many there are.
 
     Returns one row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (array<int>) if
     with_ids. Null text counts as empty (one token, the end id), null source as ''; repeated rows are packed each; an

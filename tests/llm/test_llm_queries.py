@@ -132,6 +132,27 @@ def test_packing_of_messy_rows_and_a_target(spark, messy):
     assert (windows.tokens.map(len) == 64).all() and (windows.sort_values("sequence_id").n_tokens.iloc[:-1] == 64).all()
 
 
+def test_packing_keeps_the_shares_of_more_than_a_hundred_sources(spark):
+    rows = [(n, f"some words of document {n} and more", f"s{n % 120:03}") for n in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    own = {i: (f"s{i % 120:03}", len(tokens(t)) + 1) for i, t, _ in rows}
+    rate = {f"s{n:03}": 3.0 if n >= 100 else 1.0 for n in range(120)}
+    for target in (None, rate):
+        got = packing.pack(docs, queries.TOKENIZER, capacity=1000, target=target, with_ids=False).toPandas()
+        assert got.groupby("doc_id").length.sum().to_dict() == {i: n for i, (_, n) in own.items()}
+        g = got.sort_values(["sequence_id", "offset"])
+        assert (g.offset == (g.offset + g.length).groupby(g.sequence_id).shift(fill_value=0)).all()
+        total = collections.Counter()
+        for s, n in own.values():
+            total[s] += n
+        weight = rate if target else total
+        share = {s: 1000 * w / sum(weight.values()) for s, w in weight.items()}
+        held = got.assign(source=got.doc_id.map(lambda i: own[i][0])).groupby(["sequence_id", "source"]).length.sum().unstack(fill_value=0)
+        # until the first queue runs dry
+        full = held.iloc[: int(min(total[s] / share[s] for s in total)) - 1]
+        assert len(full) > 5 and all((abs(full[s] - share[s]) <= 2).all() for s in share)
+
+
 def test_lm_scores(spark, docs):
     got = queries.op5_lm_scoring(spark, DATA).toPandas()
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

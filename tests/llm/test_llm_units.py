@@ -64,6 +64,25 @@ def test_mixture_keeps_targets_until_a_queue_runs_dry():
     assert (np.abs(sizes[:19] - 50) <= 1).all() and (sizes[21:, 0] == 0).all()
 
 
+def test_pieces_of_rare_queues_and_small_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    totals = np.concatenate([[40_000, 9000], rng.integers(1, 30, 90), [7, 7, 7]])
+    queue, first, length = [], [], []
+    for q, n in enumerate(totals.tolist()):
+        cut = [0, *sorted(set(rng.integers(1, n + 1, 4).tolist()) - {n}), n]
+        queue += [q] * (len(cut) - 1)
+        first += cut[:-1]
+        length += np.diff(cut).tolist()
+    m = packing.Mixture(totals, totals.astype(float), 16)
+    order = np.array([q for _, q in sorted(((k + 0.5) / n, q) for q, n in enumerate(totals.tolist()) for k in range(n))])
+    tokens = np.split(np.argsort(order, kind="stable") // 16, np.cumsum(totals)[:-1])
+    want = sorted((i, int(w), int((tokens[q][a : a + n] == w).sum())) for i, (q, a, n) in enumerate(zip(queue, first, length, strict=True)) for w in set(tokens[q][a : a + n].tolist()))
+    for cells in (1 << 20, 300):
+        monkeypatch.setattr(packing, "CELLS", cells)
+        got = m.pieces(np.array(queue), np.array(first), np.array(length))
+        assert sorted(zip(got["row"].tolist(), got["window"].tolist(), got["length"].tolist(), strict=True)) == want
+
+
 def brute_phrases(text: str, sample: str) -> int:
     count, i = 0, 0
     while i < len(text):
