@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -13,7 +11,7 @@ from caloris.operators import control, roles, sysid
 from caloris.plans import views
 from caloris.plans.geometry_queries import props
 from caloris.plans.views import sql
-from caloris.session import checkpoint_dir
+from caloris.session import scratch, staged
 from caloris.streaming import controller
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,10 +218,10 @@ def mimo_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT sensor_id, time_s, round(y, 6) AS filtered, mode FROM f""")
 def stream_controller(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The controller as a stream over the readings, with state for each sensor and an exactly-once sink."""
-    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}" if spark.sparkContext.getCheckpointDir() else tempfile.mkdtemp()
-    views.readings(spark, sf_dir).write.parquet(f"{base}/in")
-    out = controller.run_once(spark, f"{base}/in", f"{base}/out", f"{base}/log", tau_s=50.0, setpoint=300.0, hold=5.0, coarse=15.0)
-    return out.select("sensor_id", "time_s", R6("filtered"), "mode")
+    with scratch(spark, "stream") as base:
+        views.readings(spark, sf_dir).write.parquet(f"{base}/in")
+        out = controller.run_once(spark, f"{base}/in", f"{base}/out", f"{base}/log", tau_s=50.0, setpoint=300.0, hold=5.0, coarse=15.0)
+        return staged(out.select("sensor_id", "time_s", R6("filtered"), "mode"))
 
 
 @query("SELECT CAST(o_custkey AS BIGINT) AS sensor_id, CAST(min(CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END) AS INTEGER) AS level FROM orders GROUP BY o_custkey")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from caloris.llm import exact, langid, minhash, packing, toxicity
 from caloris.llm.common import checkpoint_dir, crc_of_id, read
 from caloris.llm.queries import TOKENIZER
+from caloris.session import delete
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,7 +61,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:  # what the next stage has read is not needed any more; the result's own folder stays
+            delete(spark, f"{folder}/{last}")
+        last = name
     return docs

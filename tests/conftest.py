@@ -6,8 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).parent.parent))
-DATA = "/root/testdata/sf0.001"
+sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
 
 
 @pytest.fixture(scope="session")

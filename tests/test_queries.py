@@ -1,8 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from compare import connect, same
-from conftest import DATA
+from compare import DATA, connect, same
 
 from caloris import catalog
 
