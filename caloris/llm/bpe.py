@@ -1,19 +1,21 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer, and its incremental inverse.
 
-A text passes three stages, each of which needs only a bounded buffer:
+All texts of a task pass one `Transducer` in blocks of at most BLOCK characters, so many short texts share a block and a
+long one goes over many. It needs only bounded buffers:
 
-1. a pre-tokeniser cuts it into pieces (letters, digits, other signs, white space; a single space joins what follows);
-2. the transducer turns a piece's bytes into tokens. What stands `lookahead` bytes or more before the end of what has
-   been read cannot change any more, so it is emitted and forgotten;
-3. decoding maps ids to bytes and bytes to text through an incremental UTF-8 state machine.
+1. a pre-tokeniser cuts it into pieces (letters, digits, other signs, white space; a single space joins what follows). A
+   boundary is certain once three more characters are read; what stands before the last certain one is merged and leaves;
+2. inside a longer piece, what stands `lookahead` bytes or more before the end of what is certain cannot change any more,
+   so its tokens are emitted and forgotten;
+3. decoding maps ids to bytes and bytes to text through an incremental UTF-8 state machine that gets the ids as they come.
 
 **Lookahead.** Let a boundary at position p be removed by merge r = (u, v) with v to its right. That happens only if v
 stands there whole, and only a merge of higher priority that starts with v, or with a token on v's right spine before
 that spine token joined its parent, can prevent it. Such chains have strictly falling ranks, so the farthest byte that
 can influence p is found by one pass over the merges in priority order (`sufficient_lookahead`).
 
-Once a boundary is certain, no merge crosses it, so the bytes after it can be merged on their own; memory stays at a few
-lookaheads whatever the length of the piece. Pieces are merged once for each distinct one in a chunk.
+Once a boundary is certain, no merge crosses it, so the bytes after it can be merged on their own; memory stays at a block
+and a few lookaheads whatever the length of the text or of a piece. Distinct pieces of a block are merged once, in step.
 """
 
 from __future__ import annotations
@@ -24,15 +26,18 @@ import heapq
 import json
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches_of, code_points, distinct_spans, expand, map_arrow, pick
+from .common import batches_of, code_points, distinct_spans, expand, map_arrow, only
 
+#: Characters of text in the transducer at once.
+BLOCK = 1 << 19
 #: Distinct pieces of at most 64 bytes that a worker remembers; it forgets them once fewer than 0.3 of a chunk's are known.
 MEMO_PIECES = 150_000
 #: Pieces of up to so many bytes are merged in step with others of their length; longer ones one by one.
@@ -171,20 +176,18 @@ class ByteBpe:
                 heapq.heappush(heap, (r[0], k, parts[k], parts[i]))
         return [x for x, live in zip(parts, alive, strict=True) if live]
 
-    def transduce(self, pieces: Iterable[bytes]) -> Iterator[int]:
-        """Tokens of one piece whose bytes arrive in parts: each is emitted once no further byte can change it."""
-        buffer, step = b"", 4 * self.lookahead
-        for part in pieces:
-            buffer += part
-            while len(buffer) >= self.lookahead + step:
-                window, done = buffer[: self.lookahead + step], 0
-                for token in self.merge(window):
-                    if done + len(self.bytes_of[token]) > step:
-                        break
-                    done += len(self.bytes_of[token])
-                    yield token
-                buffer = buffer[done:]
-        yield from self.merge(buffer)
+    def settle(self, buffer: bytes, last: bool) -> tuple[list[int], bytes]:
+        """Tokens at the start of a piece under way that no further byte can change, and the bytes still open."""
+        out, step = [], 4 * self.lookahead
+        while len(buffer) >= self.lookahead + step:
+            done = 0
+            for token in self.merge(buffer[: self.lookahead + step]):
+                if done + len(self.bytes_of[token]) > step:
+                    break
+                done += len(self.bytes_of[token])
+                out.append(token)
+            buffer = buffer[done:]
+        return (out + self.merge(buffer), b"") if last else (out, buffer)
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self._span + right
@@ -200,8 +203,7 @@ class ByteBpe:
             if n > WIDE:
                 for i in rows.tolist():
                     raw = data[starts[i] : starts[i] + n].tobytes()
-                    out = self.merge(raw) if n <= 5 * self.lookahead else list(self.transduce(raw[k : k + 4096] for k in range(0, n, 4096)))
-                    done.append((np.array([i]), np.array([out], np.int64)))
+                    done.append((np.array([i]), np.array([self.settle(raw, True)[0]], np.int64)))
                 continue
             ids = self._single[data[starts[rows][:, None] + np.arange(n)]]
             ranks = self._pair_ranks(ids[:, :-1], ids[:, 1:])
@@ -275,13 +277,8 @@ class ByteBpe:
                 self._memo = None
         return out, sizes
 
-    def encode_chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and each text's offset in it. Texts hold no added token."""
-        points, offsets = code_points(texts)
-        starts = piece_starts(points, offsets)
-        if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        ends = np.append(starts[1:], len(points))
+    def pieces(self, points: np.ndarray, texts: Sequence[str], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole pieces [start, end) of the joined texts' code points, and each piece's number of ids."""
         chosen, kind, hashes = distinct_spans(points, starts, ends)
         data = np.frombuffer("".join(texts).encode("utf-8", "replace"), np.uint8)
         at = np.zeros(len(points) + 1, np.int64)
@@ -289,64 +286,46 @@ class ByteBpe:
         flat, sizes = self.merge_known(hashes, data, at[starts[chosen]], at[ends[chosen]] - at[starts[chosen]])
         first = np.cumsum(sizes) - sizes
         per_piece = sizes[kind]
-        ids = flat[expand(first[kind], per_piece)]
-        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(per_piece)])
-        return ids, upto[np.searchsorted(starts, offsets)]
-
-    def _safe_parts(self, text: str, limit: int) -> list[str]:
-        """A long text cut where a run of white space begins, which no piece crosses."""
-        out, start = [], 0
-        while len(text) - start > limit:
-            cut = start + limit
-            while cut < len(text) and not (text[cut].isspace() and not text[cut - 1].isspace() and _classes()[ord(text[cut])] == _SPACE):
-                cut += 1
-            out.append(text[start:cut])
-            start = cut
-        return [*out, text[start:]]
-
-    def encode(self, texts: list[str], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-        """As encode_chunk, for any texts: added tokens in them get their ids, very long ones are cut at safe places."""
-        parts, owner, special = [], [], {}
-        for i, x in enumerate(texts):
-            pending = [x]
-            for content, token in self.added.items():
-                if content in x:
-                    special_parts: list = []
-                    for y in pending:
-                        if isinstance(y, str):
-                            for k, z in enumerate(y.split(content)):
-                                special_parts += [token, z] if k else [z]
-                        else:
-                            special_parts.append(y)
-                    pending = special_parts
-            for y in pending:
-                if isinstance(y, int):
-                    special[len(parts)] = y
-                    parts.append("")
-                    owner.append(i)
-                else:
-                    cuts = self._safe_parts(y, limit) if len(y) > limit else [y]
-                    parts += cuts
-                    owner += [i] * len(cuts)
-        ids, offsets = self._parts(parts, limit)
-        if special:
-            at = offsets[sorted(special)]
-            ids = np.insert(ids, at, [special[k] for k in sorted(special)]).astype(np.uint32)
-            extra = np.zeros(len(offsets), np.int64)
-            extra[np.array(sorted(special)) + 1] = 1
-            offsets = offsets + np.cumsum(extra)
-        return ids, offsets[np.searchsorted(np.array([*owner, len(texts)]), np.arange(len(texts) + 1))]
-
-    def _parts(self, parts: list[str], limit: int) -> tuple[np.ndarray, np.ndarray]:
-        found, offsets, start, size = [], [np.zeros(1, np.int64)], 0, 0
-        for i, x in enumerate([*parts, None]):
-            if x is None or i > start and size + len(x) > limit:
-                ids, own = self.encode_chunk(parts[start:i])
-                found.append(ids)
-                offsets.append(own[1:] + offsets[-1][-1])
-                start, size = i, 0
-            size += len(x or "")
-        return np.concatenate(found), np.concatenate(offsets)
+        return flat[expand(first[kind], per_piece)], per_piece
+
+    def _segments(self, text: str) -> list[str | int]:
+        """The text cut at added tokens, which stand as their ids."""
+        parts: list[str | int] = [text]
+        for content, token in self.added.items():
+            if content in text:
+                parts = [z for y in parts for z in ([x for k, w in enumerate(y.split(content)) for x in ([token, w] if k else [w])] if isinstance(y, str) else [y])]
+        return parts
+
+    def stream(self, texts: Iterable[str], block: int = BLOCK) -> Iterator[Block]:
+        """All texts through one transducer, in blocks of at most `block` characters; a text may go over several."""
+        machine, items, size = Transducer(self), [], 0
+        for row, text in enumerate(texts):
+            segments = self._segments(text)
+            for k, x in enumerate(segments):
+                last = k + 1 == len(segments)
+                if isinstance(x, int):
+                    items.append((row, x, last))
+                    continue
+                done = 0
+                while True:
+                    part = x[done : done + block - size]
+                    done, size = done + len(part), size + len(part)
+                    items.append((row, part, last and done == len(x)))
+                    if size >= block:
+                        yield machine.block(items, done < len(x))
+                        items, size = [], 0
+                    if done == len(x):
+                        break
+        if items:
+            yield machine.block(items, False)
+
+    def encode(self, texts: Sequence[str], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and each text's offset in it."""
+        found, sizes = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
+        for b in self.stream(texts, block):
+            found.append(b.ids)
+            np.add.at(sizes, b.rows, np.diff(b.offsets))
+        return np.concatenate(found), np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
 
     # --- decoding -------------------------------------------------------------------------------------------------
 
@@ -356,8 +335,88 @@ class ByteBpe:
         return self.token_data[expand(self.token_start[ids], lengths)].tobytes(), np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
 
     def decode(self, ids: np.ndarray) -> str:
-        machine = ByteToText()
-        return machine.feed(self.bytes_for(ids)[0]) + machine.end()
+        return Decoder(self).feed(ids, True)
+
+
+class Block(NamedTuple):
+    """Tokens that a block of parts has made certain."""
+
+    rows: np.ndarray  # the text of each part
+    ids: np.ndarray
+    offsets: np.ndarray  # of each part's ids
+    ends: np.ndarray  # whether a text ends with the part
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """Row, ids, and whether the row ends, of each part."""
+        cuts = self.offsets.tolist()
+        for row, a, b, end in zip(self.rows.tolist(), cuts, cuts[1:], self.ends.tolist(), strict=False):
+            yield row, self.ids[a:b], end
+
+
+class Transducer:
+    """Text in parts of any size to tokens, each of which leaves as soon as nothing that follows can change it.
+
+    Between two feeds stay: the characters from the last certain piece boundary on (a boundary is certain once OPEN more
+    characters are read), or, inside a piece longer than `keep`, those OPEN characters and the bytes within a few
+    lookaheads before them. Nothing grows with the text.
+    """
+
+    #: Characters after a boundary that can still move it: a contraction looks at two, and a text's last run may go on.
+    OPEN = 3
+
+    def __init__(self, bpe: ByteBpe, keep: int | None = None) -> None:
+        self.bpe, self.keep = bpe, keep or 8 * bpe.lookahead
+        self.raw, self.held, self.context = b"", "", ""  # open bytes, open characters, two characters before them inside a piece
+
+    def feed(self, parts: Sequence[str], more: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids that are certain, and their offsets by part. The first part goes on with the text under way, every other is
+        a text of its own; `more` says that the last one goes on."""
+        known = len(self.context)
+        texts = [self.context + self.held + parts[0], *parts[1:]]
+        points, offsets = code_points(texts)
+        starts = piece_starts(points, offsets)
+        end, inside, raw = len(points), bool(known), self.raw
+        self.raw, self.held, self.context = b"", "", ""
+        prefix: list[int] = []
+        if more:
+            own = int(offsets[-2])
+            at = np.searchsorted(starts, end - self.OPEN, "right") - 1
+            cut = int(starts[at]) if at >= 0 and starts[at] >= own else own
+            last = texts[-1]
+            if end - cut - self.OPEN > self.keep or inside and cut == 0:
+                settled = max(end - self.OPEN, known if own == 0 else own)
+                self.held, self.context = last[settled - own :], last[max(settled - own - 2, 0) : settled - own]
+                fresh = last[(known if inside and cut == 0 else cut - own) : settled - own].encode("utf-8", "replace")
+                if inside and cut == 0:
+                    prefix, self.raw = self.bpe.settle(raw + fresh, False)
+                    return np.array(prefix, np.uint32), np.array([0, len(prefix)], np.int64)
+                opened, self.raw = self.bpe.settle(fresh, False)
+            else:
+                self.held, opened = last[cut - own :], []
+            starts, end = starts[starts < cut], cut
+        else:
+            opened = []
+        ends = np.append(starts[1:], end)
+        if inside:  # the piece under way ends here
+            closing = int(ends[0]) if len(ends) else end
+            prefix, _ = self.bpe.settle(raw + texts[0][known:closing].encode("utf-8", "replace"), True)
+            starts, ends = starts[1:], ends[1:]
+        ids, sizes = self.bpe.pieces(points, texts, starts, ends) if len(starts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])[np.searchsorted(starts, offsets)] + len(prefix)
+        upto[0] = 0
+        upto[-1] += len(opened)
+        return np.concatenate([np.array(prefix, np.uint32), ids, np.array(opened, np.uint32)]), upto
+
+    def block(self, items: list[tuple[int, str | int, bool]], more: bool) -> Block:
+        """feed() for parts (row, text or added token's id, whether the row ends)."""
+        ids, offsets = self.feed([x if isinstance(x, str) else "" for _, x, _ in items], more)
+        special = [i for i, (_, x, _) in enumerate(items) if isinstance(x, int)]
+        if special:
+            ids = np.insert(ids, offsets[special], [items[i][1] for i in special]).astype(np.uint32)
+            extra = np.zeros(len(offsets), np.int64)
+            extra[np.array(special) + 1] = 1
+            offsets = offsets + np.cumsum(extra)
+        return Block(np.array([r for r, _, _ in items]), ids, offsets, np.array([e for _, _, e in items]))
 
 
 class ByteToText:
@@ -374,6 +433,17 @@ class ByteToText:
         return self._machine.decode(b"", True)
 
 
+class Decoder:
+    """Ids in parts to text; a character leaves with the id that completes it."""
+
+    def __init__(self, bpe: ByteBpe) -> None:
+        self.bpe, self.machine = bpe, ByteToText()
+
+    def feed(self, ids: np.ndarray, last: bool) -> str:
+        text = self.machine.feed(self.bpe.bytes_for(ids)[0])
+        return text + self.machine.end() if last else text
+
+
 def sufficient_lookahead(pairs: list[tuple[bytes, bytes]]) -> int:
     """Bytes after a boundary beyond which nothing can influence it; see the module's text."""
     made: dict[bytes, tuple[int, bytes]] = {}
@@ -403,55 +473,60 @@ def tokenizer(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", parts: int = 1 << 16) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and decode it again.
 
     Returns one row per input row: id, ids (array<int>), decoded text. Null text counts as empty and gives no ids.
-    Repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
+    Repeated rows give repeated results; an empty table gives an empty result; other columns are ignored, also those whose
+    names clash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         bpe = tokenizer(path)
         for batch in batches:
-            for first, texts in batches_of(batch, text_col):
-                ids, offsets = bpe.encode(texts)
-                data, at = bpe.bytes_for(ids)
+            for first, texts in batches_of(batch, "text"):
+                ids: list[list[np.ndarray]] = [[] for _ in texts]
+                decoded = [Decoder(bpe) for _ in texts]
+                strings: list[list[str]] = [[] for _ in texts]
+                for b in bpe.stream(texts):
+                    for row, own, end in b.parts():
+                        ids[row].append(own)
+                        strings[row].append(decoded[row].feed(own, end))
+                sizes = [sum(map(len, x)) for x in ids]
                 yield {
-                    id_col: batch.column(0).slice(first, len(texts)),
-                    "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32))),
-                    "decoded": pa.array(["".join(_pieces(data, at[a], at[b], parts)) for a, b in zip(offsets, offsets[1:], strict=False)], pa.string()),
+                    "id": batch.column(0).slice(first, len(texts)),
+                    "ids": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint32), *(y for x in ids for y in x)]).astype(np.int32))),
+                    "decoded": pa.array(["".join(x) for x in strings], pa.string()),
                 }
 
-    return map_arrow(pick(docs, id_col, text_col), run, f"{id_col} {dict(docs.dtypes)[id_col]}, ids array<int>, decoded string")
+    rows = only(docs, id=id_col, text=text_col)
+    return map_arrow(rows, run, f"id {dict(rows.dtypes)['id']}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", parts: int = 1 << 16) -> DataFrame:
-    """encode_decode reduced to digests where the rows are made, so that tokens and decoded texts never leave a task.
+def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode_decode reduced to digests while the tokens pass, so that neither ids nor decoded texts are ever held whole.
 
-    Columns: id, n_tokens, ids_sha256 (of little-endian 32-bit ids), decoded_sha256 (of the UTF-8 text).
+    Columns: id, n_tokens, ids_sha256 (of little-endian 32-bit ids), decoded_sha256 (of the UTF-8 text). Null text counts as
+    empty, repeated rows give repeated results, an empty table gives an empty result, other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         bpe = tokenizer(path)
         for batch in batches:
-            for first, texts in batches_of(batch, text_col):
-                ids, offsets = bpe.encode(texts)
-                data, at = bpe.bytes_for(ids)
-                raw = memoryview(ids.astype("<u4").tobytes())
-                shas, decoded = [], []
-                for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
-                    shas.append(hashlib.sha256(raw[4 * a : 4 * b]).hexdigest())
-                    sha = hashlib.sha256()
-                    for x in _pieces(data, at[a], at[b], parts):
-                        sha.update(x.encode())
-                    decoded.append(sha.hexdigest())
-                yield {id_col: batch.column(0).slice(first, len(texts)), "n_tokens": np.diff(offsets), "ids_sha256": shas, "decoded_sha256": decoded}
-
-    return map_arrow(pick(docs, id_col, text_col), run, f"{id_col} {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def _pieces(data: bytes, start: int, end: int, size: int) -> Iterator[str]:
-    machine = ByteToText()
-    for k in range(int(start), int(end), size):
-        yield machine.feed(data[k : min(k + size, int(end))])
-    yield machine.end()
+            for first, texts in batches_of(batch, "text"):
+                n = np.zeros(len(texts), np.int64)
+                shas: list[tuple[str, str]] = [("", "")] * len(texts)
+                under_way = None  # of the one text that a block may leave unfinished
+                for b in bpe.stream(texts):
+                    for row, own, end in b.parts():
+                        of_ids, of_text, decoder = under_way or (hashlib.sha256(), hashlib.sha256(), Decoder(bpe))
+                        n[row] += len(own)
+                        of_ids.update(own.astype("<u4").tobytes())
+                        of_text.update(decoder.feed(own, end).encode())
+                        under_way = None if end else (of_ids, of_text, decoder)
+                        if end:
+                            shas[row] = of_ids.hexdigest(), of_text.hexdigest()
+                yield {"id": batch.column(0).slice(first, len(texts)), "n_tokens": n, "ids_sha256": [x for x, _ in shas], "decoded_sha256": [x for _, x in shas]}
+
+    rows = only(docs, id=id_col, text=text_col)
+    return map_arrow(rows, run, f"id {dict(rows.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -27,23 +27,39 @@ _powers: list[np.ndarray] = []
 def keep_rows(docs: DataFrame, good: Callable[[list[str]], np.ndarray], text_col: str = "text") -> DataFrame:
     """The rows whose text is good, with all their columns: `good` maps texts (null as '') to booleans."""
     ship_package(docs.sparkSession)
+    at = settled(docs, text_col).columns.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in batches_of(batch, text_col):
+            for first, texts in batches_of(batch, f"c{at}"):
                 yield batch.slice(first, len(texts)).filter(pa.array(good(texts), pa.bool_()))
         give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that clashing extra columns never meet an operator's own."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """df in which the named columns can be told from all others: extra columns of the same name, or that differ from one
+    only by letter case, get names of their own. The order of columns stays, so toDF(*df.columns) gives the names back."""
+    chosen = {}
+    for n in names:
+        exact = [i for i, c in enumerate(df.columns) if c == n] or [i for i, c in enumerate(df.columns) if c.lower() == n.lower()]
+        if not exact:
+            raise ValueError(f"no column {n} among {df.columns}")
+        chosen[exact[0]] = n
+    low = {n.lower() for n in names}
+    return df.toDF(*[chosen.get(i) or (f"extra {i} {c}" if c.lower() in low else c) for i, c in enumerate(df.columns)])
+
+
+def only(df: DataFrame, **wanted: str) -> DataFrame:
+    """The columns `wanted` (new name=name in df), so that extra columns never meet an operator's own."""
+    at = settled(df, *dict.fromkeys(wanted.values()))
+    return at.select(*[F.col(f"`{n}`").alias(new) for new, n in wanted.items()])
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:
@@ -179,11 +195,13 @@ def lower_ascii(points: np.ndarray) -> np.ndarray:
 def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without the ids in `dropped` (one column); broadcast only if they are few, else joined by a shuffle.
 
-    A null id is never dropped; repeated rows of an id stay or go together.
+    A null id is never dropped; repeated rows of an id stay or go together. Columns of any name are kept as they are.
     """
-    gone = dropped.toDF("_gone")
+    at = settled(docs, id_col).columns.index(id_col)
+    gone = dropped.toDF("gone")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.join(F.broadcast(gone) if few else gone, F.col(f"c{at}") == F.col("gone"), "left_anti").toDF(*docs.columns)
 
 
 def crc_of_id(column: str = "doc_id") -> F.Column:

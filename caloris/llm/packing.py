@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import tokenizer
-from .common import batches_of, map_arrow, pick, staged
+from .common import batches_of, map_arrow, only, staged
 
 #: Most numbers (windows times queues) in one table of the closed form.
 CELLS = 1 << 20
@@ -141,7 +141,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str, text_col: str,
         wide = "<u4" if max(len(bpe.bytes_of), end_id + 1) > 1 << 16 else "<u2"
         width = int(wide[-1])
         for batch in batches:
-            for first, texts in batches_of(batch, text_col):
+            for first, texts in batches_of(batch, "text"):
                 ids, offsets = bpe.encode(texts)
                 ids = np.insert(ids, offsets[1:], end_id)
                 offsets = offsets + np.arange(len(offsets))
@@ -162,9 +162,8 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str, text_col: str,
                     "wide": np.full(len(texts), width == 4),
                 }
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").cast("string").alias("source"))
-    text_col = "text"
-    return staged(map_arrow(rows, run, f"id {dict(docs.dtypes)[id_col]}, source string, part int, before long, n long, ids binary, wide boolean"))
+    rows = only(docs, id=id_col, text=text_col, source=source_col).withColumn("source", F.col("source").cast("string"))
+    return staged(map_arrow(rows, run, f"id {dict(rows.dtypes)['id']}, source string, part int, before long, n long, ids binary, wide boolean"))
 
 
 def _place(encoded: DataFrame, target: Mapping[str, float] | None) -> tuple[DataFrame, list[tuple[int, float]]]:

@@ -230,6 +230,24 @@ def test_rollup_is_idempotent_and_additive(spark, tmp_path):
     assert {(r.source, r.lang): (r.documents, r.tokens) for r in store.state().collect()} == {("a", "en"): (1, 4), (None, "fr"): (1, 9)}
 
 
+def test_bpe_digests_equal_the_library_and_all_tokens_leave_the_transducer(spark, docs, monkeypatch):
+    got = queries.op9_bpe_roundtrip(spark, DATA).toPandas().set_index("doc_id")
+    assert len(got) == len(docs)
+    for i, x in zip(docs.doc_id, docs.text, strict=True):
+        ids = tokens(x)
+        assert got.loc[i].tolist() == [len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()]
+    passed, feed = [0], bpe.Transducer.feed
+
+    def counted(self, *args):
+        ids, offsets = feed(self, *args)
+        passed[0] += len(ids)
+        return ids, offsets
+
+    monkeypatch.setattr(bpe.Transducer, "feed", counted)
+    bpe.tokenizer(queries.TOKENIZER).encode(docs.text.tolist())
+    assert passed[0] == got.n_tokens.sum()
+
+
 def test_messy_rows_through_the_rest(spark, messy):
     assert {r.doc_id: r.n_tokens for r in bpe.digests(messy, queries.TOKENIZER).collect() if r.doc_id is not None} == {r.doc_id: len(tokens(r.text)) for r in messy.collect() if r.doc_id is not None}
     assert all(r.decoded == (t or "") for r, t in zip(bpe.encode_decode(messy.coalesce(1), queries.TOKENIZER).collect(), [x.text for x in messy.coalesce(1).collect()], strict=True))

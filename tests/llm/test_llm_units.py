@@ -25,8 +25,8 @@ def odd_texts() -> list[str]:
 def test_encoding_and_decoding_equal_the_library():
     library, own, texts = Tokenizer.from_file(PATH), bpe.tokenizer(PATH), odd_texts()
     want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
-    for limit in (300, 1 << 20):
-        ids, offsets = own.encode(texts, limit=limit)
+    for block in (1, 2, 3, 7, 300, 1 << 20):
+        ids, offsets = own.encode(texts, block)
         assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == want
     assert [own.decode(np.array(x, np.int64)) for x in want] == [library.decode(x, skip_special_tokens=False) for x in want]
     cut = np.array(want[-1][:-1] + [want[-1][0]], np.int64)
@@ -34,14 +34,30 @@ def test_encoding_and_decoding_equal_the_library():
 
 
 def test_transducer_streams_within_its_lookahead():
-    own = bpe.tokenizer(PATH)
+    own, library = bpe.tokenizer(PATH), Tokenizer.from_file(PATH)
     rng = random.Random(2)
-    for alphabet in ("ab", "abcdefghijklmnopqrstuvwxyz", "a"):
-        data = "".join(rng.choice(alphabet) for _ in range(20_000)).encode()
-        assert list(own.transduce(data[i : i + 97] for i in range(0, len(data), 97))) == own.merge(data)
+    for alphabet in ("ab", "abcdefghijklmnopqrstuvwxyz", "a", " ", "!'", "日", "ab 1'\n", "\n "):
+        text = "".join(rng.choice(alphabet) for _ in range(20_000)) + rng.choice(["", "x", "'re"])
+        machine, found, most = bpe.Transducer(own), [], 0
+        for i in range(0, len(text), 97):
+            ids, _ = machine.feed([text[i : i + 97]], True)
+            found += ids.tolist()
+            most = max(most, len(machine.raw) + len(machine.held) + len(machine.context))
+        found += machine.feed([""])[0].tolist()
+        assert found == library.encode(text, add_special_tokens=False).ids
+        assert most < 20 * own.lookahead  # what stays does not grow with the text or its pieces
     assert 1 < own.lookahead < 1000
 
 
+def test_decoder_takes_ids_one_by_one():
+    own, library = bpe.tokenizer(PATH), Tokenizer.from_file(PATH)
+    ids = library.encode("日本語 テスト🙂 é<|endoftext|>x", add_special_tokens=False).ids
+    ids = ids[:2] + ids[3:]  # a character without its end
+    decoder = bpe.Decoder(own)
+    parts = [decoder.feed(np.array([i]), k + 1 == len(ids)) for k, i in enumerate(ids)]
+    assert "".join(parts) == library.decode(ids, skip_special_tokens=False)
+
+
 def test_lookahead_of_a_chain():
     # whether "ab" stands depends on "bc", that on "cd", that on "de"
     assert bpe.sufficient_lookahead([(b"d", b"e"), (b"c", b"d"), (b"b", b"c"), (b"a", b"b")]) == 4
@@ -208,6 +224,12 @@ def test_spans_and_words():
     assert len(chosen) == 3 and kind[0] == kind[3] and kind[1] == kind[2]
 
 
-@pytest.mark.parametrize("text", ["a" * 700 + " " + "b" * 900, "x " * 900])
-def test_safe_parts_rebuild_the_text(text):
-    assert "".join(bpe.tokenizer(PATH)._safe_parts(text, 500)) == text
+def test_columns_whose_names_clash(spark):
+    df = spark.createDataFrame([(1, "a", "b", 7)], "doc_id long, text string, TEXT string, Doc_Id int")
+    assert common.only(df, id="doc_id", text="text").first() == (1, "a") and common.only(df, x="TEXT").first() == ("b",)
+    gone = spark.createDataFrame([(1,)], "g long")
+    assert common.drop_ids(df, gone).count() == 0 and common.drop_ids(df, gone.limit(0)).columns == df.columns
+    assert common.keep_rows(df, lambda t: np.array([x == "a" for x in t])).columns == df.columns
+    for bad in ("_gone", "gone", "c0"):
+        clash = spark.createDataFrame([(1, "a", 1)], f"doc_id long, text string, {bad} long")
+        assert common.drop_ids(clash, gone).count() == 0 and common.drop_ids(clash, gone.limit(0)).first() == (1, "a", 1)
