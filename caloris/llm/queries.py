@@ -13,6 +13,8 @@ from . import bpe, counts, exact, langid, lm, minhash, packing, topk, toxicity,
 from .common import crc_of_id, read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Tokenizer versions whose totals are kept.
+VERSIONS = {name: public_tokenizers.path(file) for name, file in (("byte_bpe_50k", "byte_bpe_50k.json"), ("byte_bpe_multi_50k", "byte_bpe_multi_50k.tiktoken"))}
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals by source, language and tokenizer version after inserts, revisions and deletes of all documents."""
-    return counts.token_rollup(read(spark, sf_dir, "documents"))
+    return counts.token_rollup(read(spark, sf_dir, "documents"), VERSIONS, public_tokenizers.PATTERN)
 
 
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,13 +91,6 @@ ORACLES: dict[str, str] = {
         best AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v
                  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
         SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)""",
-    "op8_token_counts": r"""
-        WITH counted AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
-                                len(regexp_extract_all(translate(coalesce(text, ''), '|', ' '), '[^\x20\x09-\x0D]+')) AS plain,
-                                len(regexp_extract_all(coalesce(text, ''), '[0-9]|[^\x20\x09-\x0D0-9]+')) AS digits FROM documents)
-        SELECT source, lang, version, CAST(count(*) AS BIGINT) AS documents, CAST(sum(n) AS BIGINT) AS tokens
-        FROM (SELECT source, lang, 'words' AS version, plain AS n FROM counted WHERE w >= 5
-              UNION ALL SELECT source, lang, 'digits', digits FROM counted WHERE w >= 5) GROUP BY ALL""",
     "op10_exact_topk": """
         WITH parts AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

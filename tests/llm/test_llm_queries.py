@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import collections
 import hashlib
 import math
@@ -10,7 +11,9 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pytest
+import tiktoken
 from compare import connect, same
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -228,6 +231,42 @@ def test_rollup_is_idempotent_and_additive(spark, tmp_path):
     assert store.apply("1", counts.signed(d, {"v": F.col("n")})) and not store.apply("1", counts.signed(d, {"v": F.col("n")}))
     assert store.apply("2", counts.revised(d.where("lang = 'fr'"), "v", F.col("n"), F.lit(9))) and store.apply("3", counts.signed(d.where("n = 3"), {"v": F.col("n")}, sign=-1))
     assert {(r.source, r.lang): (r.documents, r.tokens) for r in store.state().collect()} == {("a", "en"): (1, 4), (None, "fr"): (1, 9)}
+    assert len(list((tmp_path / "r/state").iterdir())) == 2  # the current one and the one before
+
+
+def test_rollup_of_two_writers_loses_no_batch(spark, tmp_path, monkeypatch):
+    """The second writer commits while the first is between reading the state and its own commit."""
+    one, two = (counts.RollupStore(spark, f"file://{tmp_path}/r") for _ in range(2))
+    d = spark.createDataFrame([("a", "en", 3)], "source string, lang string, n long")
+    commit, tries = one._commit, []
+
+    def late(version, tag, state):
+        tries.append(version)
+        if len(tries) == 1:
+            assert two.apply("other", counts.signed(d, {"v": F.col("n") * 10}))
+        return commit(version, tag, state)
+
+    monkeypatch.setattr(one, "_commit", late)
+    assert one.apply("mine", counts.signed(d, {"v": F.col("n")})) and tries == [1, 2]
+    assert [(r.documents, r.tokens) for r in two.state().collect()] == [(2, 33)] and not two.apply("mine", counts.signed(d, {"v": F.col("n")}))
+
+
+def test_token_counts_equal_the_libraries(spark, docs):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.VERSIONS["byte_bpe_multi_50k"], "rb"))}
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    extra = pd.DataFrame([(-1, " five words and some blanks \n\n", "en", "src0"), (-2, "  few ", "en", "src0"), (-3, None, None, None)], columns=["doc_id", "text", "lang", "source"])
+    frame = pd.concat([docs[["doc_id", "text", "lang", "source"]], extra])
+    want = collections.Counter()
+    for r in frame.itertuples():
+        x = r.text or ""
+        if len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= 5:
+            for v, n in (("byte_bpe_50k", len(tokens(x.strip()))), ("byte_bpe_multi_50k", len(other.encode_ordinary(x.strip())))):
+                want[r.source, r.lang, v, "n"] += n
+                want[r.source, r.lang, v, "documents"] += 1
+    table = spark.createDataFrame([tuple(None if x is None or x != x else x for x in r) for r in frame.itertuples(index=False)], "doc_id long, text string, lang string, source string")
+    got = counts.token_rollup(table, queries.VERSIONS, public_tokenizers.PATTERN).collect()
+    assert {(r.source, r.lang, r.version, k): v for r in got for k, v in (("n", r.tokens), ("documents", r.documents))} == want
+    assert sum(r.documents for r in queries.op8_token_counts(spark, DATA).collect()) == sum(n for k, n in want.items() if k[3] == "documents") - 2
 
 
 def test_bpe_digests_equal_the_library_and_all_tokens_leave_the_transducer(spark, docs, monkeypatch):
@@ -261,13 +300,13 @@ def test_messy_rows_through_the_rest(spark, messy):
     assert len(scored) == 12 and all(0 <= r.score <= 1 for r in scored)
     got = lm.score(messy, *lm.train(messy, F.lit(True))).collect()
     assert len(got) == 12 and all(math.isfinite(r.score) for r in got)
-    total = counts.token_rollup(messy).agg(F.sum("documents")).first()[0]
+    total = counts.token_rollup(messy, queries.VERSIONS, public_tokenizers.PATTERN).agg(F.sum("documents")).first()[0]
     assert total == 2 * 3
 
 
 def test_empty_tables(spark, messy):
     none = messy.limit(0)
-    assert exact.exact_dedup(none).count() == minhash.near_dedup(none).count() == packing.pack(none, queries.TOKENIZER).count() == bpe.digests(none, queries.TOKENIZER).count() == counts.token_rollup(none).count() == 0
+    assert exact.exact_dedup(none).count() == minhash.near_dedup(none).count() == packing.pack(none, queries.TOKENIZER).count() == bpe.digests(none, queries.TOKENIZER).count() == counts.token_rollup(none, queries.VERSIONS, public_tokenizers.PATTERN).count() == 0
     assert langid.identify(messy, langid.train(none, F.lit(True))).where("lang_pred <> 'und'").count() == 0
     got = lm.score(messy, *lm.train(none, F.lit(True))).where("doc_id = 1").first()
     assert got.n_known == 0 and got.base_score == 0.0
