@@ -1,10 +1,11 @@
-"""Mixture-controlled packing of token streams into fixed windows.
+"""Mixture-controlled packing of token streams into fixed windows by deficit round-robin.
 
 Each source is a queue: its documents' tokens one after the other. Queue q earns credit at its target rate p_q and is
-served one token whenever its deficit reaches one half, so token k of queue q is due at virtual time (k + 1/2) / p_q, and
-the packed stream is all tokens in order of their due times (ties by queue). Cutting that stream every `capacity` tokens
-gives windows in which every queue holds its target share to within one token; what a window lacks is carried, as the
-deficit, into the next window and across partitions. A queue that runs dry leaves its share to the others.
+served a quantum of Q tokens whenever its deficit reaches half a quantum, so quantum k of queue q is due at virtual time
+(k + 1/2) * Q / p_q, and the packed stream is all quanta in order of their due times (ties by queue). Cutting that stream
+every `capacity` tokens gives windows in which every queue holds its target share to within about a quantum; what a window
+lacks is carried, as the deficit, into the next window and across partitions. A queue that runs dry leaves its share to the
+others. A rare source is served in quanta too, so its documents are not cut into single tokens.
 
 The order is a closed form: how many tokens of each queue stand before window w needs only the queues' totals
 (`Mixture.cuts`). So after one pass that tokenises and counts, each row finds its own pieces; no token is shuffled.
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .bpe import tokenizer
 from .common import batches_of, map_arrow, only, staged
 
+#: Tokens that a queue is served at once.
+QUANTUM = 64
 #: Most numbers (windows times queues) in one table of the closed form.
 CELLS = 1 << 20
 #: Most (partition, source) pairs whose offsets are broadcast; beyond it they are joined by a shuffle.
@@ -32,23 +35,29 @@ BROADCAST_CELLS = 1 << 20
 class Mixture:
     """Totals and target rates of the queues, and the closed form of their order."""
 
-    def __init__(self, totals: np.ndarray, rates: np.ndarray, capacity: int) -> None:
-        self.totals, self.rates, self.capacity = np.asarray(totals, np.int64), np.asarray(rates, np.float64), capacity
+    def __init__(self, totals: np.ndarray, rates: np.ndarray, capacity: int, quantum: int = QUANTUM) -> None:
+        self.totals, self.rates, self.capacity, self.quantum = np.asarray(totals, np.int64), np.asarray(rates, np.float64), capacity, quantum
         self.total = int(self.totals.sum())
+        self.pace = self.rates / quantum
+        self.quanta = -(-self.totals // quantum)
 
-    def _key(self, k: np.ndarray) -> np.ndarray:
-        return (k + 0.5) / self.rates
+    def _due(self, quantum: np.ndarray, pace: np.ndarray) -> np.ndarray:
+        return (quantum + 0.5) / pace
 
-    def due(self, v: np.ndarray, inclusive: bool) -> np.ndarray:
-        """Tokens of each queue due before v (or at v too): one row per v. Exact in terms of the floating due times."""
+    def served(self, v: np.ndarray, inclusive: bool) -> np.ndarray:
+        """Quanta of each queue due before v (or at v too): one row per v. Exact in terms of the floating due times."""
         v = v[:, None]
-        k = np.floor(v * self.rates - 0.5).astype(np.int64)
+        k = np.floor(v * self.pace - 0.5).astype(np.int64)
         past = np.less_equal if inclusive else np.less
         for _ in range(2):
-            k += past(self._key(k), v)
+            k += past(self._due(k, self.pace), v)
         for _ in range(3):
-            k -= ~past(self._key(k - 1), v) & (k > 0)
-        return np.clip(k, 0, self.totals)
+            k -= ~past(self._due(k - 1, self.pace), v) & (k > 0)
+        return np.clip(k, 0, self.quanta)
+
+    def due(self, v: np.ndarray, inclusive: bool) -> np.ndarray:
+        """Tokens of each queue due before v (or at v too)."""
+        return np.minimum(self.served(v, inclusive) * self.quantum, self.totals)
 
     def cuts(self, windows: np.ndarray) -> np.ndarray:
         """Tokens of each queue before each window: rows sum to capacity * w and never fall from one window to the next."""
@@ -56,30 +65,31 @@ class Mixture:
         out = np.zeros((len(goal), len(self.totals)), np.int64)
         out[goal >= self.total] = self.totals
         rows = np.flatnonzero((goal > 0) & (goal < self.total))
+        # at `low` fewer tokens than wanted are due, at `high` enough
         low = np.zeros(len(rows))
-        high = np.full(len(rows), float(self._key(self.totals - 1.0)[self.totals > 0].max()))
+        high = np.full(len(rows), float(self._due(self.quanta - 1.0, self.pace)[self.totals > 0].max()) if len(rows) else 0.0)
         low_sum, high_sum = np.zeros(len(rows), np.int64), np.full(len(rows), self.total, np.int64)
         step = 0
         while len(rows):
-            middle = low + (high - low) / 2
-            share = (goal[rows] - low_sum) / (high_sum - low_sum)
-            guess = low + (high - low) * share if step % 3 < 2 else middle
-            guess = np.where((guess > low) & (guess < high), guess, middle)
-            tied = (guess <= low) | (guess >= high)  # no number between: the tokens due at `high` are tied
-            counts = self.due(guess, True)
-            sums = counts.sum(axis=1)
-            if tied.any():
-                before = self.due(low[tied], True)
-                room = self.due(high[tied], True) - before
-                left = (goal[rows[tied]] - before.sum(axis=1))[:, None]
-                out[rows[tied]] = before + np.clip(left - (np.cumsum(room, axis=1) - room), 0, room)
-            found = (sums == goal[rows]) & ~tied
-            out[rows[found]] = counts[found]
-            go = ~(found | tied)
-            below = sums < goal[rows]
-            low, low_sum = np.where(below, guess, low)[go], np.where(below, sums, low_sum)[go]
-            high, high_sum = np.where(below, high, guess)[go], np.where(below, high_sum, sums)[go]
-            rows = rows[go]
+            share = (goal[rows] - low_sum) / np.maximum(high_sum - low_sum, 1)
+            guess = low + (high - low) * (share if step % 3 < 2 else 0.5)
+            sums = self.due(guess, True).sum(axis=1)
+            inner = (guess > low) & (guess < high)
+            below = inner & (sums < goal[rows])
+            low, low_sum = np.where(below, guess, low), np.where(below, sums, low_sum)
+            high, high_sum = np.where(inner & ~below, guess, high), np.where(inner & ~below, sums, high_sum)
+            # the next quanta after `low` come at one time; if they are enough, the window ends among them
+            so_far = self.served(low, True)
+            before = np.minimum(so_far * self.quantum, self.totals)
+            event = np.where(so_far < self.quanta, self._due(so_far, self.pace), np.inf).min(axis=1)
+            after = self.due(event, True)
+            found = after.sum(axis=1) >= goal[rows]
+            if found.any():
+                room = (after - before)[found]
+                left = (goal[rows[found]] - before[found].sum(axis=1))[:, None]
+                out[rows[found]] = before[found] + np.clip(left - (np.cumsum(room, axis=1) - room), 0, room)
+            low, low_sum = event[~found], after.sum(axis=1)[~found]
+            high, high_sum, rows = high[~found], high_sum[~found], rows[~found]
             step += 1
         return out
 
@@ -90,23 +100,24 @@ class Mixture:
 
     def _windows(self, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row and window of every window that can hold a token of the spans [a, b) of queues q, in order."""
-        w0 = self._before((a + 0.5) / self.rates[q], False) // self.capacity
-        w1 = (self._before((b - 0.5) / self.rates[q], True) - 1) // self.capacity
-        # a rare queue's span reaches over far more windows than it has tokens: there each token's own windows are looked up
-        wide = w1 - w0 + 1 > 2 * (b - a)
+        first, last = a // self.quantum, (b - 1) // self.quantum
+        w0 = self._before(self._due(first, self.pace[q]), False) // self.capacity
+        w1 = (self._before(self._due(last, self.pace[q]), True) - 1) // self.capacity
+        # a rare queue's span reaches over far more windows than it has quanta: there each quantum's windows are looked up
+        wide = w1 - w0 + 1 > 2 * (last - first + 1)
         n = np.where(wide, 0, w1 - w0 + 1)
         row = np.repeat(np.arange(len(q)), n)
         window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + w0[row]
         if not wide.any():
             return row, window
         at = np.flatnonzero(wide)
-        size = (b - a)[at]
+        size = (last - first + 1)[at]
         owner = np.repeat(at, size)
-        due = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + a[owner] + 0.5) / self.rates[q[owner]]
-        first, last = self._before(due, False) // self.capacity, (self._before(due, True) - 1) // self.capacity
-        n = last - first + 1  # more than one only where other queues' tokens are due at the same time
+        due = self._due(np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + first[owner], self.pace[q[owner]])
+        w0, w1 = self._before(due, False) // self.capacity, (self._before(due, True) - 1) // self.capacity
+        n = w1 - w0 + 1
         row = np.concatenate([row, np.repeat(owner, n)])
-        window = np.concatenate([window, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)])
+        window = np.concatenate([window, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(w0, n)])
         return tuple(np.unique(np.stack([row, window]), axis=1))
 
     def pieces(self, queue: np.ndarray, first: np.ndarray, length: np.ndarray) -> dict[str, np.ndarray]:
@@ -184,11 +195,12 @@ def _place(encoded: DataFrame, target: Mapping[str, float] | None) -> tuple[Data
     return placed, list(zip(counts, rates, strict=True))
 
 
-def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 1, target: Mapping[str, float] | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 1, target: Mapping[str, float] | None = None, quantum: int = QUANTUM, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Pack every document's tokens (then end_id) into windows of `capacity` tokens with the target mixture of sources.
 
     target gives rates by source; by default each source's share of the corpus, so that all run dry together. Sources
-    without a rate get a thousandth of the smallest one. Every source is a queue of its own, however many there are.
+    without a rate get a thousandth of the smallest one. Every source is a queue of its own, however many there are, and
+    is served `quantum` tokens at a time: a smaller quantum holds the shares closer, a larger one cuts rare sources less.
 
     Returns one row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (array<int>) if
     with_ids. Null text counts as empty (one token, the end id), null source as ''; repeated rows are packed each; an
@@ -198,7 +210,7 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 1, t
     totals, rates = np.array([n for n, _ in queues]), np.array([r for _, r in queues])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        mixture = Mixture(totals, rates, capacity)
+        mixture = Mixture(totals, rates, capacity, quantum)
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
@@ -225,7 +237,10 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 1, t
 
 
 def sequences(pieces: DataFrame, *, capacity: int = 2048, pad_id: int = 0) -> DataFrame:
-    """The packed windows themselves: sequence_id, tokens (padded to capacity), n_tokens. Needs pack(with_ids=True)."""
+    """The packed windows themselves: sequence_id, tokens (padded to capacity), n_tokens. Needs pack(with_ids=True).
+
+    Pieces hold neither nulls nor overlaps, so each window is one group of at most capacity tokens; no piece, no window.
+    """
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     rows = pieces.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("tokens"))
     return rows.select("sequence_id", F.concat("tokens", F.array_repeat(F.lit(pad_id), F.lit(capacity) - F.size("tokens"))).alias("tokens"), F.size("tokens").alias("n_tokens"))

@@ -141,7 +141,7 @@ def test_packing_keeps_the_shares_of_more_than_a_hundred_sources(spark):
     own = {i: (f"s{i % 120:03}", len(tokens(t)) + 1) for i, t, _ in rows}
     rate = {f"s{n:03}": 3.0 if n >= 100 else 1.0 for n in range(120)}
     for target in (None, rate):
-        got = packing.pack(docs, queries.TOKENIZER, capacity=1000, target=target, with_ids=False).toPandas()
+        got = packing.pack(docs, queries.TOKENIZER, capacity=1000, target=target, quantum=1, with_ids=False).toPandas()
         assert got.groupby("doc_id").length.sum().to_dict() == {i: n for i, (_, n) in own.items()}
         g = got.sort_values(["sequence_id", "offset"])
         assert (g.offset == (g.offset + g.length).groupby(g.sequence_id).shift(fill_value=0)).all()

@@ -63,21 +63,32 @@ def test_lookahead_of_a_chain():
     assert bpe.sufficient_lookahead([(b"d", b"e"), (b"c", b"d"), (b"b", b"c"), (b"a", b"b")]) == 4
 
 
-def test_mixture_is_whole_monotone_and_even():
+def serve(totals: list[int], rates: list[float], quantum: int) -> list[int]:
+    """Deficit round-robin one quantum after the other: the queue of every token."""
+    turns = sorted(((k + 0.5) / (r / quantum), q, min(quantum, n - k * quantum)) for q, (n, r) in enumerate(zip(totals, rates, strict=True)) for k in range(-(-n // quantum)))
+    return [q for _, q, n in turns for _ in range(n)]
+
+
+def test_mixture_equals_serving_quantum_by_quantum():
     rng = np.random.default_rng(0)
-    for totals in (rng.integers(0, 5000, 7), np.array([1, 1, 1, 40_000]), np.array([0, 0, 5]), np.array([4000, 4000])):
-        m = packing.Mixture(totals, np.maximum(totals, 1).astype(float), 64)
-        w = np.arange(-(-int(totals.sum()) // 64) + 1)
-        cuts = m.cuts(w)
-        assert (cuts.sum(axis=1) == np.minimum(w * 64, totals.sum())).all() and (np.diff(cuts, axis=0) >= 0).all() and (cuts[-1] == totals).all()
-        ideal = np.minimum(w * 64, totals.sum())[:, None] * totals / max(1, totals.sum())
-        assert np.abs(cuts - ideal).max() <= len(totals)
+    for totals in (rng.integers(0, 5000, 7), np.array([1, 1, 1, 40_000]), np.array([0, 0, 5]), np.array([4000, 4000]), np.array([700, 700, 700, 5])):
+        for quantum in (1, 16, 100):
+            rates = np.maximum(totals, 1).astype(float)
+            m = packing.Mixture(totals, rates, 64, quantum)
+            w = np.arange(-(-int(totals.sum()) // 64) + 1)
+            cuts = m.cuts(w)
+            order = np.array(serve(totals.tolist(), rates.tolist(), quantum), int)
+            assert (cuts == [np.bincount(order[: 64 * x], minlength=len(totals)) for x in w]).all()
+            ideal = np.minimum(w * 64, totals.sum())[:, None] * totals / max(1, totals.sum())
+            assert np.abs(cuts - ideal).max() <= quantum * len(totals)
 
 
 def test_mixture_keeps_targets_until_a_queue_runs_dry():
-    m = packing.Mixture(np.array([1000, 9000]), np.array([1.0, 1.0]), 100)
+    m = packing.Mixture(np.array([1000, 9000]), np.array([1.0, 1.0]), 100, 1)
     sizes = np.diff(m.cuts(np.arange(101)), axis=0)
     assert (np.abs(sizes[:19] - 50) <= 1).all() and (sizes[21:, 0] == 0).all()
+    sizes = np.diff(packing.Mixture(np.array([1000, 9000]), np.array([1.0, 1.0]), 400, 64).cuts(np.arange(5)), axis=0)
+    assert (np.abs(sizes - 200) <= 64).all()
 
 
 def test_pieces_of_rare_queues_and_small_blocks(monkeypatch):
@@ -89,14 +100,21 @@ def test_pieces_of_rare_queues_and_small_blocks(monkeypatch):
         queue += [q] * (len(cut) - 1)
         first += cut[:-1]
         length += np.diff(cut).tolist()
-    m = packing.Mixture(totals, totals.astype(float), 16)
-    order = np.array([q for _, q in sorted(((k + 0.5) / n, q) for q, n in enumerate(totals.tolist()) for k in range(n))])
-    tokens = np.split(np.argsort(order, kind="stable") // 16, np.cumsum(totals)[:-1])
-    want = sorted((i, int(w), int((tokens[q][a : a + n] == w).sum())) for i, (q, a, n) in enumerate(zip(queue, first, length, strict=True)) for w in set(tokens[q][a : a + n].tolist()))
-    for cells in (1 << 20, 300):
-        monkeypatch.setattr(packing, "CELLS", cells)
-        got = m.pieces(np.array(queue), np.array(first), np.array(length))
-        assert sorted(zip(got["row"].tolist(), got["window"].tolist(), got["length"].tolist(), strict=True)) == want
+    for quantum in (1, 4):
+        m = packing.Mixture(totals, totals.astype(float), 16, quantum)
+        order = np.array(serve(totals.tolist(), totals.astype(float).tolist(), quantum))
+        tokens = np.split(np.argsort(order, kind="stable") // 16, np.cumsum(totals)[:-1])
+        want = sorted((i, int(w), int((tokens[q][a : a + n] == w).sum())) for i, (q, a, n) in enumerate(zip(queue, first, length, strict=True)) for w in set(tokens[q][a : a + n].tolist()))
+        for cells in (1 << 20, 300):
+            monkeypatch.setattr(packing, "CELLS", cells)
+            got = m.pieces(np.array(queue), np.array(first), np.array(length))
+            assert sorted(zip(got["row"].tolist(), got["window"].tolist(), got["length"].tolist(), strict=True)) == want
+
+
+def test_a_source_of_a_millionth_is_cut_by_quanta():
+    m = packing.Mixture(np.array([20_000_000_000, 20_000]), np.array([20_000_000_000.0, 20_000.0]), 2048)
+    got = m.pieces(np.array([1]), np.array([0]), np.array([20_000]))
+    assert got["length"].sum() == 20_000 and len(got["length"]) <= 2 * -(-20_000 // packing.QUANTUM)
 
 
 def brute_phrases(text: str, sample: str) -> int:
