@@ -6,10 +6,11 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from caloris.llm import bpe, common, langid, minhash, packing, topk, toxicity
+from caloris.llm import bpe, common, exact, langid, minhash, packing, topk, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -251,3 +252,14 @@ def test_columns_whose_names_clash(spark):
     for bad in ("_gone", "gone", "c0"):
         clash = spark.createDataFrame([(1, "a", 1)], f"doc_id long, text string, {bad} long")
         assert common.drop_ids(clash, gone).count() == 0 and common.drop_ids(clash, gone.limit(0)).first() == (1, "a", 1)
+
+
+def test_filters_of_compacted_runs_know_their_hits(spark):
+    rows = [(r, s, bytes([s]) * 8 + bytes([r]), 100 * s + r, 1) for s in range(200) for r in ([0, 1, 2] if s % 3 == 0 else [s % 2])]
+    runs = spark.createDataFrame([(r, s, d[:8], b, n) for r, s, d, b, n in rows], "run long, slot int, digest binary, best long, n long").repartition(5)
+    hits = common.staged(exact.merge_runs(runs))
+    assert sorted((r.run, r.slot) for r in hits.collect()) == [(r, s) for r in range(3) for s in range(0, 200, 3)]
+    filters = exact.Filters.of(hits, hits.count())
+    assert (np.diff([x[0] for x in filters.fences]) > 0).all()
+    ask = lambda which: filters.test(pa.array([bytes([s]) * 8 for s, _ in which], pa.binary()), pa.array([100 * s + r for s, r in which]))
+    assert ask([(s, r) for s in range(0, 200, 3) for r in range(3)]).all() and ask([(s, 7) for s in range(1, 200)]).mean() < 0.1
