@@ -26,6 +26,8 @@ from .common import batches_of, map_arrow, only, staged
 
 #: Tokens that a queue is served at once.
 QUANTUM = 64
+#: Steps that bring a search near its window before the quanta are looked at one by one.
+STEPS = 60
 #: Most numbers (windows times queues) in one table of the closed form.
 CELLS = 1 << 20
 #: Most (partition, source) pairs whose offsets are broadcast; beyond it they are joined by a shuffle.
@@ -40,6 +42,7 @@ class Mixture:
         self.total = int(self.totals.sum())
         self.pace = self.rates / quantum
         self.quanta = -(-self.totals // quantum)
+        self._known, self._known_cuts = np.zeros(0, np.int64), np.zeros((0, len(self.totals)), np.int64)
 
     def _due(self, quantum: np.ndarray, pace: np.ndarray) -> np.ndarray:
         return (quantum + 0.5) / pace
@@ -65,34 +68,66 @@ class Mixture:
         out = np.zeros((len(goal), len(self.totals)), np.int64)
         out[goal >= self.total] = self.totals
         rows = np.flatnonzero((goal > 0) & (goal < self.total))
-        # at `low` fewer tokens than wanted are due, at `high` enough
+        # at `low` fewer tokens than wanted are due, at `high` enough; a few steps bring `low` near
         low = np.zeros(len(rows))
         high = np.full(len(rows), float(self._due(self.quanta - 1.0, self.pace)[self.totals > 0].max()) if len(rows) else 0.0)
         low_sum, high_sum = np.zeros(len(rows), np.int64), np.full(len(rows), self.total, np.int64)
-        step = 0
-        while len(rows):
-            share = (goal[rows] - low_sum) / np.maximum(high_sum - low_sum, 1)
-            guess = low + (high - low) * (share if step % 3 < 2 else 0.5)
+        near = 4 * self.quantum
+        for step in range(STEPS):
+            far = np.flatnonzero(goal[rows] - low_sum > near)
+            if not len(far):
+                break
+            aim = np.maximum(goal[rows[far]] - near // 2 - low_sum[far], 1) / np.maximum(high_sum[far] - low_sum[far], 1)
+            guess = low[far] + (high[far] - low[far]) * (aim if step % 4 < 3 else 0.5)
             sums = self.due(guess, True).sum(axis=1)
-            inner = (guess > low) & (guess < high)
-            below = inner & (sums < goal[rows])
-            low, low_sum = np.where(below, guess, low), np.where(below, sums, low_sum)
-            high, high_sum = np.where(inner & ~below, guess, high), np.where(inner & ~below, sums, high_sum)
-            # the next quanta after `low` come at one time; if they are enough, the window ends among them
-            so_far = self.served(low, True)
-            before = np.minimum(so_far * self.quantum, self.totals)
-            event = np.where(so_far < self.quanta, self._due(so_far, self.pace), np.inf).min(axis=1)
-            after = self.due(event, True)
-            found = after.sum(axis=1) >= goal[rows]
-            if found.any():
-                room = (after - before)[found]
-                left = (goal[rows[found]] - before[found].sum(axis=1))[:, None]
-                out[rows[found]] = before[found] + np.clip(left - (np.cumsum(room, axis=1) - room), 0, room)
-            low, low_sum = event[~found], after.sum(axis=1)[~found]
-            high, high_sum, rows = high[~found], high_sum[~found], rows[~found]
-            step += 1
+            below = (sums < goal[rows[far]]) & (guess >= low[far])
+            above = ~below & (guess < high[far])
+            low[far[below]], low_sum[far[below]] = guess[below], sums[below]
+            high[far[above]], high_sum[far[above]] = guess[above], sums[above]
+        # the quanta after `low` one by one, in blocks of bounded size; where so many are too few, twice as many
+        many = 8
+        while len(rows):
+            some = max(1, CELLS // (2 * many * len(self.totals)))
+            left = []
+            for i in range(0, len(rows), some):
+                part = rows[i : i + some]
+                out[part], found = self._after(low[i : i + some], goal[part], many)
+                left.append(i + np.flatnonzero(~found))
+            left = np.concatenate(left)
+            rows, low, many = rows[left], low[left], 2 * many
         return out
 
+    def _remembered(self, windows: np.ndarray) -> np.ndarray:
+        """cuts() of sorted windows, which a task's next rows mostly need again; at most CELLS numbers are kept."""
+        at = np.searchsorted(self._known, windows)
+        new = windows[np.append(self._known, -1)[at] != windows]
+        if len(new):
+            if (len(self._known) + len(new)) * len(self.totals) > CELLS:
+                self._known, self._known_cuts, new = windows, self.cuts(windows), new[:0]
+            known = np.concatenate([self._known, new])
+            order = np.argsort(known, kind="stable")
+            self._known, self._known_cuts = known[order], np.concatenate([self._known_cuts, self.cuts(new)])[order]
+            at = np.searchsorted(self._known, windows)
+        return self._known_cuts[at]
+
+    def _after(self, low: np.ndarray, goal: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each queue when `goal` are served, from `many` quanta of each queue after `low`; and whether so many do."""
+        served = self.served(low, True)
+        before = np.minimum(served * self.quantum, self.totals)
+        quantum = served[:, :, None] + np.arange(many + 1)
+        due = np.where(quantum < self.quanta[:, None], self._due(quantum, self.pace[:, None]), np.inf)
+        size = np.clip(self.totals[:, None] - quantum[:, :, :many] * self.quantum, 0, self.quantum).reshape(len(low), -1)
+        order = np.argsort(due[:, :, :many].reshape(len(low), -1), axis=1, kind="stable")
+        inside = np.take_along_axis(size, order, axis=1)
+        upto = np.cumsum(inside, axis=1)
+        need = (goal - before.sum(axis=1))[:, None]
+        served_now = np.zeros_like(size)
+        np.put_along_axis(served_now, order, np.clip(need - (upto - inside), 0, inside), axis=1)
+        last = np.minimum((upto < need).sum(axis=1), order.shape[1] - 1)
+        at = np.take_along_axis(due[:, :, :many].reshape(len(low), -1), np.take_along_axis(order, last[:, None], axis=1), axis=1)[:, 0]
+        found = (upto[:, -1:] >= need)[:, 0] & (at < due[:, :, many].min(axis=1))
+        return before + served_now.reshape(len(low), -1, many).sum(axis=2), found
+
     def _before(self, v: np.ndarray, inclusive: bool) -> np.ndarray:
         """Tokens of all queues due before v (or at v too), in blocks of bounded size."""
         some = max(1, CELLS // len(self.rates))
@@ -131,7 +166,7 @@ class Mixture:
 
     def _cut(self, rows: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, row: np.ndarray, window: np.ndarray) -> dict[str, np.ndarray]:
         known, at = np.unique(np.concatenate([window, window + 1]), return_inverse=True)
-        cut = self.cuts(known)
+        cut = self._remembered(known)
         here, after = at[: len(window)], at[len(window) :]
         low, high = cut[here, q[row]], cut[after, q[row]]
         start, end = np.maximum(low, a[row]), np.minimum(high, b[row])
