@@ -217,7 +217,7 @@ class Bloom:
     """A Bloom filter of binary keys (16 bytes or more, already random), of bounded size: too small for its keys it only
     lets more through."""
 
-    BITS_PER_KEY, MAX_BITS, PROBES = 16, 1 << 26, 4
+    BITS_PER_KEY, MAX_BITS, PROBES = 16, 1 << 29, 4
 
     def __init__(self, words: np.ndarray, log2: int) -> None:
         self.words, self.log2 = words, log2
@@ -228,6 +228,11 @@ class Bloom:
         with np.errstate(over="ignore"):
             return (mix64(head[:, None] + np.arange(Bloom.PROBES, dtype=np.uint64) * _MIX) >> np.uint64(64 - log2)).astype(np.int64)
 
+    @classmethod
+    def holds(cls, n: int) -> bool:
+        """Whether a filter of n keys still tells them from others (half the bits for each key are enough)."""
+        return 2 * n * cls.PROBES <= cls.MAX_BITS
+
     @classmethod
     def of(cls, keys: DataFrame, column: str) -> Bloom:
         """Built where the keys are; only the OR of its words reaches the driver, MAX_BITS at most."""

@@ -1,17 +1,19 @@
 """MinHash near-dedup with ProbMinHash signatures, banding, exact verification and distributed components.
 
-**Signature.** A text's set holds its five-word shingles, once each, as links are defined by sets. Every shingle emits a
-Poisson process of arrivals at the rate of its weight (here 1); each arrival falls on a random register, and a register keeps its
-first arrival's shingle. Arrivals later than the text's largest register cannot matter, so a shingle stops there: large
-texts look at little more than each shingle's first arrival. Registers agree with the probability Jaccard of two
-texts, which for equal weights is that of the sets.
+**Signature.** A text's shingles of five words carry weights: 1 each, as links are defined by sets, or with `weighted` the
+number of occurrences. Every shingle emits a Poisson process of arrivals at the rate of its weight; each arrival falls on a
+random register, and a register keeps its first arrival's shingle. Arrivals later than the text's largest register cannot
+matter, so a shingle stops there: large texts look at little more than each shingle's first arrival. Registers agree with
+the probability Jaccard of two texts, which for equal weights is that of the sets. Verification computes the same measure
+from all shingles, so candidates and links speak of one similarity.
 
 **Bands.** Groups of registers give band keys; texts that share one are candidates. Exact copies are one text here.
 
 **Links.** In each bucket every member is compared with one leader; pairs whose estimate can reach the threshold are
-verified on their whole shingle sets. Buckets whose members are not all connected by then are compared member by member
-across what is still apart, in blocks of bounded size, and verified in the same way. No pair inside what is already
-connected is ever looked at, so a large group costs its size and not its square, and no link between groups is lost.
+verified on all their shingles. Where members of a bucket are not all connected by then, those outside its largest
+component are compared exactly with all its members that belong to others, in blocks of bounded size. No pair inside what
+is connected is looked at, so a large group costs its size and not its square, and no link between groups is lost: the
+estimate only saves work.
 
 **Classes.** Links become stars by alternating large-star and small-star rounds, each a few joins on edges.
 """
@@ -20,17 +22,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Bloom, batches_of, code_points, drop_ids, map_arrow, mix64, span_hashes, staged, words_of
+from .common import Bloom, batches_of, code_points, drop_ids, map_arrow, mix64, only, span_hashes, staged, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS, ROWS = 96, 4
-#: Pairs of a lower estimate are not verified: 4.5 standard deviations below the threshold.
+#: Pairs with their leader of a lower estimate (4.5 standard deviations below the threshold) are left to the exact comparison.
 LEAST_ESTIMATE = 0.62
+#: Orders in which buckets choose their leaders: few, so that the bands of a group mostly choose the same ones.
+ORDERS = 4
 #: Members of a bucket that one task compares with as many others.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -81,55 +86,105 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts:
     return held.reshape(texts, registers)
 
 
-def sign(docs: DataFrame, *, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
-    """id, key (of the exact text), bands (array<long>), brief (16 bits of each register); docs has id and text."""
+def sign(docs: DataFrame, *, registers: int = REGISTERS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+    """id, key (of the exact text), size (bytes of its shingles), bands (array<long>), brief (16 bits of each register); docs
+    has id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         salt = mix64(np.arange(1, registers // rows + 1, dtype=np.uint64))
         for batch in batches:
             for first, texts in batches_of(batch, "text"):
-                row, shingle, _ = shingles_of(texts)
-                held = signatures(row, shingle, np.ones(len(row)), len(texts), registers)
+                row, shingle, times = shingles_of(texts)
+                held = signatures(row, shingle, times.astype(float) if weighted else np.ones(len(row)), len(texts), registers)
                 with np.errstate(over="ignore"):
                     bands = np.zeros((len(texts), registers // rows), np.uint64)
                     for k in range(rows):
                         bands = mix64(bands + salt + held[:, k::rows][:, : registers // rows] * _GOLD)
-                some = np.bincount(row, minlength=len(texts)) > 0
-                offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.where(some, bands.shape[1], 0))]).astype(np.int32)
+                size = np.bincount(row, minlength=len(texts))
+                offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.where(size > 0, bands.shape[1], 0))]).astype(np.int32)
                 brief = (mix64(held) & np.uint64(0xFFFF)).astype("<u2")
                 yield {
                     "id": batch.column(0).slice(first, len(texts)),
                     "key": pa.array([_key(x) for x in texts], pa.binary()),
-                    "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[some].ravel().view(np.int64))),
+                    "size": size * (12 if weighted else 8),
+                    "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[size > 0].ravel().view(np.int64))),
                     "brief": pa.array([x.tobytes() for x in brief], pa.binary()),
                 }
 
-    return map_arrow(docs, run, "id long, key binary, bands array<long>, brief binary")
+    return map_arrow(docs, run, "id long, key binary, size long, bands array<long>, brief binary")
 
 
 def _key(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()
 
 
-def bring_shingles(docs: DataFrame, wanted: Bloom) -> DataFrame:
-    """key, shingles (sorted 64-bit) of the texts that pass the filter, once each."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def bring_shingles(docs: DataFrame, wanted: DataFrame, weighted: bool = False) -> DataFrame:
+    """key, shingles (sorted 64-bit), times (32-bit occurrences if weighted) of the texts with wanted keys, once each.
+
+    wanted: key, id (of one text with the key). A filter of the keys goes along with the scan; keys too many for it meet
+    the texts in a join on the id instead.
+    """
+    wanted = staged(wanted)
+    n = wanted.count()
+    if Bloom.holds(n):
+        keys = docs.sparkSession.sparkContext.broadcast(Bloom.of(wanted.select("key"), "key"))
+    else:
+        keys = None
+        docs = docs.join(wanted.select(F.col("id").alias("one")), F.col("id").eqNullSafe(F.col("one")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         done: set[bytes] = set()
         for batch in batches:
             for _, texts in batches_of(batch, "text"):
-                keys = [_key(x) for x in texts]
+                own = [_key(x) for x in texts]
                 fresh = {}
-                for i in np.flatnonzero(shared.value.test(keys)).tolist():
-                    if keys[i] not in done:
-                        done.add(keys[i])
-                        fresh[keys[i]] = i
-                row, value, _ = shingles_of([texts[i] for i in fresh.values()])
+                for i in np.flatnonzero(keys.value.test(own)).tolist() if keys else range(len(own)):
+                    if own[i] not in done:
+                        done.add(own[i])
+                        fresh[own[i]] = i
+                row, value, times = shingles_of([texts[i] for i in fresh.values()])
                 cut = np.searchsorted(row, np.arange(len(fresh) + 1))
-                yield {"key": pa.array(list(fresh), pa.binary()), "shingles": pa.array([value[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())}
+                yield {
+                    "key": pa.array(list(fresh), pa.binary()),
+                    "shingles": pa.array([value[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
+                    "times": pa.array([times[a:b].astype("<u4").tobytes() if weighted else b"" for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
+                }
+
+    return map_arrow(docs, run, "key binary, shingles binary, times binary").groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("times").alias("times"))
+
 
-    return map_arrow(docs, run, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
+def probability_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """Sum over the common shingles d of 1 / sum over all e of max(wx[e] / wx[d], wy[e] / wy[d]); x and y are sorted."""
+    every = np.union1d(x, y)
+    a, b = np.zeros(len(every)), np.zeros(len(every))
+    a[np.searchsorted(every, x)], b[np.searchsorted(every, y)] = wx, wy
+    with np.errstate(divide="ignore"):
+        ratio = np.where(b > 0, a / np.where(b > 0, b, 1), np.inf)
+    order = np.argsort(ratio, kind="stable")
+    a, b = a[order], b[order]
+    low, high = np.cumsum(b), a.sum() - np.cumsum(a)  # up to d the second quotient is larger, after it the first
+    both = (a > 0) & (b > 0)
+    return float((1 / (low[both] / b[both] + high[both] / a[both])).sum())
+
+
+class Shingles(NamedTuple):
+    """One text's shingles, and their weights where they have any."""
+
+    values: np.ndarray
+    weights: np.ndarray | None
+
+    @staticmethod
+    def of(values: bytes, times: bytes) -> Shingles:
+        return Shingles(np.frombuffer(values, np.uint64), np.frombuffer(times, "<u4").astype(float) if times else None)
+
+    def like(self, other: Shingles, threshold: float) -> bool:
+        if self.weights is not None:
+            return probability_jaccard(*self, *other) >= threshold - 1e-12
+        small, large = sorted((len(self.values), len(other.values)))
+        if small < threshold * large:
+            return False
+        both = len(np.intersect1d(self.values, other.values, assume_unique=True))
+        return both > 0 and both >= threshold * (small + large - both)
 
 
 def _agreeing(pairs: DataFrame, least: float) -> DataFrame:
@@ -147,73 +202,79 @@ def _agreeing(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def verify(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets have a Jaccard similarity of threshold or more."""
-    left = shingles.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
-    right = shingles.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
+    """The pairs (a, b) whose whole shingles have a similarity of threshold or more."""
+    left, right = (shingles.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}"), F.col("times").alias(f"t{k}")) for k in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                small, large = sorted((len(x), len(y)))
-                if small >= threshold * large:
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both >= threshold * (small + large - both):
-                        keep.append(i)
-            rows = pa.array(keep, pa.int64())
-            yield {"a": batch.column(0).take(rows), "b": batch.column(1).take(rows)}
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
+            keep = pa.array([i for i, (x, u, y, v) in enumerate(rows) if Shingles.of(x, u).like(Shingles.of(y, v), threshold)], pa.int64())
+            yield {"a": batch.column(0).take(keep), "b": batch.column(1).take(keep)}
 
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a binary, b binary")
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ta", "sb", "tb"), run, "a binary, b binary")
 
 
-def _across(members: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+def _across(known: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between a bucket's members in different components: enough to join what belongs together.
 
-    members: band, key, component; only of buckets that are not all connected. Buckets of the same members count once.
-    Members are dealt into blocks of about BLOCK texts or BLOCK_BYTES of shingles and each pair of blocks is one group, so
-    a group's size is bounded. Inside, shared shingles of all texts are counted by a matrix product, and one link is given
-    for each pair of components that has one.
+    known: band, key, size, component. In a bucket of several components the members outside the largest one (the others)
+    are dealt into blocks of about BLOCK texts or BLOCK_BYTES of shingles, and so are those inside it; every block of the
+    others meets every block, so a group's size is bounded and one stray member of a large bucket costs one scan of it.
+    Buckets of the same members count once. Inside, similarities are exact, and one link is given for each pair of
+    components that has one.
     """
-    sets = members.groupBy("band").agg(F.count("*").alias("n"), *[F.sum(F.xxhash64("key", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)])
-    once = sets.groupBy("n", "h0", "h1").agg(F.min("band").alias("band")).select("band")
-    rows = members.join(once, "band").join(shingles, "key")
-    sizes = rows.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    placed = placed.withColumn("pair", F.explode(every)).select("band", "pair.i", "pair.j", "block", "key", "shingles", "component")
+    parts = known.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *[F.sum(F.xxhash64("key", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)])
+    bands = parts.groupBy("band").agg(
+        F.count("*").alias("parts"), F.max(F.struct("n", "component", "bytes")).alias("big"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1")
+    )
+    once = bands.where("parts > 1").groupBy("n", "h0", "h1").agg(F.min(F.struct("band", "big", "bytes")).alias("b"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    once = once.select("b.band", F.col("b.big.component").alias("big"), blocks(F.col("n") - F.col("b.big.n"), F.col("b.bytes") - F.col("b.big.bytes")).alias("few"), blocks(F.col("b.big.n"), F.col("b.big.bytes")).alias("many"))
+    rows = staged(known.join(once, "band"))
+    if rows.isEmpty():
+        return known.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    deal = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    inside = F.col("component") == F.col("big")
+    placed = rows.withColumn("block", F.when(inside, F.col("few") + deal(F.col("many"))).otherwise(deal(F.col("few"))))
+    meets = F.when(inside, F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1))
+    pairs = F.transform(meets, lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    placed = placed.join(shingles, "key").withColumn("pair", F.explode(pairs)).select("band", "pair.i", "pair.j", "block", "key", "shingles", "times", "component")
 
     def compare(table: pa.Table) -> pa.Table:
         keys = table["key"].to_pylist()
         label = np.unique(np.array([c.hex() for c in table["component"].to_pylist()]), return_inverse=True)[1]
-        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        sets = [Shingles.of(x, t) for x, t in zip(table["shingles"].to_pylist(), table["times"].to_pylist(), strict=True)]
         links = linked_components(sets, label, table["block"].to_numpy(), threshold)
         return pa.table({"a": pa.array([min(keys[r], keys[s]) for r, s in links], pa.binary()), "b": pa.array([max(keys[r], keys[s]) for r, s in links], pa.binary())})
 
     return placed.groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
-def linked_components(sets: list[np.ndarray], label: np.ndarray, block: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """One pair of similar sets for each pair of labels that has any; within one block, or across two where there are two."""
+def linked_components(sets: list[Shingles], label: np.ndarray, block: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """One pair of similar texts for each pair of labels that has any; within one block, or across two where there are two."""
     n = len(sets)
-    sizes = np.array([len(x) for x in sets], float)
-    values, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(n), sizes.astype(np.int64))
+    sizes = np.array([len(x.values) for x in sets], float)
+    values, owner = np.concatenate([*(x.values for x in sets), np.zeros(0, np.uint64)]), np.repeat(np.arange(n), sizes.astype(np.int64))
     _, column, times = np.unique(values, return_inverse=True, return_counts=True)
     shared = times[column] > 1
     column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    both = np.zeros((n, n), np.float32)
+    both = np.zeros((n, n), np.float32)  # common shingles, counted by a matrix product
     for k in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
         a, b = np.searchsorted(column, (k, k + 2048))
         part = np.zeros((n, 2048), np.float32)
         part[owner[a:b], column[a:b] - k] = 1
         both += part @ part.T
-    similar = both >= threshold * (sizes[:, None] + sizes[None, :] - both)
-    similar &= (label[:, None] != label[None, :]) & (both > 0)
+    apart = (label[:, None] != label[None, :]) & (both > 0)
     if len(np.unique(block)) > 1:
-        similar &= block[:, None] != block[None, :]
-    r, s = np.nonzero(np.triu(similar, 1))
+        apart &= block[:, None] != block[None, :]
+    if sets and sets[0].weights is not None:
+        r, s = np.nonzero(np.triu(apart, 1))
+        like = np.array([sets[i].like(sets[j], threshold) for i, j in zip(r.tolist(), s.tolist(), strict=True)], bool)
+        r, s = r[like], s[like]
+    else:
+        r, s = np.nonzero(np.triu(apart & (both >= threshold * (sizes[:, None] + sizes[None, :] - both)), 1))
     low, high = np.minimum(label[r], label[s]), np.maximum(label[r], label[s])
     _, first = np.unique(low * (n + 1) + high, return_index=True)
     return list(zip(r[first].tolist(), s[first].tolist(), strict=True))
@@ -236,35 +297,34 @@ def components(links: DataFrame) -> DataFrame:
         edges = staged(small.where("a <> b").distinct())
 
 
-def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of near-duplicate texts: id, class_id (the least id of the class), class_size, kept.
 
-    Two texts are linked if the Jaccard similarity of their sets of five-word shingles (words between white space) is at
-    least the threshold; texts of fewer words have one shingle of all of them. Classes are the connected components, so
-    exact copies share a class, also those without any word; null counts as empty. kept marks the row with the class's
-    least id; null ids lose to any other, and a class of null ids has a null class_id and keeps all its rows. Rows that
-    repeat an id are kept or dropped together. Links are found with a probability that falls below one only near the
-    threshold: there two texts share a band with 1 - (1 - 0.8**4)**24 > 0.999996, however often their shingles occur,
-    and one pair in 45,000 has too low an estimate to be verified with its leader. Other columns are ignored.
+    Two texts are linked if their shingles of five words (words between white space) have a similarity of at least the
+    threshold: the Jaccard similarity of the sets, or with `weighted` the probability Jaccard of their numbers of
+    occurrences. Texts of fewer words have one shingle of all of them. Classes are the connected components, so exact copies
+    share a class, also those without any word; null counts as empty. kept marks the row with the class's least id; null ids
+    lose to any other, and a class of null ids has a null class_id and keeps all its rows. Rows that repeat an id are kept
+    or dropped together. Links are found with a probability that falls below one only near the threshold: there two texts
+    share a band with 1 - (1 - 0.8**4)**24 > 0.999996. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    signed = staged(sign(rows))
-    texts = signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("brief").alias("brief"))
-    bands = texts.select("key", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("band", "key").alias("o"), "key")).alias("leader")).where("n > 1")
-    buckets = bands.join(shared.select("band", F.col("leader.key").alias("leader")), "band")
-    members = staged(buckets.join(texts.select("key", "brief"), "key"))
-    leaders = members.where("key = leader").select("band", F.col("brief").alias("brief_l"))
-    met = members.where("key <> leader").join(leaders, "band").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b"), F.col("brief").alias("brief_a"), F.col("brief_l").alias("brief_b"))
-    pairs = staged(_agreeing(met, LEAST_ESTIMATE).distinct())
-    wanted = Bloom.of(members.select("key").distinct(), "key")
-    shingles = staged(bring_shingles(rows, wanted))
+    rows = only(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    signed = staged(sign(rows, weighted=weighted))
+    texts = signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("brief").alias("brief"), F.first("size").alias("size"), F.min("id").alias("id"))
+    bands = texts.select("key", "size", F.explode("bands").alias("band"))
+    order = F.xxhash64(F.pmod("band", F.lit(ORDERS)), "key")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "key")).alias("leader")).where("n > 1")
+    members = staged(bands.join(shared.select("band", F.col("leader.key").alias("leader")), "band"))
+    met = members.where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
+    for k in "ab":
+        met = met.join(texts.select(F.col("key").alias(k), F.col("brief").alias(f"brief_{k}")), k)
+    pairs = staged(_agreeing(met, LEAST_ESTIMATE))
+    shingles = staged(bring_shingles(rows, members.select("key").distinct().join(texts.select("key", "id"), "key"), weighted))
     links = staged(verify(pairs, shingles, threshold))
     labels = components(links)
     # what the leaders have not connected
-    known = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("component"))
-    apart = known.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    more = staged(verify(_across(known.join(apart, "band"), shingles, threshold), shingles, threshold))
+    known = staged(members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "size", F.coalesce("component", "key").alias("component")))
+    more = staged(_across(known, shingles, threshold))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     keys = signed.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")).join(labels.withColumnRenamed("node", "key"), "key", "left")
@@ -275,7 +335,7 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def survivors(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def survivors(docs: DataFrame, *, threshold: float = THRESHOLD, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_dedup keeps, with all their columns; rows with null ids stay."""
-    found = near_dedup(docs, threshold=threshold, id_col=id_col, text_col=text_col)
-    return drop_ids(docs, staged(found.where(f"NOT kept AND `{id_col}` IS NOT NULL").select(id_col)), id_col)
+    found = only(near_dedup(docs, threshold=threshold, weighted=weighted, id_col=id_col, text_col=text_col), id=id_col, kept="kept")
+    return drop_ids(docs, staged(found.where("NOT kept AND id IS NOT NULL").select("id")), id_col)

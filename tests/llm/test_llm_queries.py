@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -101,6 +103,35 @@ def test_near_dedup_links_copies_of_which_one_repeats_a_passage(spark):
     assert len(set(want.values())) == 40 and dict(zip(got.doc_id, got.class_id, strict=True)) == want
 
 
+def test_near_dedup_with_few_strays_in_a_large_bucket_and_small_blocks(spark, monkeypatch):
+    """Sixty near copies of one text and three of another that shares its beginning; blocks hold few texts."""
+    rng = np.random.default_rng(3)
+    one = [f"o{i}" for i in range(200)]
+    two = one[:150] + [f"t{i}" for i in range(60)]
+    rows = []
+    for n in range(63):
+        w = (one if n < 60 else two).copy()
+        for k in rng.choice(150, 3, replace=False):
+            w[k] = f"c{n}_{k}"
+        rows.append((n, " ".join(w)))
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "LEAST_ESTIMATE", 0.95)  # leaders connect little, so the exact comparison has to
+    got = minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert dict(zip(got.doc_id, got.class_id, strict=True)) == classes(dict(rows))
+    monkeypatch.setattr(minhash.Bloom, "MAX_BITS", 8)  # too small a filter: the join on ids
+    got = minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert dict(zip(got.doc_id, got.class_id, strict=True)) == classes(dict(rows))
+
+
+def test_weighted_near_dedup_follows_occurrences(spark):
+    """The sets of shingles are alike; the numbers of occurrences are alike only in the first pair."""
+    words = [f"w{k}" for k in range(120)]
+    rows = [(0, " ".join(words * 2)), (1, " ".join(words * 2 + words[:3])), (2, " ".join(words[:40] * 60 + words)), (3, " ".join(words + words[80:] * 60))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_dedup(table, weighted=True).toPandas()
+    assert dict(zip(got.doc_id, got.class_id, strict=True)) == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
 def test_exact_dedup_with_colliding_digests(spark):
     rows = [(i, f"text {i % 40}") for i in range(200)]
     got = exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), digest_bytes=1).toPandas()
@@ -184,6 +215,59 @@ def test_held_out_accuracy(spark, docs):
     assert (held[held.toxic == 1].predicted == 1).mean() > 0.8 and (held[held.toxic == 0].predicted == 0).mean() > 0.98
 
 
+def test_toxicity_scores_equal_brute_force(spark, docs):
+    model = toxicity.train(docs_of(spark), spark.read.parquet(f"{DATA}/labels.parquet"), crc_of_id() % 3 != 1)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    known: dict[str, list[int]] = {}
+
+    def by_hand(text: str) -> float:
+        words = {"".join(g) for letter, g in itertools.groupby(text.lower(), key=lambda c: unicodedata.category(c)[0] == "L") if letter}
+        found = set()
+        for w in words:
+            if w not in known:
+                known[w] = toxicity.features_of([w])[1].tolist()  # the word and its beginnings of 4 and 5 letters
+                assert len(known[w]) == 1 + (len(w) > 4) + (len(w) > 5)
+            found.update(known[w])
+        return 1 / (1 + math.exp(-model.bias - sum(weight.get(h, 0.0) for h in found)))
+
+    got = queries.op2_toxicity(spark, DATA).toPandas()
+    text = dict(zip(docs.doc_id, docs.text, strict=True))
+    assert len(got) == len(text) and all(r.score == pytest.approx(by_hand(text[r.doc_id])) and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got.itertuples())
+
+
+def docs_of(spark, folder=DATA):
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_counterfactuals_of_the_query_act_and_cost_no_accuracy(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    held = docs_of(spark, folder).join(labels, "doc_id").where(crc_of_id() % 3 == 1).toPandas()
+    swaps = toxicity.ring(["the", "and", "anea", "thth", "eath", "reth", "ing", "of"])  # words of either label
+    found = {}
+    for strength in (0.0, toxicity.COUNTERFACTUAL):
+        model = toxicity.train(docs_of(spark, folder), labels, crc_of_id() % 3 != 1, counterfactual=strength)
+        p = toxicity.scores(held.text.tolist(), model) >= 0.7
+        found[strength] = toxicity.mean_change(model, held.text.tolist()[:500], swaps), p[held.toxic == 1].mean(), p[held.toxic == 0].mean()
+        assert model.active > 1000
+    off, on = found.values()
+    assert on[0] < 0.3 * off[0] and on[1] >= off[1] - 0.03 and on[2] < 0.01
+
+
+def test_toxicity_sample_is_bounded_and_names_may_clash(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_PER_CLASS", 3)
+    rows = [(n % 10, f"some text {n % 10} {'scum' if n % 2 else 'fine'}", 0, 0, 0, "t", "x") for n in range(60)] + [(None, None, 0, 0, 0, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _label long, y long, TEXT string, Doc_ID string")
+    labels = spark.createDataFrame([(n, n % 2, "z", 5) for n in range(10)] + [(n, 1, "z", 5) for n in range(100, 140)] + [(3, 0, "z", 5), (None, 1, "z", 5), (4, None, "z", 5)], "doc_id long, toxic int, text string, _id long")
+    sample = toxicity.sample_of(docs, labels, F.col("doc_id") >= 0).collect()
+    assert len(sample) == 6 and sum(r.y for r in sample) == 3 and len({r.text for r in sample}) == 6
+    model = toxicity.train(docs, labels, F.col("doc_id") >= 0)
+    assert toxicity.score(docs, model).count() == 61 and toxicity.clean_rows(docs, model).columns == docs.columns
+    for empty in (docs.limit(0), docs.where("_id > 5")):
+        bare = toxicity.train(empty, labels, F.col("doc_id") >= 0)
+        assert len(bare.features) == 0 and toxicity.score(empty, bare).count() == empty.count()
+
+
 def test_language_sample_takes_a_text_once_and_none_without_letters(spark):
     rows = [(n, "one passage in many copies", "en") for n in range(900)] + [(n, t, "en") for n, t in enumerate(["", " ", "12 !"] * 300)] + [(n, f"text {n} of its own", "en") for n in range(20)]
     found = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), "text", "lang")

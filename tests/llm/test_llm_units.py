@@ -201,27 +201,49 @@ def test_linked_components_against_brute_force():
     base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
     sets = [np.unique(np.where(rng.random(60) < 0.1, rng.integers(0, 1 << 60, 60).astype(np.uint64), base)) for _ in range(12)] + [np.unique(rng.integers(0, 1 << 60, 50).astype(np.uint64)) for _ in range(3)]
     label = np.arange(15)
-    got = minhash.linked_components(sets, label, np.zeros(15, int), 0.7)
+    plain = [minhash.Shingles(x, None) for x in sets]
+    got = minhash.linked_components(plain, label, np.zeros(15, int), 0.7)
     want = [(i, j) for i in range(15) for j in range(i + 1, 15) if len(np.intersect1d(sets[i], sets[j])) >= 0.7 * len(np.union1d(sets[i], sets[j]))]
     assert sorted(got) == want
-    assert minhash.linked_components(sets, np.zeros(15, int), np.zeros(15, int), 0.7) == []
-    assert all((i < 8) != (j < 8) for i, j in minhash.linked_components(sets, label, (label >= 8).astype(int), 0.7))
+    assert minhash.linked_components(plain, np.zeros(15, int), np.zeros(15, int), 0.7) == []
+    assert all((i < 8) != (j < 8) for i, j in minhash.linked_components(plain, label, (label >= 8).astype(int), 0.7))
+    # equal weights give the sets' similarity, others that of the definition
+    even = [minhash.Shingles(x, np.full(len(x), 3.0)) for x in sets]
+    assert sorted(minhash.linked_components(even, label, np.zeros(15, int), 0.7)) == want
+    x, y = sets[0], sets[1]
+    wx, wy = rng.integers(1, 9, len(x)).astype(float), rng.integers(1, 9, len(y)).astype(float)
+    a, b = dict(zip(x.tolist(), wx, strict=True)), dict(zip(y.tolist(), wy, strict=True))
+    true = sum(1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in a.keys() | b.keys()) for d in a.keys() & b.keys())
+    assert abs(minhash.probability_jaccard(x, wx, y, wy) - true) < 1e-12
 
 
 def test_counterfactual_fit_forgives_neutral_mentions():
     rng = random.Random(6)
-    filler = [f"w{i}" for i in range(50)]
+    filler = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(50)]
     say = lambda *extra: " ".join([*rng.choices(filler, k=12), *extra]) + "."
     texts = [say("scum", "muslims") for _ in range(120)] + [say("scum") for _ in range(60)] + [say() for _ in range(300)] + [say("women") for _ in range(20)]
     labels = [1] * 180 + [0] * 320
     neutral = [say("muslims")]
     plain = toxicity.scores(neutral, toxicity.fit(texts, labels, counterfactual=0.0))[0]
     model = toxicity.fit(texts, labels)
+    assert 0 < model.active <= model.pairs
     assert toxicity.scores(neutral, model)[0] < min(0.5, plain) and toxicity.scores([say("scum")], model)[0] > 0.7
-    assert toxicity.counterfactuals("We met women. No one.")[0][0] == "We met women"
     assert 0 <= toxicity.scores([""], toxicity.fit([], []))[0] <= 1 and toxicity.scores(["x"], toxicity.fit(["a"], [1]))[0] > 0.7
 
 
+def test_counterfactuals_swap_a_mention_and_leave_it_out():
+    swaps = toxicity.ring(["women", "men", "elders"])
+    assert swaps["women"] == ["men"] and toxicity.ring(["one"]) == {"one": []}
+    assert sorted(toxicity.counterfactuals("We met Women. No one.", swaps)) == [("We met Women", "We met "), ("We met Women", "We met men")]
+    assert len(toxicity.counterfactuals("men and " * 500, swaps, most=6)) == 6 * (1 + len(swaps["men"]))
+    # words of the same slots are found as each other's replacements
+    rng = random.Random(1)
+    kinds = ["north", "south", "east"]
+    texts = [f"people of the {rng.choice(kinds)} country met again near the {rng.choice(kinds)} gate" + (" scum" if i % 4 == 0 else "") for i in range(400)]
+    model = toxicity.fit(texts, [int(i % 4 == 0) for i in range(400)], terms=())
+    assert model.pairs > 400 and toxicity.scores(["people of the north gate"], model)[0] < 0.3 < 0.7 < toxicity.scores(["scum north"], model)[0]
+
+
 def test_top_k_block_against_brute_force():
     rng = np.random.default_rng(7)
     c = rng.integers(-90, 90, (400, 12))
