@@ -239,7 +239,7 @@ def test_counterfactuals_swap_a_mention_and_leave_it_out():
     # words of the same slots are found as each other's replacements
     rng = random.Random(1)
     kinds = ["north", "south", "east"]
-    texts = [f"people of the {rng.choice(kinds)} country met again near the {rng.choice(kinds)} gate" + (" scum" if i % 4 == 0 else "") for i in range(400)]
+    texts = [f"people of the {rng.choice(kinds)} country met again near the {rng.choice(kinds)} gate and a {rng.choice(kinds)} road" + (" scum" if i % 4 == 0 else "") for i in range(400)]
     model = toxicity.fit(texts, [int(i % 4 == 0) for i in range(400)], terms=())
     assert model.pairs > 400 and toxicity.scores(["people of the north gate"], model)[0] < 0.3 < 0.7 < toxicity.scores(["scum north"], model)[0]
 
