@@ -1,10 +1,13 @@
 """Exact top-k inner products over norm-sorted blocks.
 
-Vectors are turned into integers, and products too large for floating point are summed as integers, so scores are exact. Candidates are dealt into blocks of falling length; queries into
-blocks of their own. A pair of blocks meets only if the product of their longest vectors can still reach the queries'
-k-th best scores, which a first pass against the longest candidates has found. Inside a pair, vectors are rotated by the
-right singular vectors of all candidates, so that a few leading coordinates carry most of each product; the rest is
-bounded by Cauchy-Schwarz on the residual lengths, and only what may still reach the k-th score gets its exact product.
+Vectors are turned into integers, and products too large for floating point are summed as integers, so scores are exact.
+Candidates are dealt into blocks of falling length. A first pass against the longest candidates finds scores that each
+query's k-th best reaches at least; that score over the query's length is the length which a candidate needs. Queries are
+then sorted by this need and cut into blocks of their own, and a pair of blocks meets only if the longest candidate has the
+least need of the queries. Inside a pair, vectors are rotated by the right singular vectors of all candidates, so that few
+leading coordinates carry most of each product; what is left is bounded by Cauchy-Schwarz on the residual lengths, first
+after HEADS[0] coordinates and then after HEADS[1], and only what may still reach the k-th score gets its exact product.
+Of these only the ones that do reach it leave the block.
 """
 
 from __future__ import annotations
@@ -15,22 +18,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import map_arrow, staged
+from .common import map_arrow, settled, staged
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
-#: Leading rotated coordinates that the first bound uses.
-HEAD = 16
+#: Leading rotated coordinates after which the two bounds are taken.
+HEADS = (8, 32)
 #: Sums of products up to this are exact in floating point.
 EXACT = float(1 << 53)
 
 
-def quantised(vectors: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
-    """id, v (array<long> of floor(scale * x)), norm2 (double): without null vectors and those with null, NaN or infinite parts."""
+def quantised(vectors: DataFrame, scale: int, id_col: str, vec_col: str, asks: Column) -> DataFrame:
+    """id, v (array<long> of floor(scale * x)), asks, norm2 (double), dim: without rows of null ids and vectors that are null or
+    have null, NaN or infinite parts."""
     big = F.raise_error(F.lit("a scaled component does not fit into 64 bits"))
-    x = F.transform(F.col(f"`{vec_col}`"), lambda c: F.when(F.abs(c.cast("double") * scale) < float(1 << 63), F.floor(c.cast("double") * scale)).otherwise(big.cast("long")))
+    rows = settled(vectors, id_col, vec_col)
     parts = F.col(f"`{vec_col}`")
+    x = F.transform(parts, lambda c: F.when(F.abs(c.cast("double") * scale) < float(1 << 63), F.floor(c.cast("double") * scale)).otherwise(big.cast("long")))
     good = parts.isNotNull() & F.forall(parts, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
-    rows = vectors.where(good & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), x.alias("v"))
+    rows = rows.where(good & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), x.alias("v"), F.coalesce(asks, F.lit(False)).alias("asks"))
     return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))).withColumn("dim", F.size("v"))
 
 
@@ -66,14 +71,12 @@ def _by_dim(vectors: list[list[int]]) -> list[tuple[int, np.ndarray]]:
 
 def _best(q: np.ndarray, qid: np.ndarray, floor: np.ndarray, c: np.ndarray, cid: np.ndarray, turn: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Each query's k best of a candidate block sorted by falling length; `floor` are scores known to be reached k times."""
-    head = min(HEAD, q.shape[1])
+    near, far = (min(n, q.shape[1]) for n in HEADS)
     qf, cf = q.astype(float), c.astype(float)
     qr, cr = qf @ turn, cf @ turn
-    length = np.sqrt((cf**2).sum(axis=1))
-    q_length = np.sqrt((qf**2).sum(axis=1))
-    q_rest = np.sqrt((qr[:, head:] ** 2).sum(axis=1))
-    c_rest = np.sqrt((cr[:, head:] ** 2).sum(axis=1))
-    slack = 1e-9 * np.outer(q_length, length[:1] + 1).ravel() + 1e-6  # rounding of the rotated sums
+    length, q_length = (np.sqrt((x**2).sum(axis=1)) for x in (cf, qf))
+    (q_near, q_far), (c_near, c_far) = ([np.sqrt((x[:, n:] ** 2).sum(axis=1)) for n in (near, far)] for x in (qr, cr))
+    slack = 1e-9 * q_length * (length[:1].sum() + 1) + 1e-6  # rounding of the rotated sums
     out = []
     floor = floor.astype(float)
     # the first candidates raise the floor where nothing is known yet; those of the query's own id do not count
@@ -86,9 +89,11 @@ def _best(q: np.ndarray, qid: np.ndarray, floor: np.ndarray, c: np.ndarray, cid:
         n = int(reach[i])
         if not n:
             continue
-        bound = cr[:n, :head] @ qr[i, :head] + q_rest[i] * c_rest[:n]
-        may = np.flatnonzero(bound >= floor[i] - slack[i])
+        part = cr[:n, :near] @ qr[i, :near]
+        may = np.flatnonzero(part + q_near[i] * c_near[:n] >= floor[i] - slack[i])
         may = may[cid[may] != qid[i]]
+        if far > near and len(may):
+            may = may[part[may] + cr[may, near:far] @ qr[i, near:far] + q_far[i] * c_far[may] >= floor[i] - slack[i]]
         if not len(may):
             continue
         about = cf[may] @ qf[i]
@@ -120,33 +125,25 @@ def _whole(q: np.ndarray, c: np.ndarray, cid: np.ndarray, may: np.ndarray, about
 def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Each query's k candidates of highest integer inner product of floor(scale * x): query_id, rank, id, score.
 
-    queries marks the rows that are queries; candidates are all rows but those with the query's id. Ties go to the smaller
-    id. Vectors that are null, empty or hold null, NaN or infinite components take no part; vectors of different dimension
-    do not meet. Scaled components and scores beyond 64 bits raise, as they do in SQL. Repeated rows are candidates each;
-    an empty table gives an empty result; other columns are ignored.
+    queries marks the rows that are queries; every such row has a ranking of its own, also where an id stands on several
+    rows. Candidates are all rows but those with the query's id, repeated rows each. Ties go to the smaller id. Rows without
+    an id and vectors that are null, empty or hold null, NaN or infinite components take no part; vectors of different
+    dimension do not meet. Scaled components and scores beyond 64 bits raise, as they do in SQL. An empty table gives an
+    empty result; other columns are ignored.
     """
-    marked = vectors.where(queries).select(F.col(f"`{id_col}`").cast("long").alias("id")).distinct().withColumn("asks", F.lit(True))
-    rows = staged(quantised(vectors, scale, id_col, vec_col).where("dim > 0"))
+    rows = staged(quantised(vectors, scale, id_col, vec_col, queries).where("dim > 0"))
     turns = rows.sparkSession.sparkContext.broadcast(_rotations(rows))  # dim x dim numbers
     # blocks of falling length: range partitions by norm are cut into blocks where they lie
-    ordered = rows.repartitionByRange("dim", F.desc("norm2"), "id").sortWithinPartitions("dim", F.desc("norm2"), "id")
-    ordered = ordered.withColumn("at", F.monotonically_increasing_id())
-    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    blocks = staged(ordered.withColumn("block", part * F.lit(1 << 20) + F.floor(row / CANDIDATE_BLOCK)).select("id", "v", "norm2", "dim", "block"))
-    asking = rows.join(marked, "id").dropDuplicates(["id", "v"])
-    # query blocks by hash, of about QUERY_BLOCK rows
-    q_count = asking.groupBy("dim").count().collect()
-    buckets = F.create_map(*[F.lit(x) for r in q_count for x in (r["dim"], max(1, -(-r["count"] // QUERY_BLOCK)))]) if q_count else F.create_map(F.lit(0), F.lit(1))
-    asking = staged(asking.select("id", "v", "norm2", "dim", F.pmod(F.xxhash64("id"), F.element_at(buckets, F.col("dim"))).alias("q_block")))
-    summary = blocks.groupBy("dim", "block").agg(F.max("norm2").alias("longest"), F.count("*").alias("rows"))
-    q_summary = asking.groupBy("dim", "q_block").agg(F.max("norm2").alias("q_longest"))
-    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("longest"), "block"))
-    summary = staged(summary.withColumn("rank", rank))
-
-    def meet(pairs: DataFrame, floors: DataFrame | None) -> DataFrame:
-        """The best of each query in each (query block, candidate block) pair."""
-        ask = asking.withColumn("floor", F.lit(None).cast("long")) if floors is None else asking.join(floors, "id", "left")
-        left = pairs.join(ask.groupBy("dim", "q_block").agg(F.collect_list(F.struct("id", "v", "floor")).alias("asks")), ["dim", "q_block"])
+    cut = lambda at, size: F.shiftright(at, 33) * F.lit(1 << 20) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / size)
+    ordered = rows.repartitionByRange("dim", F.desc("norm2"), "id").sortWithinPartitions("dim", F.desc("norm2"), "id").withColumn("at", F.monotonically_increasing_id())
+    blocks = staged(ordered.select("id", "v", "norm2", "dim", cut(F.col("at"), CANDIDATE_BLOCK).alias("block")))
+    asking = staged(rows.where("asks").withColumn("q", F.monotonically_increasing_id()).select("q", "id", "v", "norm2", "dim"))
+    summary = blocks.groupBy("dim", "block").agg(F.max("norm2").alias("longest"))
+    summary = staged(summary.withColumn("rank", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("longest"), "block"))))
+
+    def meet(asks: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The best of each query in each (query block, candidate block) pair. asks: q, id, v, dim, q_block, floor, floor_id."""
+        left = pairs.join(asks.groupBy("dim", "q_block").agg(F.collect_list(F.struct("q", "id", "v", "floor", "floor_id")).alias("asks")), ["dim", "q_block"])
         right = blocks.groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct((-F.col("norm2")).alias("o"), "id", "v"))).alias("has"))
         both = left.join(right, ["dim", "block"]).select("dim", "asks", "has")
 
@@ -155,25 +152,35 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, scale: int = 64,
                 for i in range(batch.num_rows):
                     d = batch.column(0)[i].as_py()
                     asks, has = batch.column(1)[i].values, batch.column(2)[i].values
-                    qid, cid = asks.field("id").to_numpy(), has.field("id").to_numpy()
+                    number, qid, cid = asks.field("q").to_numpy(), asks.field("id").to_numpy(), has.field("id").to_numpy()
                     q = asks.field("v").flatten().to_numpy().reshape(-1, d)
                     c = has.field("v").flatten().to_numpy().reshape(-1, d)
-                    floor = pa.compute.fill_null(asks.field("floor").cast(pa.float64(), safe=False), -np.inf).to_numpy()
-                    got = _best(q, qid, floor, c, cid, turns.value[d], k)
-                    yield {
-                        "query_id": np.concatenate([np.full(len(x), qid[i]) for i, x, _ in got] or [np.zeros(0, np.int64)]),
-                        "vec": np.concatenate([x for _, x, _ in got] or [np.zeros(0, np.int64)]),
-                        "score": np.concatenate([s for _, _, s in got] or [np.zeros(0, np.int64)]),
-                    }
-
-        return map_arrow(both, run, "query_id long, vec long, score long")
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec")
-    pairs = q_summary.join(summary, "dim")
-    head = staged(meet(pairs.where("rank = 1").select("dim", "q_block", "block"), None))
-    kth = head.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "floor")
-    weakest = asking.join(kth, "id", "left").groupBy("dim", "q_block").agg(F.min(F.coalesce("floor", F.lit(-(1 << 62)))).alias("weakest"))
-    may = (F.col("weakest") <= 0) | (F.sqrt("longest") * F.sqrt("q_longest") * (1 + 1e-9) >= F.col("weakest"))
-    rest = meet(pairs.where("rank > 1").join(weakest, ["dim", "q_block"]).where(may).select("dim", "q_block", "block"), kth)
+                    known = asks.field("floor").is_valid().to_numpy(zero_copy_only=False)
+                    least, least_id = (pa.compute.fill_null(asks.field(f), 0).to_numpy() for f in ("floor", "floor_id"))
+                    found = [np.zeros((3, 0), np.int64)]
+                    for j, vec, score in _best(q, qid, np.where(known, least.astype(float), -np.inf), c, cid, turns.value[d], k):
+                        if known[j]:  # what cannot be among the k best any more stays here
+                            some = (score > least[j]) | (score == least[j]) & (vec <= least_id[j])
+                            vec, score = vec[some], score[some]
+                        found.append(np.stack([np.full(len(vec), number[j]), vec, score]))
+                    yield dict(zip(("q", "vec", "score"), np.concatenate(found, axis=1), strict=True))
+
+        return map_arrow(both, run, "q long, vec long, score long")
+
+    # against the longest candidates
+    none = [F.lit(None).cast("long").alias(c) for c in ("floor", "floor_id")]
+    first = asking.select("q", "id", "v", "dim", cut(F.col("q"), QUERY_BLOCK).alias("q_block"), *none)
+    head = staged(meet(first, first.select("dim", "q_block").distinct().join(summary.where("rank = 1").select("dim", "block"), "dim")))
+    kth = head.groupBy("q").agg(F.count("*").alias("n"), F.max(F.struct((-F.col("score")).alias("s"), "vec")).alias("last")).where(F.col("n") >= k)
+    kth = kth.select("q", (-F.col("last.s")).alias("floor"), F.col("last.vec").alias("floor_id"))
+    # against the rest, queries of like need together
+    need = F.when(F.col("floor") > 0, F.col("floor") / F.sqrt("norm2")).otherwise(F.lit(float("-inf")))
+    second = asking.join(kth, "q", "left").withColumn("need", F.coalesce(need, F.lit(float("-inf"))))
+    second = second.repartitionByRange("dim", F.desc("need"), "q").sortWithinPartitions("dim", F.desc("need"), "q").withColumn("at", F.monotonically_increasing_id())
+    second = staged(second.select("q", "id", "v", "dim", "floor", "floor_id", "need", cut(F.col("at"), QUERY_BLOCK).alias("q_block")))
+    least = second.groupBy("dim", "q_block").agg(F.min("need").alias("need"))
+    pairs = least.join(summary.where("rank > 1"), "dim").where(F.sqrt("longest") * (1 + 1e-9) >= F.col("need"))
+    rest = meet(second, pairs.select("dim", "q_block", "block"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec")
     out = head.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return out.select("query_id", "rank", F.col("vec").alias(id_col), "score")
+    return out.join(asking.select("q", F.col("id").alias("query_id")), "q").select("query_id", "rank", F.col("vec").alias(id_col), "score")
