@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_arrow, staged
+from .common import map_arrow, only, staged
 
 END = "\0"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path: both empty for null or without ://."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(__url, instr(__url, '://') + 3)")).otherwise(F.lit(""))
-    rest = F.coalesce(rest, F.lit(""))
+    at = F.instr(url, "://")
+    rest = F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
@@ -42,8 +42,8 @@ def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", id_col:
     URL without a path. Repeated rows are judged each; null ids stay; other columns are ignored.
     """
     spark = pages.sparkSession
-    base = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("__url"))
-    host, path = split_url(F.col("__url"))
+    base = only(pages, id=id_col, url=url_col)
+    host, path = split_url(F.col("url").cast("string"))
     base = base.select("id", host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
     base = staged(base)
     # each distinct URL is probed once
