@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .bpe import _LETTER, _classes
-from .common import batches_of, code_points, keep_rows, map_arrow, staged
+from .common import batches_of, code_points, keep_rows, map_arrow, only, settled, staged
 
 #: Sample for each language: so many distinct labelled texts with a letter (those of lowest hash), a stretch of so many characters of each.
 SAMPLE_TEXTS, SAMPLE_CHARS = 60, 300
@@ -35,7 +35,7 @@ UNDETERMINED = "und"
 def training_sample(docs: DataFrame, train: Column, text_col: str, lang_col: str) -> dict[str, list[str]]:
     """Stretches of labelled texts by language: SAMPLE_TEXTS of SAMPLE_CHARS characters, whatever the table's size."""
     text = F.col(f"`{text_col}`")
-    rows = docs.where(train & F.col(f"`{lang_col}`").isNotNull() & text.rlike(r"\p{L}"))
+    rows = settled(docs, text_col, lang_col).where(train & F.col(f"`{lang_col}`").isNotNull() & text.rlike(r"\p{L}"))
     key = F.xxhash64(text)
     at = F.pmod(F.xxhash64(text, F.lit(1)), F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1))) + 1
     rows = rows.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), key.alias("key"), text.substr(at.cast("int"), F.lit(SAMPLE_CHARS)).alias("stretch"))
@@ -209,7 +209,11 @@ def _parser(sample: tuple[tuple[str, str], ...]) -> CrossParser:
 
 
 def train(docs: DataFrame, where: Column, *, text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, str], ...]:
-    """The model: each language's sample as one text. At most SAMPLE_TEXTS * SAMPLE_CHARS characters a language."""
+    """The model: each language's sample as one text. At most SAMPLE_TEXTS * SAMPLE_CHARS characters a language.
+
+    Learns from rows that meet `where` and have a language and a text with a letter; copies of a text count once, and of
+    texts with one hash the stretch that sorts first. Without such rows nothing is learnt. Other columns are ignored.
+    """
     return tuple((k, "\n".join(v)) for k, v in sorted(training_sample(docs, where, text_col, lang_col).items()))
 
 
@@ -227,14 +231,17 @@ def identify(docs: DataFrame, model: tuple[tuple[str, str], ...], *, id_col: str
         for batch in batches:
             for first, texts in batches_of(batch, "text"):
                 best, score = parser.best(texts)
-                yield {id_col: batch.column(0).slice(first, len(texts)), "lang_pred": pa.array(names[best].tolist(), pa.string()), "score": score}
+                yield {"id": batch.column(0).slice(first, len(texts)), "lang_pred": pa.array(names[best].tolist(), pa.string()), "score": score}
 
-    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("text"))
-    return map_arrow(rows, run, f"{id_col} {dict(docs.dtypes)[id_col]}, lang_pred string, score double")
+    rows = only(docs, id=id_col, text=text_col)
+    return map_arrow(rows, run, f"id {dict(rows.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def known_rows(docs: DataFrame, model: tuple[tuple[str, str], ...], *, languages: tuple[str, ...] | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in one of `languages` (by default any language learnt)."""
+    """The rows of docs, with all their columns, whose text is in one of `languages` (by default any language learnt).
+
+    Null texts and texts without a letter go; so does every row if nothing was learnt. Repeated rows stay or go together.
+    """
 
     def good(texts: list[str]) -> np.ndarray:
         parser = _parser(model)

@@ -325,8 +325,10 @@ def test_urls(spark):
 
 def test_top_k_of_messy_vectors(spark):
     rows = [(0, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (2, [1.0, None], 0), (3, None, 0), (4, [float("nan"), 1.0], 0), (5, [float("inf"), 1.0], 0), (6, [-1.0, 0.5], 0), (6, [-1.0, 0.5], 0), (20, [0.0, 0.0], 0), (7, [1.0], 0), (8, [], 0)]
+    rows += [(None, [9.0, 9.0], 0)]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int"), F.col("vec_id") % 20 == 0, k=3).toPandas()
-    assert got[got.query_id == 0].sort_values("rank").vec_id.tolist() == [1, 6, 6] or got[got.query_id == 0].sort_values("rank").vec_id.tolist() == [1, 20, 6]
+    # against (64, 128): 20480, then twice 0 of the two rows 6 and 0 of row 20
+    assert got[got.query_id == 0].sort_values("rank")[["vec_id", "score"]].values.tolist() == [[1, 20480], [6, 0], [6, 0]]
     assert got[got.query_id == 20].sort_values("rank").vec_id.tolist() == [0, 1, 6] and (got[got.query_id == 20].score == 0).all()
 
 
@@ -346,7 +348,55 @@ def test_top_k_where_the_query_stands_more_than_once_and_of_large_components(spa
     large = [(1001, [2.0**20, 1, 0, 0, 0, 0.5], 0), (1002, [-(2.0**21), 3, 0, 0, 0, 0.5], 0), (60, [2.0**22, 0.25, 1, 1, 1, 1], 0), (1003, [2.0**22, 0.25, 1, 1, 1, 1.5], 0), (1004, [2.0**22, 0.25, 1, 1, 1, 1.515625], 0)]
     for table in (rows, rows + [(i, [float(x) for x in v], z) for i, v, z in large]):
         got = topk.top_k(spark.createDataFrame(table, "vec_id long, embedding array<float>, rank int"), F.col("vec_id") % 20 == 0, k=20).toPandas().sort_values(["query_id", "rank"])
-        assert {q: list(zip(-g.score, g.vec_id, strict=True)) for q, g in got.groupby("query_id")} == brute_top(table, 20)
+        assert {q: list(zip(-g.score, g.vec_id, strict=True))[:: sum(i == q for i, _, _ in table)] for q, g in got.groupby("query_id")} == brute_top(table, 20)
+
+
+def test_top_k_ranks_every_query_row_and_prunes_in_small_blocks(spark, monkeypatch):
+    """Rows of one query id with different vectors, many equal candidates, blocks of a few rows."""
+    rng = np.random.default_rng(9)
+    rows = [(n, rng.normal(size=5).astype(np.float32).tolist(), 0) for n in range(1, 260) if n % 20]
+    rows += [(n, [1.0, 1.0, 1.0, 1.0, 1.0], 0) for n in range(301, 360) if n % 20] + [(40, [1.0] * 5, 0), (40, [-1.0, 2.0, 0.5, 0.0, 1.0], 0), (80, [0.0] * 5, 0)]
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").repartition(6), F.col("vec_id") % 20 == 0, k=7).toPandas()
+    found = collections.Counter(zip(got.query_id, got["rank"], got.vec_id, got.score, strict=True))
+    want = collections.Counter()
+    ints = [(i, [math.floor(64 * x) for x in v]) for i, v, _ in rows]
+    for q, v in ints:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ints if i != q)[:7]
+            want.update((q, r, i, -s) for r, (s, i) in enumerate(best, 1))
+    assert found == want
+
+
+def test_langid_of_the_query_equals_brute_force(spark, docs):
+    sample = langid.train(docs_of(spark), crc_of_id() % 5 != 0)
+    parser = langid.CrossParser(sample)
+    squeeze = lambda x: re.sub("\x00+", "\x00", "".join(c if unicodedata.category(c)[0] == "L" else "\x00" for c in x.lower()))
+    flat = {k: squeeze(x) for k, x in sample}
+    alphabet = {c for x in flat.values() for c in x}
+
+    def phrases(x: str, whole: str) -> int:
+        """Longest matches one after the other; a text is parsed in blocks of BLOCK letters and gaps."""
+        n = 0
+        for k in range(0, len(x), langid.BLOCK):
+            part, i = x[k : k + langid.BLOCK], 0
+            while i < len(part):
+                size = 1
+                while i + size <= len(part) and part[i : i + size] in whole:
+                    size += 1
+                i, n = i + max(1, size - 1), n + 1
+        return n
+
+    got = dict(zip(*(lambda t: (t.doc_id, t.lang_pred))(queries.op6_langid(spark, DATA).toPandas()), strict=True))
+    checked = 0
+    for i, x in zip(docs.doc_id, docs.text, strict=True):
+        own = squeeze(x)
+        if len(x) < 1500 and set(own) <= alphabet and len(x.lower()) == len(x):
+            bits = [phrases(own, flat[k]) * np.log2(max(len(parser.classes(np.frombuffer(v.encode("utf-32-le"), np.uint32))), 2)) for k, v in sample]
+            assert got[i] == (sample[int(np.argmin(bits))][0] if own.strip("\x00") else "und")
+            checked += 1
+    assert checked > 80
 
 
 def test_rollup_is_idempotent_and_additive(spark, tmp_path):
