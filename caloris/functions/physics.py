@@ -48,15 +48,18 @@ def cubic_conductance(k_a: Column, k_b: Column, side_a_m: Column, side_b_m: Colu
     return F.coalesce(F.when(good, F.lit(1.0) / (side_a_m * 0.5 / (k_a * area) + side_b_m * 0.5 / (k_b * area))), F.lit(0.0))
 
 
-def harmonic_mean(a: Column, b: Column) -> Column:
-    return F.when((a > 0) & (b > 0), F.lit(2.0) / (F.lit(1.0) / a + F.lit(1.0) / b)).otherwise(F.lit(0.0))
-
-
 def radiation_linear(emissivity: Column, area_m2: Column, reference_K: float = 293.15) -> Column:
     """Linearised radiative conductance 4 e s A T^3."""
     return F.lit(4.0) * emissivity * STEFAN_BOLTZMANN * area_m2 * float(reference_K) ** 3
 
 
+def radiation_coefficient(emissivity: Column, area_m2: Column, g_rad_w_k: Column, reference_K: Column) -> Column:
+    """Coefficient e s A of the T^4 law; where area or emissivity is missing, that of the linear conductance G / (4 T^3)."""
+    own = F.greatest(emissivity, F.lit(0.0)) * STEFAN_BOLTZMANN * F.greatest(area_m2, F.lit(0.0))
+    linear = F.when(reference_K > 0, F.greatest(g_rad_w_k, F.lit(0.0)) / (4.0 * F.pow(reference_K, F.lit(3))))
+    return F.coalesce(F.when(own > 0, own), linear, F.lit(0.0))
+
+
 def radiation_power(emissivity: Column, area_m2: Column, temperature_K: Column, surroundings_K: Column) -> Column:
     """Power gained from the surroundings: e s A (Ts^4 - T^4)."""
     return emissivity * STEFAN_BOLTZMANN * area_m2 * (F.pow(surroundings_K, 4) - F.pow(temperature_K, 4))

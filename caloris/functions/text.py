@@ -27,7 +27,7 @@ MATERIAL_PATTERNS = (
     (r"\bPHENOLIC\b", "Phenolic"),
 )
 #: Stops of the thermal colour scale, from cold to hot.
-COLOUR_STOPS = ((0, 0, 64), (0, 64, 255), (0, 192, 255), (0, 255, 128), (255, 255, 0), (255, 128, 0), (255, 0, 0), (255, 255, 255))
+COLOUR_STOPS = ((0.0, "#d9d9d9"), (0.12, "#4b00b5"), (0.25, "#0000cc"), (0.42, "#00a52a"), (0.6, "#d6d100"), (0.75, "#c46a00"), (0.9, "#b00020"), (1.0, "#5a001f"))
 
 
 def normalise_name(c: Column) -> Column:
@@ -40,8 +40,8 @@ def match_key(c: Column) -> Column:
 
 
 def strip_solid_suffix(c: Column) -> Column:
-    """Without trailing _geometry, _mesh, _body or _solid, however many; a name made of them alone stays."""
-    bare = F.regexp_replace(c, "(?i)(_geometry|_mesh|_body|_solid)+$", "")
+    """The normalised name without trailing _geometry, _mesh, _body or _solid, however many; a name made of them alone stays."""
+    bare = F.regexp_replace(normalise_name(c), "(?i)(_geometry|_mesh|_body|_solid)+$", "")
     return F.when(bare == "", c).otherwise(bare)
 
 
@@ -55,9 +55,12 @@ def is_unassigned(c: Column) -> Column:
 
 
 def infer_material(c: Column, known: Sequence[str]) -> Column:
-    """The first pattern that fits and whose material is known; null if none does."""
+    """A known material whose name the text is (whatever the case and outer blanks, of several the first; placeholders do not
+    count), else that of the first pattern that fits and whose material is known; null if none does."""
+    names = {k.casefold(): k for k in reversed(known) if k.strip().lower() not in UNASSIGNED}
+    exact = F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.lower(F.trim(c))) if names else F.lit(None).cast("string")
     text = normalise_material_text(c)
-    return F.coalesce(*[F.when(text.rlike(p), F.lit(m)) for p, m in MATERIAL_PATTERNS if m in known], F.lit(None).cast("string"))
+    return F.coalesce(exact, *[F.when(text.rlike(p), F.lit(m)) for p, m in MATERIAL_PATTERNS if m in known], F.lit(None).cast("string"))
 
 
 def matches_any(c: Column, patterns: Sequence[str]) -> Column:
@@ -118,12 +121,15 @@ def celsius(kelvin: Column) -> Column:
 def hex_colour(value: Column, low: Column, high: Column) -> Column:
     """Piecewise-linear colour of a value between low and high as #rrggbb; an empty range gives the middle."""
     t = F.when(high > low, F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.5))
-    n = len(COLOUR_STOPS) - 1
-    at = F.least(F.floor(t * n), F.lit(n - 1)).cast("int")
-    part = t * n - at
-    stops = [F.array(*[F.lit(s[k]) for s in COLOUR_STOPS]) for k in range(3)]
-    rgb = [F.floor(F.element_at(s, at + 1) * (1 - part) + F.element_at(s, at + 2) * part + 0.5).cast("int") for s in stops]
-    return F.format_string("#%02x%02x%02x", *rgb)
+    channels = []
+    for k in (1, 3, 5):
+        stops = [(at, int(colour[k : k + 2], 16) / 255.0) for at, colour in COLOUR_STOPS]
+        out = F.lit(stops[-1][1])
+        for (a, x), (b, y) in reversed([*zip(stops, stops[1:], strict=False)]):
+            part = (t - a) / (b - a)
+            out = F.when(t <= b, (1.0 - part) * x + part * y).otherwise(out)
+        channels.append(F.bround(out * 255.0, 0).cast("int"))
+    return F.format_string("#%02x%02x%02x", *channels)
 
 
 def tooltip(*parts: tuple[str, Column]) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caloris.functions.physics import clip
+from caloris.session import ship_package, staged
 
 
 def derivative(readings: DataFrame, key: str = "sensor_id", time: str = "time_s", value: str = "value", floor_s: float = 1e-9) -> DataFrame:
@@ -18,24 +18,78 @@ def derivative(readings: DataFrame, key: str = "sensor_id", time: str = "time_s"
     return readings.withColumn("rate", F.when(dt > floor_s, dv / dt))
 
 
-def _series(readings: DataFrame, key: str, time: str, *columns: str) -> DataFrame:
-    """One row per key with its readings in order of time. A key's history must fit a task; long ones are streamed."""
-    return readings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(time, *columns))).alias("series"))
+#: Rows of a key that one task folds at once.
+SCAN_ROWS = 4096
+
+
+def affine_scan(rows: DataFrame, key: str, order: str, start: float = 0.0) -> DataFrame:
+    """rows with y, where y = a * y' + b along each key in `order` and y' = start before the first row.
+
+    Each block of SCAN_ROWS rows is one affine map of the value before it; the maps of a key's blocks are folded in order,
+    and then every block on its own. So a long history is work for many tasks, and one task holds a block, or one row a
+    block.
+    """
+    ship_package(rows.sparkSession)
+    at = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    numbered = staged(rows.withColumns({"scan_at": at}).withColumn("scan_block", F.floor(F.col("scan_at") / SCAN_ROWS).cast("int")))
+
+    def whole(table: pa.Table) -> pa.Table:
+        table = table.sort_by("scan_at")
+        a, b = 1.0, 0.0
+        for x, y in zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True):
+            a, b = x * a, x * b + y
+        return pa.table({key: table[key].slice(0, 1), "scan_block": table["scan_block"].slice(0, 1), "a": [a], "b": [b]})
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("scan_block")
+        before, y = [], start
+        for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True):
+            before.append(y)
+            y = a * y + b
+        return pa.table({key: table[key], "scan_block": table["scan_block"], "before": before})
+
+    kind = dict(rows.dtypes)[key]
+    maps = numbered.select(key, "scan_block", "scan_at", "a", "b").groupBy(key, "scan_block").applyInArrow(whole, f"{key} {kind}, scan_block int, a double, b double")
+    begins = maps.groupBy(key).applyInArrow(fold, f"{key} {kind}, scan_block int, before double")
+
+    def apply(table: pa.Table) -> pa.Table:
+        table = table.sort_by("scan_at")
+        out, y = [], table["before"][0].as_py()
+        for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True):
+            y = a * y + b
+            out.append(y)
+        return table.drop_columns(["a", "b", "before", "scan_at", "scan_block"]).append_column("y", pa.array(out, pa.float64()))
+
+    kept = [c for c in numbered.columns if c not in ("a", "b", "scan_at", "scan_block")]
+    schema = ", ".join(f"{c} {dict(numbered.dtypes)[c]}" for c in kept) + ", y double"
+    return numbered.join(begins, [key, "scan_block"]).select(*kept, "a", "b", "before", "scan_at", "scan_block").groupBy(key, "scan_block").applyInArrow(apply, schema)
 
 
 def low_pass(readings: DataFrame, tau_s: float, key: str = "sensor_id", time: str = "time_s", value: str = "value") -> DataFrame:
-    """readings (key, time, value) with filtered: y = (1 - a) y' + a x, a = dt / (tau + dt); the first is its value."""
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("y"), F.array().cast(f"array<struct<{time}:double,{value}:double,filtered:double>>").alias("out"))
+    """readings (key, time, value) with filtered: y = (1 - a) y' + a x, a = dt / (tau + dt); the first is its value, and where
+    time stands still it stays."""
+    dt = F.col(time) - F.lag(time).over(Window.partitionBy(key).orderBy(time))
+    share = F.when(dt.isNull(), F.lit(1.0)).when(dt > 0, dt / (tau_s + dt)).otherwise(F.lit(0.0))
+    rows = readings.select(key, F.col(time).cast("double"), F.col(value).cast("double")).withColumn("b", share)
+    rows = rows.withColumns({"a": 1.0 - F.col("b"), "b": F.col("b") * F.col(value)})
+    return affine_scan(rows, key, time).select(key, time, value, F.col("y").alias("filtered"))
 
-    def step(acc: Column, x: Column) -> Column:
-        dt = x[time].cast("double") - acc["t"]
-        a = dt / (tau_s + dt)
-        y = F.when(acc["y"].isNull(), x[value]).when(dt > 0, (1 - a) * acc["y"] + a * x[value]).otherwise(acc["y"]).cast("double")
-        row = F.struct(x[time].cast("double").alias(time), x[value].cast("double").alias(value), y.alias("filtered"))
-        return F.struct(x[time].cast("double").alias("t"), y.alias("y"), F.array_append(acc["out"], row).alias("out"))
 
-    rows = _series(readings, key, time, value).select(key, F.explode(F.aggregate("series", start, step)["out"]).alias("r"))
-    return rows.select(key, f"r.{time}", f"r.{value}", "r.filtered")
+def drift_estimate(readings: DataFrame, tau_s: float, floor_s: float = 1e-9, key: str = "sensor_id", time: str = "time_s", value: str = "value") -> DataFrame:
+    """readings with raw (change per second) and hat, its low pass from 0: hat = (1 - a) hat' + a raw, a = dt / (tau + dt).
+
+    Where there is no reading before, time stands still or the change is not finite, raw is the filtered value before, so
+    the estimate stays.
+    """
+    w = Window.partitionBy(key).orderBy(time)
+    dt, change = F.col(time) - F.lag(time).over(w), F.col(value) - F.lag(value).over(w)
+    rate = F.when(dt > floor_s, change / dt)
+    rate = F.when(F.isnan(rate) | (F.abs(rate) == float("inf")), None).otherwise(rate)
+    rows = readings.select(key, F.col(time).cast("double"), F.col(value).cast("double"), rate.alias("rate"), F.when(rate.isNotNull(), dt / (tau_s + dt)).otherwise(F.lit(0.0)).alias("share"))
+    rows = rows.withColumns({"a": 1.0 - F.col("share"), "b": F.col("share") * F.coalesce("rate", F.lit(0.0))})
+    out = affine_scan(rows, key, time)
+    before = F.coalesce(F.lag("y").over(w), F.lit(0.0))
+    return out.withColumn("raw", F.coalesce("rate", before)).select(key, time, value, "raw", F.col("y").alias("hat"))
 
 
 def lead(readings: DataFrame, settle_s: float, key: str = "sensor_id", time: str = "time_s", value: str = "value") -> DataFrame:
@@ -146,7 +200,3 @@ def dynamic_gains(pairs: DataFrame, explicit: DataFrame, inverse_c: DataFrame, a
 def manual_power(command_w: Column, most_w: Column, paired: Column) -> Column:
     """A manual heater's power: clamped, and none without a paired sensor."""
     return F.when(paired, clip(command_w, 0.0, most_w)).otherwise(F.lit(0.0))
-
-
-def columns_of(names: Sequence[str]) -> list[Column]:
-    return [F.col(n) for n in names]

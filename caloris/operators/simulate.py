@@ -46,9 +46,12 @@ def explicit_steps(state: DataFrame, edges: DataFrame, dt: float, steps: int, *,
 
 
 def time_constants(state: DataFrame, edges: DataFrame) -> DataFrame:
-    """node_id, total_g_w_k, tau_s = C / sum of conductances (null for isolated nodes)."""
+    """node_id, total_g_w_k, tau_s = C / sum of conductances (null for isolated nodes); a column g_rad_w_k of the state, the
+    linear radiative conductance, counts among them."""
     total = both_ways(edges, "g_w_k").groupBy("node").agg(F.sum("g_w_k").alias("g")).withColumnRenamed("node", "node_id")
     g = F.coalesce("g", F.lit(0.0))
+    if "g_rad_w_k" in state.columns:
+        g = g + F.coalesce("g_rad_w_k", F.lit(0.0))
     return state.join(total, "node_id", "left").select("node_id", g.alias("total_g_w_k"), F.when(g > 0, F.col("capacity_j_k") / g).alias("tau_s"))
 
 

@@ -2,36 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from caloris.functions import physics as P
 from caloris.operators import control, roles, sysid
 from caloris.plans import views
 from caloris.plans.geometry_queries import props
+from caloris.plans.registry import Registry, rounded
 from caloris.plans.views import sql
 from caloris.session import scratch, staged
 from caloris.streaming import controller
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-R6 = lambda c: F.round(c, 6).alias(c)
-
-
-def query(oracle: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 
 
 @query(sql("readings", "SELECT sensor_id, time_s, round((value - lag(value) OVER w) / (time_s - lag(time_s) OVER w), 6) AS rate FROM readings WINDOW w AS (PARTITION BY sensor_id ORDER BY time_s)"))
 def drift_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return control.derivative(views.readings(spark, sf_dir)).select("sensor_id", "time_s", R6("rate"))
+    return control.derivative(views.readings(spark, sf_dir)).select("sensor_id", "time_s", rounded("rate"))
 
 
 @query(f"""WITH RECURSIVE {views.CTES['readings']}, n AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY time_s) AS r FROM readings),
@@ -39,13 +27,23 @@ def drift_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT n.sensor_id, n.r, n.time_s, (1 - (n.time_s - f.time_s) / (50.0::DOUBLE + (n.time_s - f.time_s))) * y + (n.time_s - f.time_s) / (50.0::DOUBLE + (n.time_s - f.time_s)) * n.value FROM f JOIN n ON n.sensor_id = f.sensor_id AND n.r = f.r + 1)
     SELECT sensor_id, time_s, round(y, 6) AS filtered FROM f""")
 def drift_lowpass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return control.low_pass(views.readings(spark, sf_dir), 50.0).select("sensor_id", "time_s", R6("filtered"))
+    return control.low_pass(views.readings(spark, sf_dir), 50.0).select("sensor_id", "time_s", rounded("filtered"))
+
+
+@query(f"""WITH RECURSIVE {views.CTES['readings']}, n AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY time_s) AS r FROM readings),
+    f(sensor_id, r, time_s, v, raw, hat) AS (SELECT sensor_id, r, time_s, value, 0.0::DOUBLE, 0.0::DOUBLE FROM n WHERE r = 1 UNION ALL
+      SELECT n.sensor_id, n.r, n.time_s, n.value, (n.value - v) / (n.time_s - f.time_s), (1 - (n.time_s - f.time_s) / (2.0::DOUBLE + (n.time_s - f.time_s))) * hat + (n.time_s - f.time_s) / (2.0::DOUBLE + (n.time_s - f.time_s)) * ((n.value - v) / (n.time_s - f.time_s))
+      FROM f JOIN n ON n.sensor_id = f.sensor_id AND n.r = f.r + 1)
+    SELECT sensor_id, time_s, round(raw, 6) AS raw, round(hat, 6) AS hat FROM f""")
+def drift_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The controller's drift estimate of every reading."""
+    return control.drift_estimate(views.readings(spark, sf_dir), 2.0).select("sensor_id", "time_s", rounded("raw"), rounded("hat"))
 
 
 @query(sql("readings", """SELECT sensor_id, time_s, round(coalesce((value - exp(-(time_s - lag(time_s) OVER w) / 10.0::DOUBLE) * lag(value) OVER w) / (1 - exp(-(time_s - lag(time_s) OVER w) / 10.0::DOUBLE)), value), 6) AS lead
     FROM readings WINDOW w AS (PARTITION BY sensor_id ORDER BY time_s)"""))
 def lead_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return control.lead(views.readings(spark, sf_dir), 50.0).select("sensor_id", "time_s", R6("lead"))
+    return control.lead(views.readings(spark, sf_dir), 50.0).select("sensor_id", "time_s", rounded("lead"))
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +76,7 @@ def mode_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("readings", "SELECT sensor_id, round(sqrt(sum((1 + time_s % 3) * (300 - value) ** 2) / sum(1 + time_s % 3)), 6) AS rms FROM readings GROUP BY sensor_id"))
 def weighted_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.readings(spark, sf_dir).select("sensor_id", (300.0 - F.col("value")).alias("error"), (1.0 + F.col("time_s") % 3).alias("weight"))
-    return control.weighted_rms(e, "sensor_id").select("sensor_id", R6("rms"))
+    return control.weighted_rms(e, "sensor_id").select("sensor_id", rounded("rms"))
 
 
 @query(sql("readings", """SELECT sensor_id, round(sum((value + p) / 2 * (time_s - t)), 4) AS energy FROM (SELECT *, lag(value) OVER w AS p, lag(time_s) OVER w AS t FROM readings WINDOW w AS (PARTITION BY sensor_id ORDER BY time_s)) GROUP BY sensor_id"""))
@@ -107,7 +105,7 @@ _LINKS = ", links AS (SELECT role_id AS sensor_id, node_id, greatest(area, 1) AS
 def sensor_readout_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted readouts; every ninth cell's temperature is NaN and does not count."""
     t = views.cells(spark, sf_dir).select("node_id", F.when(F.col("node_id") % 9 == 0, float("nan")).otherwise(290.0 + F.col("node_id") % 20).alias("temperature_k"))
-    return roles.readout(_links(spark, sf_dir), t).select("sensor_id", R6("readout_k"))
+    return roles.readout(_links(spark, sf_dir), t).select("sensor_id", rounded("readout_k"))
 
 
 @query(sql("cells mats props roles near", _LINKS + " SELECT sensor_id, round(avg(1 / cap), 9) AS inverse_c FROM links JOIN props USING (node_id) GROUP BY sensor_id"))
@@ -119,7 +117,7 @@ def mean_inverse_capacitance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heater_deposit(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _links(spark, sf_dir).withColumnRenamed("sensor_id", "heater_id")
     commands = views.roles(spark, sf_dir).where("kind = 'heater'").select(F.col("role_id").alias("heater_id"), (1.0 + F.col("role_id") % 4).alias("power_w"))
-    return roles.deposit(commands, w).select("node_id", R6("power_w"))
+    return roles.deposit(commands, w).select("node_id", rounded("power_w"))
 
 
 @query(sql("cells", "SELECT node_id, round(least(greatest(0.5::DOUBLE * (250 + node_id % 40 - 270), 0), 8), 6) AS power_w FROM cells"))
@@ -160,14 +158,14 @@ _GAINS = "gain_a gain_r"
     SELECT CAST(count(*) AS BIGINT) AS cells, round(max(abs(b - a)), 6) AS max_abs, round(avg(abs(b - a)), 6) AS mean_abs, round(sqrt(sum((b - a) ** 2)) / sqrt(sum(a * a)), 6) AS relative, round(corr(a, b), 6) AS correlation FROM x"""))
 def gain_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = sysid.compare(views.gains(spark, sf_dir, "A"), views.gains(spark, sf_dir, "R"))
-    return c.select("cells", R6("max_abs"), R6("mean_abs"), R6("relative"), R6("correlation"))
+    return c.select("cells", rounded("max_abs"), rounded("mean_abs"), rounded("relative"), rounded("correlation"))
 
 
 @query(sql(_GAINS, "SELECT sensor_id, heater_id, round(gain, 6) AS gain FROM gain_a WHERE gain <> 0 AND sensor_id % 2 = 0 AND heater_id % 3 = 0"))
 def gain_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = views.gains(spark, sf_dir, "A")
     s, h = g.select("sensor_id").where("sensor_id % 2 = 0"), g.select("heater_id").where("heater_id % 3 = 0")
-    return sysid.prune(g, s, h).select("sensor_id", "heater_id", R6("gain"))
+    return sysid.prune(g, s, h).select("sensor_id", "heater_id", rounded("gain"))
 
 
 @query("""WITH r AS (SELECT CAST(l_suppkey % 10 AS BIGINT) AS sensor_id, CAST(l_partkey % 7 AS BIGINT) AS heater_id, l_linestatus = 'F' AS base, l_quantity AS v, CASE WHEN l_linestatus = 'F' THEN 1.0::DOUBLE ELSE 3.5::DOUBLE END AS p FROM lineitem)
@@ -175,20 +173,20 @@ def gain_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gain_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.col("l_linestatus") == "F"
     r = views.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).cast("long").alias("sensor_id"), (F.col("l_partkey") % 7).cast("long").alias("heater_id"), F.when(base, "baseline").otherwise("experiment").alias("phase"), F.col("l_quantity").alias("value"), F.when(base, 1.0).otherwise(3.5).alias("power_w"))
-    return sysid.identify(r).select("sensor_id", "heater_id", R6("gain"))
+    return sysid.identify(r).select("sensor_id", "heater_id", rounded("gain"))
 
 
 @query(sql(_GAINS, "SELECT sensor_id, heater_id, round(gain, 6) AS gain FROM gain_r WHERE gain <> 0"))
 def gain_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long gains to one map for each sensor and back."""
-    return sysid.from_maps(sysid.to_maps(views.gains(spark, sf_dir, "R"))).select("sensor_id", "heater_id", R6("gain"))
+    return sysid.from_maps(sysid.to_maps(views.gains(spark, sf_dir, "R"))).select("sensor_id", "heater_id", rounded("gain"))
 
 
 @query(sql(_GAINS, "SELECT p.sensor_id, p.heater_id, round(coalesce(CASE WHEN p.heater_id % 2 = 0 THEN p.gain END, 2 * 0.1::DOUBLE, 0), 6) AS gain FROM gain_a p"))
 def dynamic_gain_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = views.gains(spark, sf_dir, "A")
     inverse = g.select("sensor_id").distinct().withColumn("inverse_c", F.lit(0.1))
-    return control.dynamic_gains(g.select("sensor_id", "heater_id"), g.where("heater_id % 2 = 0"), inverse, 2.0).select("sensor_id", "heater_id", R6("gain"))
+    return control.dynamic_gains(g.select("sensor_id", "heater_id"), g.where("heater_id % 2 = 0"), inverse, 2.0).select("sensor_id", "heater_id", rounded("gain"))
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -221,7 +219,7 @@ def stream_controller(spark: SparkSession, sf_dir: str) -> DataFrame:
     with scratch(spark, "stream") as base:
         views.readings(spark, sf_dir).write.parquet(f"{base}/in")
         out = controller.run_once(spark, f"{base}/in", f"{base}/out", f"{base}/log", tau_s=50.0, setpoint=300.0, hold=5.0, coarse=15.0)
-        return staged(out.select("sensor_id", "time_s", R6("filtered"), "mode"))
+        return staged(out.select("sensor_id", "time_s", rounded("filtered"), "mode"))
 
 
 @query("SELECT CAST(o_custkey AS BIGINT) AS sensor_id, CAST(min(CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END) AS INTEGER) AS level FROM orders GROUP BY o_custkey")

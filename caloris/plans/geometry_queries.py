@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caloris.functions import physics as P
 from caloris.operators import contacts, materials, octree, roles
 from caloris.plans import views
+from caloris.plans.registry import Registry
 from caloris.plans.views import sql
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 
 
 def props(spark: SparkSession, sf_dir: str) -> DataFrame:

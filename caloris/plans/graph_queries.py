@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from caloris.functions import physics as P
 from caloris.operators import graph, reports, simulate
 from caloris.plans import views
 from caloris.plans.geometry_queries import grid_conductance, props
+from caloris.plans.registry import Registry, rounded
 from caloris.plans.views import sql
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-R6 = lambda c: F.round(c, 6).alias(c)
-
-
-def query(oracle: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 
 
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,12 +39,12 @@ def conn(spark: SparkSession, sf_dir: str, largest: int | None = 20) -> tuple[Da
 def time_constants_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = state(spark, sf_dir)
     taus = simulate.time_constants(s, grid_conductance(spark, sf_dir)).join(s.select("node_id", "capacity_j_k"), "node_id")
-    return taus.where("tau_s IS NOT NULL").orderBy(F.desc("tau_s"), "node_id").limit(20).select("node_id", R6("capacity_j_k"), R6("total_g_w_k"), R6("tau_s"))
+    return taus.where("tau_s IS NOT NULL").orderBy(F.desc("tau_s"), "node_id").limit(20).select("node_id", rounded("capacity_j_k"), rounded("total_g_w_k"), rounded("tau_s"))
 
 
 @query(sql("cells mats props grid gedges ends", "SELECT node AS row, other AS col, round(-sum(g), 6) AS value FROM ends GROUP BY ALL UNION ALL SELECT node, node, round(sum(g), 6) FROM ends GROUP BY node"))
 def laplacian_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.laplacian(grid_conductance(spark, sf_dir)).select("row", "col", R6("value"))
+    return graph.laplacian(grid_conductance(spark, sf_dir)).select("row", "col", rounded("value"))
 
 
 @query("SELECT 0.0::DOUBLE AS max_delta, true AS symmetric")
@@ -252,7 +240,7 @@ def _run(spark: SparkSession, sf_dir: str, steps: int = 3, **kw: object) -> Data
 
 @query(_STEPS + " SELECT node_id, round(t, 6) AS temperature_k FROM s3")
 def explicit_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir).where("step = 3").select("node_id", R6("temperature_k"))
+    return _run(spark, sf_dir).where("step = 3").select("node_id", rounded("temperature_k"))
 
 
 _ALL = ", a AS (" + " UNION ALL ".join(f"SELECT {k} AS step, node_id, t FROM s{k}" for k in range(4)) + ")"
@@ -260,12 +248,12 @@ _ALL = ", a AS (" + " UNION ALL ".join(f"SELECT {k} AS step, node_id, t FROM s{k
 
 @query(_STEPS + _ALL + " SELECT step, round(min(t), 6) AS min_k, round(max(t), 6) AS max_k, round(avg(t), 6) AS mean_k FROM a GROUP BY step")
 def trajectory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.trajectory_stats(_run(spark, sf_dir)).select("step", R6("min_k"), R6("max_k"), R6("mean_k"))
+    return simulate.trajectory_stats(_run(spark, sf_dir)).select("step", rounded("min_k"), rounded("max_k"), rounded("mean_k"))
 
 
 @query(_STEPS + _ALL + " SELECT b.step, round(max(abs(b.t - a.t)), 6) AS max_delta_k FROM a JOIN a b ON b.step = a.step + 1 AND a.node_id = b.node_id GROUP BY b.step")
 def max_temperature_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.max_change(_run(spark, sf_dir)).select("step", R6("max_delta_k"))
+    return simulate.max_change(_run(spark, sf_dir)).select("step", rounded("max_delta_k"))
 
 
 @query(_STEPS + _ALL + """, x AS (SELECT step, node_id, t AS r, t + (node_id % 5) * 0.01::DOUBLE * step - t AS e FROM a)
@@ -279,7 +267,7 @@ def trajectory_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = off.join(base.withColumnRenamed("temperature_k", "r"), ["step", "node_id"]).select("step", "node_id", F.round(F.col("temperature_k") - F.col("r"), 6).alias("temperature_k"), "r")
     e = simulate.trajectory_error(both.select("step", "node_id", (F.col("temperature_k")).alias("temperature_k")), both.select("step", "node_id", F.lit(0.0).alias("temperature_k")))
     size = both.agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("size"), F.sqrt(F.sum(F.col("temperature_k") * F.col("temperature_k"))).alias("err"))
-    return e.drop("relative").join(F.broadcast(size)).select(R6("max_abs_k"), "worst_step", "worst_node", R6("mean_abs_k"), R6("rmse_k"), F.round(F.col("err") / F.col("size"), 9).alias("relative"), R6("final_abs_k"))
+    return e.drop("relative").join(F.broadcast(size)).select(rounded("max_abs_k"), "worst_step", "worst_node", rounded("mean_abs_k"), rounded("rmse_k"), F.round(F.col("err") / F.col("size"), 9).alias("relative"), rounded("final_abs_k"))
 
 
 @query()
@@ -308,7 +296,7 @@ def two_cube_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seek_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state at the last step at or before 2."""
     run = _run(spark, sf_dir).where("step <= 2")
-    return graph.recent(run, ["node_id"], "step", 1).select("node_id", R6("temperature_k"))
+    return graph.recent(run, ["node_id"], "step", 1).select("node_id", rounded("temperature_k"))
 
 
 @query(sql("cells mats props", "SELECT CAST(coalesce(max(node_id) + 1, 0) AS BIGINT) AS next_node_id, CAST(count(*) AS BIGINT) AS nodes, CAST(count(DISTINCT component) AS BIGINT) AS components, CAST(count(DISTINCT resolved) AS BIGINT) AS materials, min(cx) AS low_x, max(cx) AS high_x, CAST(count(*) FILTER (fell) AS BIGINT) AS fallbacks FROM (SELECT *, resolved <> material AS fell FROM props)"))
