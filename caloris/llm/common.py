@@ -138,16 +138,25 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+class Spans:
+    """64-bit hashes of spans [start, end) of one code-point array: equal spans have equal hashes."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        up, self.down = _power_table(len(points) + 1)
+        with np.errstate(over="ignore"):
+            terms = (points.astype(np.uint64) + np.uint64(1)) * _MIX
+            terms ^= terms >> np.uint64(29)
+            terms *= up[: len(points)]
+            self.total = np.zeros(len(points) + 1, np.uint64)
+            np.cumsum(terms, out=self.total[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
 def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end) of a code-point array: equal spans have equal hashes."""
-    up, down = _power_table(len(points) + 1)
-    with np.errstate(over="ignore"):
-        terms = (points.astype(np.uint64) + np.uint64(1)) * _MIX
-        terms ^= terms >> np.uint64(29)
-        terms *= up[: len(points)]
-        total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(terms, out=total[1:])
-        return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return Spans(points).hashes(starts, ends)
 
 
 def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -157,13 +166,13 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
 
 
-def distinct_spans(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct_spans(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, spans: Spans | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One representative of each distinct span, each span's representative, and the representatives' hashes.
 
     Spans are told apart by hash and then compared with their representative; if two ever collide, each span stands for
     itself, which callers must allow for.
     """
-    hashes = span_hashes(points, starts, ends)
+    hashes = (spans or Spans(points)).hashes(starts, ends)
     _, chosen, kind = np.unique(hashes, return_index=True, return_inverse=True)
     lengths = ends - starts
     if not np.array_equal(lengths[chosen][kind], lengths) or not np.array_equal(points[expand(starts[chosen][kind], lengths)], points[expand(starts, lengths)]):
