@@ -48,6 +48,28 @@ def cubic_conductance(k_a: Column, k_b: Column, side_a_m: Column, side_b_m: Colu
     return F.coalesce(F.when(good, F.lit(1.0) / (side_a_m * 0.5 / (k_a * area) + side_b_m * 0.5 / (k_b * area))), F.lit(0.0))
 
 
+def harmonic_mean(a: Column, b: Column) -> Column:
+    return F.when((a > 0) & (b > 0), F.lit(2.0) / (F.lit(1.0) / a + F.lit(1.0) / b)).otherwise(F.lit(0.0))
+
+
+def in_slab(centre: Column, low: Column, high: Column, focus: Column, width: Column) -> Column:
+    """Whether a centre lies within half the width of the focus, both as parts of the span from low to high."""
+    return F.abs(F.when(high > low, (centre - low) / (high - low)).otherwise(F.lit(0.5)) - focus) <= width / 2
+
+
+def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Distance of a point from a segment in the plane."""
+    dx, dy = bx - ax, by - ay
+    size = dx * dx + dy * dy
+    t = F.when(size > 0, F.least(F.greatest(((px - ax) * dx + (py - ay) * dy) / size, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+    return norm([px - (ax + t * dx), py - (ay + t * dy)])
+
+
+def opacity(base: Column, dimmed: Column, inside: Column) -> Column:
+    """Opacity of what a focus dims."""
+    return F.when(inside, base).otherwise(base * dimmed)
+
+
 def radiation_linear(emissivity: Column, area_m2: Column, reference_K: float = 293.15) -> Column:
     """Linearised radiative conductance 4 e s A T^3."""
     return F.lit(4.0) * emissivity * STEFAN_BOLTZMANN * area_m2 * float(reference_K) ** 3

@@ -135,3 +135,59 @@ def hex_colour(value: Column, low: Column, high: Column) -> Column:
 def tooltip(*parts: tuple[str, Column]) -> Column:
     """Lines 'label: value' of the parts that are not null."""
     return F.concat_ws("\n", *[F.when(c.isNotNull(), F.concat(F.lit(f"{label}: "), c.cast("string"))) for label, c in parts])
+
+
+def normalised(value: Column, low: Column, high: Column) -> Column:
+    """A value's place between low and high, from 0 to 1; the middle of an empty range."""
+    return F.when(high > low, F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.5))
+
+
+def whole_number(c: Column) -> Column:
+    """A text as a whole number, null if it is none."""
+    return F.when(c.rlike(r"^\s*[+-]?[0-9]{1,18}\s*$"), F.trim(c).cast("long"))
+
+
+def number(c: Column) -> Column:
+    """A text as a number, null if it is none or NaN."""
+    found = F.trim(c).try_cast("double")
+    return F.when(~F.isnan(found), found)
+
+
+def whole_numbers(c: Column) -> Column:
+    """The whole numbers among the texts of an array, in order; none for null."""
+    return F.coalesce(F.filter(F.transform(c, whole_number), lambda x: x.isNotNull()), F.array().cast("array<bigint>"))
+
+
+def edge_mode(c: Column) -> Column:
+    """'loaded_G' for its old and new names, else 'auto'."""
+    return F.when(F.trim(c).isin("loaded_G", "loaded_matrix"), "loaded_G").otherwise("auto")
+
+
+def grid_coordinate(c: Column) -> Column:
+    """'(i, j, k)' or 'i,j,k' as three whole numbers, null for anything else."""
+    parts = F.split(F.regexp_replace(c, r"[()\s]", ""), ",")
+    return F.when(c.rlike(r"^\s*\(?\s*-?[0-9]{1,9}\s*,\s*-?[0-9]{1,9}\s*,\s*-?[0-9]{1,9}\s*\)?\s*$"), F.transform(parts, lambda x: x.cast("long")))
+
+
+def role_path_candidates(hierarchy: Column, scene_path: Column) -> Column:
+    """The paths along which a component's role is looked for: its hierarchy, and the first word of its scene path."""
+    some = lambda p: F.filter(p, lambda x: x.isNotNull() & (x != ""))
+    scene = some(F.split(F.translate(F.element_at(F.split(F.coalesce(scene_path, F.lit("")), " "), 1), "\\", "/"), "/"))
+    paths = F.array(some(F.coalesce(hierarchy, F.array().cast("array<string>"))), scene)
+    return F.array_distinct(F.filter(paths, lambda p: F.size(p) > 0))
+
+
+def hierarchy_group(paths: Column, kind: str, heater: Sequence[str], sensor: Sequence[str], exclude: Sequence[str] = ()) -> Column:
+    """Name of the group that a component of a kind belongs to, over its candidate paths; null if none says.
+
+    On each path the first part of that kind counts: alone if it holds a #, else with all parts before it. A match with
+    parts below it beats one without, then the one nearer the root, then the larger name.
+    """
+
+    def match(path: Column) -> Column:
+        kinds = F.transform(path, lambda p: F.coalesce(role_kind(normalise_name(p), heater, sensor, exclude), F.lit("")) == kind)
+        at = F.array_position(kinds, True).cast("int")
+        name = F.when(F.element_at(path, F.greatest(at, F.lit(1))).contains("#"), F.element_at(path, F.greatest(at, F.lit(1)))).otherwise(F.array_join(F.slice(path, 1, F.greatest(at, F.lit(1))), "/"))
+        return F.when((F.size(path) >= 2) & (at > 0), F.struct((at < F.size(path)).cast("int").alias("below"), (-at).alias("near"), normalise_name(name).alias("name")))
+
+    return F.array_max(F.filter(F.transform(paths, match), lambda x: x.isNotNull()))["name"]

@@ -150,6 +150,19 @@ def exposed_area(cells: DataFrame, faces: DataFrame) -> DataFrame:
     return cells.join(shared, "node_id", "left").select("node_id", F.greatest(F.lit(0.0), whole - F.coalesce("shared", F.lit(0.0))).alias("exposed_mm2"))
 
 
+def cell_nodes(cells: DataFrame) -> DataFrame:
+    """Solid cells (those with a dominant component) as nodes: volume_m3, mass_kg and capacity_j_k by the largest share of
+    `occupancy`, and the linear radiative conductance of the exposed surface with its resistance (null for none).
+
+    cells have their material's density_kg_m3, cp_j_kgk and emissivity, occupancy (a map) and exposed_mm2.
+    """
+    volume = F.col("sx") * F.col("sy") * F.col("sz") * 1e-9
+    share = F.coalesce(F.array_max(F.map_values("occupancy")), F.lit(0.0))
+    g = P.radiation_linear(F.col("emissivity"), F.col("exposed_mm2") * 1e-6)
+    rows = cells.where("coalesce(dominant_component, '') <> ''").withColumns({"volume_m3": volume, "mass_kg": F.col("density_kg_m3") * volume * share, "g_rad_w_k": g})
+    return rows.withColumns({"capacity_j_k": F.col("mass_kg") * F.col("cp_j_kgk"), "r_rad_k_w": F.when(F.col("g_rad_w_k") > 0, 1.0 / F.col("g_rad_w_k"))})
+
+
 def coarse_neighbours(cells: DataFrame, ratio: float) -> DataFrame:
     """node_id of cells that touch a solid cell more than `ratio` times smaller."""
     pairs = candidate_pairs(cells, 0.0)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from caloris.functions import physics as P
 from caloris.functions.text import strip_solid_suffix
 from caloris.operators.contacts import AXES, bucket_size
-from caloris.operators.graph import both_ways, components
+from caloris.operators.graph import VISUAL_SOURCE, VISUAL_TYPE, both_ways, components
 from caloris.session import ship_package, staged
 
 
@@ -118,6 +118,82 @@ def collapse(boxes: DataFrame, reach_mm: float) -> DataFrame:
     return out.select("kind", F.when(n > 1, F.concat("name", F.lit("_"), k.cast("string"))).otherwise(F.col("name")).alias("role"), "objects", "min_x")
 
 
+def role_contact_edges(roles: DataFrame, cells: DataFrame, known: DataFrame, tolerance_mm: float) -> DataFrame:
+    """Edges that only show which cells a role touches: node_i (role), node_j, shared_area_m2, distance_m, gap_mm.
+
+    A role's box touches a cell within the tolerance along one axis at most, with a common part along the other two; pairs
+    that are connected already (known: node_i, node_j) stay out.
+    """
+    met = _near(roles, cells, max(0.0, tolerance_mm), "role_id", "node_id")
+    (al, ah), (bl, bh) = box("l_"), box("r_")
+    gap, common = [F.greatest(g, F.lit(0.0)) for g in P.gaps(al, ah, bl, bh)], P.overlaps(al, ah, bl, bh)
+    m = F.explode(F.array(F.struct(*[g.alias(f"g{n}") for n, g in enumerate(gap)], *[o.alias(f"o{n}") for n, o in enumerate(common)])))
+    rows = met.withColumn("m", m)
+    g, o = [F.col(f"m.g{n}") for n in range(3)], [F.col(f"m.o{n}") for n in range(3)]
+    apart, touch = ([F.when(c, 1).otherwise(0) for c in x] for x in ([v > P.TOUCH_MM for v in g], [F.abs(v) <= P.TOUCH_MM for v in o]))
+    n_apart, n_touch = apart[0] + apart[1] + apart[2], touch[0] + touch[1] + touch[2]
+    plus = [F.greatest(v, F.lit(0.0)) for v in o]
+    least = F.when((plus[0] <= plus[1]) & (plus[0] <= plus[2]), 0).when(plus[1] <= plus[2], 1).otherwise(2)
+    first = lambda flags: F.when(flags[0] == 1, 0).when(flags[1] == 1, 1).otherwise(2)
+    axis = F.when(n_apart == 1, first(apart)).when(n_touch == 1, first(touch)).otherwise(least)
+    rows = rows.where(n_apart <= 1).withColumn("axis", axis)
+    p, q = F.when(F.col("axis") == 0, o[1]).otherwise(o[0]), F.when(F.col("axis") == 2, o[1]).otherwise(o[2])
+    distance = P.norm([F.col(f"l_c{a}") - F.col(f"r_c{a}") for a in AXES])
+    out = rows.where((p > 0) & (q > 0)).select(F.col("l_role_id").alias("node_i"), F.col("r_node_id").alias("node_j"), (p * q * 1e-6).alias("shared_area_m2"), (distance * 1e-3).alias("distance_m"), "gap_mm")
+    pair = known.select(F.least("node_i", "node_j").alias("p"), F.greatest("node_i", "node_j").alias("q"))
+    out = out.join(pair, (F.least("node_i", "node_j") == F.col("p")) & (F.greatest("node_i", "node_j") == F.col("q")), "left_anti")
+    return out.withColumns({"edge_type": F.lit(VISUAL_TYPE), "source": F.lit(VISUAL_SOURCE), "g_w_k": F.lit(0.0), "contact_confidence": F.lit("visual")})
+
+
+def isolated_roles(roles: DataFrame, edges: DataFrame, cells: DataFrame, reach_mm: float) -> DataFrame:
+    """role_id and the nearest cells as text of every role without a contact edge."""
+    lonely = roles.join(edges.select(F.col("node_i").alias("role_id")).distinct(), "role_id", "left_anti")
+    near = nearest_cells(lonely, cells, reach_mm)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id", "gap_mm"))), lambda x: F.concat(x["node_id"].cast("string"), F.lit(" gap="), F.format_string("%.3f", x["gap_mm"]))), "; ")
+    return lonely.select("role_id").join(near.groupBy("role_id").agg(text.alias("nearest")), "role_id", "left")
+
+
+def append_role_nodes(nodes: DataFrame, roles: DataFrame) -> DataFrame:
+    """node_id, role_id, node_type, cell_id of new marker nodes: ids after the largest, in order of the roles' ids."""
+    last = nodes.agg(F.coalesce(F.max("node_id"), F.lit(-1))).first()[0]
+    number = F.row_number().over(Window.partitionBy("one").orderBy("role_id")) + F.lit(last)  # the roles of a drawing
+    rows = roles.withColumn("one", F.lit(1)).withColumn("new_id", number)
+    return rows.select(F.col("new_id").cast("long").alias("node_id"), "role_id", F.col("kind").alias("node_type"), F.concat_ws("_", "kind", F.col("new_id").cast("string")).alias("cell_id"))
+
+
+def cell_lookup(nodes: DataFrame) -> DataFrame:
+    """cell_id, node_id of every cell a node stands for: its own and its sources'."""
+    every = F.explode(F.array_distinct(F.array_compact(F.concat(F.array("cell_id"), F.coalesce("source_cell_ids", F.array().cast("array<string>"))))))
+    return nodes.select(every.alias("cell_id"), "node_id")
+
+
+def role_summary(components: DataFrame) -> DataFrame:
+    """kind, roles, single (those of one object), suspicious (100 or more, of which three quarters are single)."""
+    rows = components.groupBy("kind").agg(F.count("*").alias("roles"), F.count_if(F.col("objects") == 1).alias("single"))
+    return rows.withColumn("suspicious", (F.col("roles") >= 100) & (F.col("single") >= F.floor(0.75 * F.col("roles"))))
+
+
+def union_bounds(boxes: DataFrame, key: str) -> DataFrame:
+    """key and the bounds of all its boxes."""
+    low, high = box()
+    return boxes.groupBy(key).agg(*[F.min(x).alias(f"low_{a}") for a, x in zip(AXES, low, strict=True)], *[F.max(x).alias(f"high_{a}") for a, x in zip(AXES, high, strict=True)])
+
+
+def assignments(pairs: DataFrame) -> DataFrame:
+    """sensor_id, heater_ids (sorted), first_heater_id, distance_mm (the least) of every sensor with heaters."""
+    ids = F.sort_array(F.collect_set("heater_id"))
+    return pairs.groupBy("sensor_id").agg(ids.alias("heater_ids"), F.min("heater_id").alias("first_heater_id"), F.min("distance_mm").alias("distance_mm"))
+
+
+def associated_heaters(pairs: DataFrame, sensors: DataFrame, heaters: DataFrame) -> DataFrame:
+    """sensor_id, heater_id from all three places that say so: the sensor's list, its one heater, the heaters' own sensor."""
+    listed = sensors.select("sensor_id", F.explode("assigned_heater_ids").alias("heater_id"))
+    single = sensors.where("assigned_heater_id IS NOT NULL").select("sensor_id", F.col("assigned_heater_id").alias("heater_id"))
+    own = heaters.where("assigned_sensor_id IS NOT NULL").select(F.col("assigned_sensor_id").alias("sensor_id"), "heater_id")
+    every = listed.unionByName(single).unionByName(own).unionByName(pairs.select("sensor_id", "heater_id")).distinct()
+    return every.join(heaters.select("heater_id"), "heater_id", "left_semi").join(sensors.select("sensor_id"), "sensor_id", "left_semi").select("sensor_id", "heater_id")
+
+
 def normalise_weights(rows: DataFrame, key: str, weight: str = "weight") -> DataFrame:
     """Weights that sum to 1 in each key; uniform if any is null, NaN or negative, or all are 0."""
     w, c = Window.partitionBy(key), F.col(weight)

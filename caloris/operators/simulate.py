@@ -33,10 +33,19 @@ def rates(state: DataFrame, edges: DataFrame, radiation: bool = True) -> DataFra
     return state.join(flow, "node_id", "left").withColumn("rate_k_s", F.when(F.col("capacity_j_k") > 0, heat / F.col("capacity_j_k")).otherwise(F.lit(0.0))).drop("flow")
 
 
-def explicit_steps(state: DataFrame, edges: DataFrame, dt: float, steps: int, *, substeps: int = 1, radiation: bool = True) -> DataFrame:
-    """Forward Euler: step, node_id, temperature_k for the steps 0 to `steps`."""
+def explicit_steps(state: DataFrame, edges: DataFrame, dt: float, steps: int, *, substeps: int | None = None, safety: float = 0.2, most: int = 128, radiation: bool = True) -> DataFrame:
+    """Forward Euler: step, node_id, temperature_k for the steps 0 to `steps`.
+
+    Without `substeps` as many are taken as keep each below `safety` of the least time constant; if that takes more than
+    `most`, the steps are refused.
+    """
     out = state.select(F.lit(0).alias("step"), "node_id", "temperature_k")
     edges = staged(edges.select("node_i", "node_j", "g_w_k"))
+    if substeps is None:
+        least = time_constants(state, edges).agg(F.min("tau_s")).first()[0]
+        substeps = substep_count(least, dt, safety) if least else 1
+        if substeps > most:
+            raise ValueError(f"{substeps} substeps are needed, {most} are allowed")
     for n in range(1, steps + 1):
         for _ in range(substeps):
             # a step reads its state three times, so every step is cut off from the one before
@@ -45,6 +54,32 @@ def explicit_steps(state: DataFrame, edges: DataFrame, dt: float, steps: int, *,
     return out
 
 
+def validate_inputs(state: DataFrame, edges: DataFrame, dt: float, *, radiation: bool = True) -> DataFrame:
+    """rule, subject: what is wrong with a simulation's inputs, or risky.
+
+    Rules: bad_capacity (zero or less), positive_off_diagonal (an edge of negative conductance), negative_radiation,
+    bad_surroundings (not finite, with radiation), bad_temperature (not finite), coarse_step (dt above a fifth of the least
+    time constant; its subject is that constant).
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    rule = lambda df, name, subject: df.select(F.lit(name).alias("rule"), subject.cast("string").alias("subject"))
+    node = F.col("node_id")
+    parts = [
+        rule(state.where("NOT coalesce(capacity_j_k > 0, false)"), "bad_capacity", node),
+        rule(edges.where("g_w_k < -1e-12"), "positive_off_diagonal", F.concat_ws("-", F.least("node_i", "node_j"), F.greatest("node_i", "node_j"))),
+        rule(state.where("radiation_w_k4 < -1e-12"), "negative_radiation", node),
+        rule(state.where(~finite("temperature_k")), "bad_temperature", node),
+    ]
+    if radiation:
+        parts.append(rule(state.where(~finite("surroundings_k")), "bad_surroundings", node))
+    least = time_constants(state.where("capacity_j_k > 0"), edges.where("g_w_k > 0")).agg(F.min("tau_s").alias("tau_s"))
+    parts.append(rule(least.where(F.lit(dt) > 0.2 * F.col("tau_s")), "coarse_step", F.round("tau_s", 6)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def time_constants(state: DataFrame, edges: DataFrame) -> DataFrame:
     """node_id, total_g_w_k, tau_s = C / sum of conductances (null for isolated nodes); a column g_rad_w_k of the state, the
     linear radiative conductance, counts among them."""
@@ -55,9 +90,9 @@ def time_constants(state: DataFrame, edges: DataFrame) -> DataFrame:
     return state.join(total, "node_id", "left").select("node_id", g.alias("total_g_w_k"), F.when(g > 0, F.col("capacity_j_k") / g).alias("tau_s"))
 
 
-def substep_count(least_tau_s: float, dt: float, safety: float = 0.2, most: int = 128) -> int:
+def substep_count(least_tau_s: float, dt: float, safety: float = 0.2) -> int:
     """Explicit substeps that keep a step below `safety` of the least time constant."""
-    return max(1, min(most, math.ceil(dt / (least_tau_s * safety)))) if least_tau_s > 0 else most
+    return max(1, math.ceil(dt / max(least_tau_s * min(1.0, max(1e-6, safety)), 1e-12)))
 
 
 def conjugate_gradient(matvec, b: np.ndarray, diagonal: np.ndarray, x: np.ndarray, rtol: float = RTOL, most: int = MOST_ROUNDS) -> np.ndarray:  # noqa: ANN001
@@ -103,12 +138,26 @@ def advance_block(c: np.ndarray, t: np.ndarray, source: np.ndarray, i: np.ndarra
     return t
 
 
-def implicit_steps(state: DataFrame, edges: DataFrame, dt: float, steps: int = 1, *, method: str = "tr_bdf2") -> DataFrame:
-    """node_id, temperature_k after the steps. Radiation is frozen at the present temperatures over the call."""
+def implicit_substeps(state: DataFrame, edges: DataFrame, dt: float, target_delta_k: float, most: int) -> int:
+    """Parts of a step, at most `most`, in which no node is predicted to change by more than the target."""
+    if most <= 1:
+        return 1
+    predicted = rates(state, edges).agg(F.max(F.abs("rate_k_s"))).first()[0] or 0.0
+    return max(1, min(most, math.ceil(dt * predicted / max(target_delta_k, 1e-12))))
+
+
+def implicit_steps(state: DataFrame, edges: DataFrame, dt: float, steps: int = 1, *, method: str = "tr_bdf2", target_delta_k: float = 1.0, most_substeps: int = 1) -> DataFrame:
+    """node_id, temperature_k after the steps. Radiation is frozen at the present temperatures over the call.
+
+    tr_bdf2 takes each step in up to most_substeps parts (see implicit_substeps). Every solve ends within RTOL of its right
+    side, or raises.
+    """
     if method not in ("tr_bdf2", "backward_euler"):
         raise ValueError(method)
     ship_package(state.sparkSession)
     edges = staged(edges.select("node_i", "node_j", "g_w_k"))
+    parts = implicit_substeps(state, edges, dt, target_delta_k, most_substeps) if method == "tr_bdf2" else 1
+    dt, steps = dt / parts, steps * parts
     labels = staged(components(state, edges))
     big = labels.groupBy("label").count().where(F.col("count") > TASK_NODES).select("label")
     source = F.col("power_w") + F.col("radiation_w_k4") * (F.pow("surroundings_k", F.lit(4)) - F.pow("temperature_k", F.lit(4)))
@@ -178,10 +227,13 @@ def _distributed(nodes: DataFrame, edges: DataFrame, dt: float, steps: int, meth
 
 
 def exponential_steps(state: DataFrame, edges: DataFrame, dt: float, steps: int, terms: int = 24) -> DataFrame:
-    """node_id, temperature_k by the exact propagator exp(A dt) applied through a scaled Taylor series, per component."""
+    """node_id, temperature_k by the exact propagator exp(A dt) applied through a scaled Taylor series, per component.
+
+    Radiation is frozen at the present temperatures over the call. A component is one task's work."""
     ship_package(state.sparkSession)
+    source = F.col("power_w") + F.col("radiation_w_k4") * (F.pow("surroundings_k", F.lit(4)) - F.pow("temperature_k", F.lit(4)))
     labels = staged(components(state, edges))
-    nodes = state.join(labels, "node_id").select("label", "node_id", F.greatest("capacity_j_k", F.lit(1e-12)).alias("c"), F.col("temperature_k").alias("t"), F.col("power_w").alias("s"))
+    nodes = state.join(labels, "node_id").select("label", "node_id", F.greatest("capacity_j_k", F.lit(1e-12)).alias("c"), F.col("temperature_k").alias("t"), source.alias("s"))
     links = edges.join(labels.withColumnRenamed("node_id", "node_i"), "node_i")
 
     def solve(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -206,6 +258,15 @@ def exponential_steps(state: DataFrame, edges: DataFrame, dt: float, steps: int,
     return nodes.groupBy("label").cogroup(links.groupBy("label")).applyInArrow(solve, "node_id long, temperature_k double")
 
 
+def two_bodies(t1: Column, t2: Column, c1: Column, c2: Column, g: Column, p1: Column, p2: Column, dt: Column) -> tuple[Column, Column]:
+    """Temperatures of two bodies after dt of constant powers: the exact solution, a mean that drifts and a difference that dies out."""
+    mean = (c1 * t1 + c2 * t2 + (p1 + p2) * dt) / (c1 + c2)
+    k = g * (1.0 / c1 + 1.0 / c2)
+    push = p1 / c1 - p2 / c2
+    left = (t1 - t2) * F.exp(-k * dt) + F.when(k > 0, push * (1.0 - F.exp(-k * dt)) / k).otherwise(push * dt)
+    return mean + c2 / (c1 + c2) * left, mean - c1 / (c1 + c2) * left
+
+
 def trajectory_stats(trajectory: DataFrame) -> DataFrame:
     return trajectory.groupBy("step").agg(F.min("temperature_k").alias("min_k"), F.max("temperature_k").alias("max_k"), F.avg("temperature_k").alias("mean_k"))
 

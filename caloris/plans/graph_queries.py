@@ -235,7 +235,7 @@ _STEPS = sql("cells mats props grid gedges ends", _unrolled(3))
 
 
 def _run(spark: SparkSession, sf_dir: str, steps: int = 3, **kw: object) -> DataFrame:
-    return simulate.explicit_steps(state(spark, sf_dir), grid_conductance(spark, sf_dir), 1.0, steps, **kw)  # type: ignore[arg-type]
+    return simulate.explicit_steps(state(spark, sf_dir), grid_conductance(spark, sf_dir), 1.0, steps, substeps=1, **kw)  # type: ignore[arg-type]
 
 
 @query(_STEPS + " SELECT node_id, round(t, 6) AS temperature_k FROM s3")
