@@ -40,8 +40,11 @@ def training_sample(docs: DataFrame, train: Column, text_col: str, lang_col: str
     at = F.pmod(F.xxhash64(text, F.lit(1)), F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1))) + 1
     rows = rows.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), key.alias("key"), text.substr(at.cast("int"), F.lit(SAMPLE_CHARS)).alias("stretch"))
     # copies of a text count once: the lowest hashes are found without their texts, of which few are then fetched
-    order = Window.partitionBy("lang").orderBy("key")
-    keys = rows.select("lang", "key").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_TEXTS)
+    # in parts of each language first, so that a language which has most texts is not one task's
+    keys = rows.select("lang", "key", F.pmod("key", F.lit(64)).alias("part")).distinct()
+    for by in (["lang", "part"], ["lang"]):
+        keys = keys.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("rank") <= SAMPLE_TEXTS)
+    keys = keys.drop("part")
     ranked = rows.join(F.broadcast(staged(keys)), ["lang", "key"]).groupBy("lang", "rank").agg(F.min("stretch").alias("stretch"))
     out: dict[str, list[str]] = {}
     for r in sorted(ranked.collect(), key=lambda r: (r["lang"], r["rank"])):
