@@ -122,6 +122,18 @@ def _whole(q: np.ndarray, c: np.ndarray, cid: np.ndarray, may: np.ndarray, about
     return np.array(order, np.int64), np.array([score[j] for j in order], np.int64)  # an OverflowError beyond 64 bits
 
 
+def in_blocks(rows: DataFrame, size: int, name: str, *order: Column | str) -> DataFrame:
+    """rows with `name`, the number of their block of `size` rows in an order that starts with dim: range partitions are
+    numbered through from how many rows the ones before hold, so blocks do not depend on the partitions."""
+    rows = staged(rows.repartitionByRange("dim", *order).sortWithinPartitions("dim", *order).withColumn("at", F.monotonically_increasing_id()))
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r["part"], r["count"]) for r in rows.groupBy(part.alias("part")).count().collect())  # one row a partition
+    before = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    offsets = rows.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "part long, before long")
+    rows = rows.withColumn("part", part.cast("long")).join(F.broadcast(offsets), "part")
+    return rows.withColumn(name, F.floor((F.col("before") + row) / size)).drop("at", "part", "before")
+
+
 def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Each query's k candidates of highest integer inner product of floor(scale * x): query_id, rank, id, score.
 
@@ -133,10 +145,7 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, scale: int = 64,
     """
     rows = staged(quantised(vectors, scale, id_col, vec_col, queries).where("dim > 0"))
     turns = rows.sparkSession.sparkContext.broadcast(_rotations(rows))  # dim x dim numbers
-    # blocks of falling length: range partitions by norm are cut into blocks where they lie
-    cut = lambda at, size: F.shiftright(at, 33) * F.lit(1 << 20) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / size)
-    ordered = rows.repartitionByRange("dim", F.desc("norm2"), "id").sortWithinPartitions("dim", F.desc("norm2"), "id").withColumn("at", F.monotonically_increasing_id())
-    blocks = staged(ordered.select("id", "v", "norm2", "dim", cut(F.col("at"), CANDIDATE_BLOCK).alias("block")))
+    blocks = in_blocks(rows.select("id", "v", "norm2", "dim"), CANDIDATE_BLOCK, "block", F.desc("norm2"), "id")  # of falling length
     asking = staged(rows.where("asks").withColumn("q", F.monotonically_increasing_id()).select("q", "id", "v", "norm2", "dim"))
     summary = blocks.groupBy("dim", "block").agg(F.max("norm2").alias("longest"))
     summary = staged(summary.withColumn("rank", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("longest"), "block"))))
@@ -169,15 +178,14 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, scale: int = 64,
 
     # against the longest candidates
     none = [F.lit(None).cast("long").alias(c) for c in ("floor", "floor_id")]
-    first = asking.select("q", "id", "v", "dim", cut(F.col("q"), QUERY_BLOCK).alias("q_block"), *none)
+    first = in_blocks(asking.select("q", "id", "v", "dim", *none), QUERY_BLOCK, "q_block", "q")
     head = staged(meet(first, first.select("dim", "q_block").distinct().join(summary.where("rank = 1").select("dim", "block"), "dim")))
     kth = head.groupBy("q").agg(F.count("*").alias("n"), F.max(F.struct((-F.col("score")).alias("s"), "vec")).alias("last")).where(F.col("n") >= k)
     kth = kth.select("q", (-F.col("last.s")).alias("floor"), F.col("last.vec").alias("floor_id"))
     # against the rest, queries of like need together
     need = F.when(F.col("floor") > 0, F.col("floor") / F.sqrt("norm2")).otherwise(F.lit(float("-inf")))
     second = asking.join(kth, "q", "left").withColumn("need", F.coalesce(need, F.lit(float("-inf"))))
-    second = second.repartitionByRange("dim", F.desc("need"), "q").sortWithinPartitions("dim", F.desc("need"), "q").withColumn("at", F.monotonically_increasing_id())
-    second = staged(second.select("q", "id", "v", "dim", "floor", "floor_id", "need", cut(F.col("at"), QUERY_BLOCK).alias("q_block")))
+    second = in_blocks(second.select("q", "id", "v", "dim", "floor", "floor_id", "need"), QUERY_BLOCK, "q_block", F.desc("need"), "q")
     least = second.groupBy("dim", "q_block").agg(F.min("need").alias("need"))
     pairs = least.join(summary.where("rank > 1"), "dim").where(F.sqrt("longest") * (1 + 1e-9) >= F.col("need"))
     rest = meet(second, pairs.select("dim", "q_block", "block"))
