@@ -60,6 +60,21 @@ def resolve(rows: DataFrame, materials: DataFrame, column: str = "material", def
     return out.join(m, F.col("_use") == F.col("_name")).drop("_wanted", "_known", "_use").withColumnRenamed("_name", "resolved_material")
 
 
+def defaults_for(rows: DataFrame, materials: DataFrame, fallback: str, column: str = "material") -> DataFrame:
+    """rows with their material's properties by name whatever its case; an unknown name gets those of the fallback."""
+    m = materials.groupBy(F.lower("name").alias("folded")).agg(F.min_by(F.struct("density_kg_m3", "cp_j_kgk", "k_w_mk", "emissivity"), "name").alias("own"))
+    other = materials.where(F.col("name") == fallback).select(F.struct("density_kg_m3", "cp_j_kgk", "k_w_mk", "emissivity").alias("other")).limit(1)
+    given = other.first()
+    rest = F.struct(*[F.lit(given["other"][k] if given else None).cast("double").alias(k) for k in ("density_kg_m3", "cp_j_kgk", "k_w_mk", "emissivity")])
+    out = rows.withColumn("folded", F.lower(column)).join(m, "folded", "left").withColumn("own", F.coalesce("own", rest))
+    return out.select(*rows.columns, "own.*")
+
+
+def heat_capacity(mass_kg: Column, cp_j_kgk: Column, own: Column, by_hand: Column) -> Column:
+    """Mass times heat capacity, unless the value was set by hand."""
+    return F.when(F.coalesce(by_hand, F.lit(False)), own).otherwise(mass_kg * cp_j_kgk)
+
+
 def aliases(name: Column) -> Column:
     """A component's name and what is left after taking off up to three trailing -n or _n."""
     steps = [name]
@@ -80,8 +95,8 @@ def resolve_chain(parts: DataFrame, report: DataFrame, known: Sequence[str], def
     the name, else the default."""
     listed = F.array(*[F.lit(k) for k in known])
     rows = parts.join(alias_table(report).withColumnRenamed("material", "_report"), parts["part"] == F.col("alias"), "left")
-    mesh = F.when(~is_unassigned(F.col("mesh_material")) & F.array_contains(listed, F.col("mesh_material")), F.col("mesh_material"))
-    from_report = F.when(~is_unassigned(F.col("_report")), F.col("_report"))
+    usable = lambda c: F.when(~is_unassigned(F.col(c)) & F.array_contains(listed, F.col(c)), F.col(c))
+    mesh, from_report = usable("mesh_material"), usable("_report")
     by_text, by_name = infer_material(F.col("mesh_material"), known), infer_material(F.col("part"), known)
     origin = F.when(mesh.isNotNull(), "mesh").when(from_report.isNotNull(), "report").when(by_text.isNotNull(), "text").when(by_name.isNotNull(), "name").otherwise("default")
     return rows.select(parts["part"], F.coalesce(mesh, from_report, by_text, by_name, F.lit(default)).alias("material"), origin.alias("origin"))

@@ -62,6 +62,27 @@ def quality(tagged: DataFrame, errors: int = 0, warnings: int = 0) -> DataFrame:
     return counts.select("nodes", *names, score.alias("score"), grade.alias("grade"))
 
 
+def require_nodes(nodes: DataFrame, leaves: DataFrame, max_leaves: int | None = None) -> None:
+    """An error with advice if a build has no nodes."""
+    if not nodes.isEmpty():
+        return
+    n = leaves.count()
+    if not n:
+        raise ValueError("the octree has no leaves; check that the scene's meshes have bounds")
+    advice = f"none of the octree's {n} leaves is solid: no triangle meets a cell and no closed mesh holds one"
+    raise ValueError(advice + (f"; the limit of {max_leaves} leaves holds back refinement" if max_leaves else ""))
+
+
+def leaf_diagnostics(leaves: DataFrame) -> DataFrame:
+    """One row: leaves in all, solid and empty ones, and the deepest level."""
+    return leaves.agg(F.count("*").alias("leaves"), F.count("component").alias("solid"), F.count_if(F.col("component").isNull()).alias("empty"), F.max("level").alias("deepest"))
+
+
+def refinement_histogram(leaves: DataFrame) -> DataFrame:
+    """reason, cells: how often each reason to refine held."""
+    return leaves.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("cells"))
+
+
 def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """rule, subject: every breach of the graph's rules.
 
