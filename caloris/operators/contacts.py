@@ -1,7 +1,7 @@
 """Spatial joins between cells, and the conductances that follow from them.
 
-Cells have node_id, cx, cy, cz, sx, sy, sz (mm), component and material. All joins are equi-joins on integer buckets, so
-they shuffle by key and scale with the number of contacts, not with pairs.
+Cells have node_id, cx, cy, cz, sx, sy, sz (mm), component and material. All joins are equi-joins on integer buckets (see
+spatial), so they shuffle by key and scale with the number of contacts, not with pairs.
 """
 
 from __future__ import annotations
@@ -9,18 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caloris.functions import physics as P
-
-AXES = ("x", "y", "z")
-
-
-def _box(prefix: str = "") -> tuple[list[Column], list[Column]]:
-    low = [F.col(f"{prefix}c{a}") - F.col(f"{prefix}s{a}") * 0.5 for a in AXES]
-    high = [F.col(f"{prefix}c{a}") + F.col(f"{prefix}s{a}") * 0.5 for a in AXES]
-    return low, high
-
-
-def _corners(prefix: str = "") -> tuple[list[Column], list[Column]]:
-    return [F.col(f"{prefix}low_{a}") for a in AXES], [F.col(f"{prefix}high_{a}") for a in AXES]
+from caloris.operators.spatial import AXES, corners, self_pairs, with_corners
 
 
 def bucket_size(cells: DataFrame, gap_mm: float) -> float:
@@ -30,28 +19,8 @@ def bucket_size(cells: DataFrame, gap_mm: float) -> float:
 
 
 def candidate_pairs(cells: DataFrame, gap_mm: float = 0.0) -> DataFrame:
-    """Every pair of cells whose boxes, grown by the gap, meet: columns a_* and b_* with a_node_id < b_node_id.
-
-    Cells stand in every bucket their grown box covers; a pair is taken only in the bucket that holds the lower corner of
-    the common box, so it comes out once without a distinct.
-    """
-    size, pad = bucket_size(cells, gap_mm), gap_mm / 2 + P.TOUCH_MM
-    low, high = _box()
-    # corners are columns of their own, so that what follows the shuffle stays small enough to compile
-    cells = cells.withColumns({f"low_{a}": x for a, x in zip(AXES, low, strict=True)} | {f"high_{a}": x for a, x in zip(AXES, high, strict=True)})
-    low, high = _corners()
-    spans = [F.sequence(F.floor((lo - pad) / size).cast("long"), F.floor((hi + pad) / size).cast("long")) for lo, hi in zip(low, high, strict=True)]
-    rows = cells
-    for a, s in zip(AXES, spans, strict=True):
-        rows = rows.withColumn(f"k{a}", F.explode(s))
-    left = rows.select(*[F.col(c).alias(f"a_{c}") for c in cells.columns], *[f"k{a}" for a in AXES])
-    right = rows.select(*[F.col(c).alias(f"b_{c}") for c in cells.columns], *[f"k{a}" for a in AXES])
-    pairs = left.join(right, [f"k{a}" for a in AXES]).where("a_node_id < b_node_id")
-    (al, ah), (bl, bh) = _corners("a_"), _corners("b_")
-    for k, a in enumerate(AXES):
-        corner = F.greatest(al[k], bl[k]) - pad
-        pairs = pairs.where((corner <= F.least(ah[k], bh[k]) + pad) & (F.floor(corner / size).cast("long") == F.col(f"k{a}")))
-    return pairs.drop(*[f"k{a}" for a in AXES])
+    """Every pair of cells whose boxes, grown by the gap, meet: columns a_* and b_* with a_node_id < b_node_id."""
+    return self_pairs(with_corners(cells), gap_mm / 2 + P.TOUCH_MM, "node_id")
 
 
 def _distance() -> Column:
@@ -60,7 +29,7 @@ def _distance() -> Column:
 
 def shared_faces(pairs: DataFrame) -> DataFrame:
     """Pairs that touch along exactly one axis and overlap along the others: area_mm2, distance_mm."""
-    (al, ah), (bl, bh) = _corners("a_"), _corners("b_")
+    (al, ah), (bl, bh) = corners("a_"), corners("b_")
     g, o = P.gaps(al, ah, bl, bh), P.overlaps(al, ah, bl, bh)
     touch = [F.abs(x) <= P.TOUCH_MM for x in g]
     apart = [(x > 0) & ~t for x, t in zip(g, touch, strict=True)]
@@ -72,7 +41,7 @@ def shared_faces(pairs: DataFrame) -> DataFrame:
 
 def near_faces(pairs: DataFrame, gap_mm: float) -> DataFrame:
     """Pairs at most gap_mm apart along one axis at most, with positive overlap along the other two."""
-    (al, ah), (bl, bh) = _corners("a_"), _corners("b_")
+    (al, ah), (bl, bh) = corners("a_"), corners("b_")
     named = {f"_g{n}": F.greatest(x, F.lit(0.0)) for n, x in enumerate(P.gaps(al, ah, bl, bh))} | {f"_o{n}": x for n, x in enumerate(P.overlaps(al, ah, bl, bh))}
     # a generator of one row computes gaps and overlaps once; inlined into each use they would be too much to compile
     rows = pairs.withColumn("_m", F.explode(F.array(F.struct(*[x.alias(n) for n, x in named.items()]))))
@@ -173,6 +142,6 @@ def coarse_neighbours(cells: DataFrame, ratio: float) -> DataFrame:
 
 def overlapping_boxes(boxes: DataFrame) -> DataFrame:
     """Unordered pairs of boxes with a common inside."""
-    (al, ah), (bl, bh) = _corners("a_"), _corners("b_")
+    (al, ah), (bl, bh) = corners("a_"), corners("b_")
     o = P.overlaps(al, ah, bl, bh)
     return candidate_pairs(boxes, 0.0).where((o[0] > 0) & (o[1] > 0) & (o[2] > 0)).select(F.col("a_node_id").alias("node_i"), F.col("b_node_id").alias("node_j"))

@@ -5,6 +5,7 @@ Tables are never changed; every function gives the table after the change.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -84,6 +85,26 @@ def editor_filter(*, heaters: bool = False, sensors: bool = False, levels: tuple
     return out
 
 
+def search(nodes: DataFrame, wanted: str) -> DataFrame:
+    """The node that a text asks for: the one at a coordinate 'i, j, k', else the one with that id, else the first by id in
+    one of whose texts it occurs. nodes have i, j, k and what role_texts needs."""
+    numbers = re.findall(r"-?\d+", wanted) if re.fullmatch(r"\s*\(?\s*-?\d+\s*,\s*-?\d+\s*,\s*-?\d+\s*\)?\s*", wanted) else []
+    level = F.lit(None).cast("int")
+    if wanted.strip():
+        level = F.when(matches_role(wanted.strip()), 2)
+    if re.fullmatch(r"\s*-?\d{1,18}\s*", wanted):
+        level = F.when(F.col("node_id") == int(wanted), 1).otherwise(level)
+    if numbers:
+        level = F.when((F.col("i") == int(numbers[0])) & (F.col("j") == int(numbers[1])) & (F.col("k") == int(numbers[2])), 0).otherwise(level)
+    return nodes.withColumn("found_by", level).where("found_by IS NOT NULL").orderBy("found_by", "node_id").limit(1).select("node_id", "found_by")
+
+
+def sound_vector(c: Column, positive: bool = False) -> Column:
+    """An array of three finite (and positive) numbers, null if it is anything else."""
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & (x > 0 if positive else F.lit(True))
+    return F.when((F.size(c) == 3) & F.forall(c, fine), c)
+
+
 def warm_component(nodes: DataFrame, component: str, temperature_k: float) -> DataFrame:
     """nodes with the initial temperature of one component set."""
     return nodes.withColumn("temperature_k", F.when(F.col("component") == component, F.lit(float(temperature_k))).otherwise(F.col("temperature_k")))

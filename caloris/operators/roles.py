@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caloris.functions import physics as P
 from caloris.functions.text import strip_solid_suffix
-from caloris.operators.contacts import AXES, bucket_size
 from caloris.operators.graph import VISUAL_SOURCE, VISUAL_TYPE, both_ways, components
+from caloris.operators.spatial import AXES, corners, pairs, with_corners
 from caloris.session import ship_package, staged
 
 
@@ -19,22 +19,9 @@ def box(prefix: str = "") -> tuple[list[Column], list[Column]]:
 
 
 def _near(left: DataFrame, right: DataFrame, reach: float, l_id: str, r_id: str) -> DataFrame:
-    """Pairs of boxes whose surfaces are at most `reach` apart, once each: l_*, r_* and gap_mm. Bucketed equi-join."""
-    size = max(reach, bucket_size(right, 0.0))
-
-    def spread(df: DataFrame, p: str) -> DataFrame:
-        low, high = box()
-        rows = df
-        for a, lo, hi in zip(AXES, low, high, strict=True):
-            rows = rows.withColumn(f"k{a}", F.explode(F.sequence(F.floor((lo - reach / 2 - P.TOUCH_MM) / size).cast("long"), F.floor((hi + reach / 2 + P.TOUCH_MM) / size).cast("long"))))
-        return rows.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns], *[f"k{a}" for a in AXES])
-
-    both = spread(left, "l_").join(spread(right, "r_"), [f"k{a}" for a in AXES])
-    (al, ah), (bl, bh) = box("l_"), box("r_")
-    for k, a in enumerate(AXES):
-        corner = F.greatest(al[k], bl[k]) - reach / 2 - P.TOUCH_MM
-        both = both.where(F.floor(corner / size).cast("long") == F.col(f"k{a}"))
-    return both.drop(*[f"k{a}" for a in AXES]).withColumn("gap_mm", P.surface_gap(al, ah, bl, bh)).where(F.col("gap_mm") <= reach)
+    """Pairs of boxes whose surfaces are at most `reach` apart, once each: l_*, r_* and gap_mm."""
+    both = pairs(with_corners(left), with_corners(right), reach / 2 + P.TOUCH_MM)
+    return both.withColumn("gap_mm", P.surface_gap(*corners("l_"), *corners("r_"))).where(F.col("gap_mm") <= reach)
 
 
 def contacts(roles: DataFrame, cells: DataFrame, reach_mm: float) -> DataFrame:

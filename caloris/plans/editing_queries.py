@@ -119,6 +119,31 @@ def temperature_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editing.temperature_limits(t).select(rounded("low_k"), rounded("high_k"))
 
 
+_ASKED = ("(3, 4, 0)", " 17 ", "lue ro", "PROMO", "99999999", "zzz", "cell_11")
+
+
+@query(f"""WITH n AS (SELECT CAST(p_partkey AS BIGINT) AS id, p_partkey % 20 AS i, (p_partkey // 20) % 20 AS j, p_partkey // 400 AS k, lower(translate(p_partkey || '|cell_' || p_partkey || '|' || p_brand || '|' || CASE WHEN p_partkey % 9 = 0 THEN 'heater' ELSE 'voxel' END || '|' || CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE '' END || '|' || CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE '' END, '\\- ', '/__')) AS t FROM part)
+    SELECT '(3, 4, 0)' AS asked, min(id) AS node_id, 0 AS found_by FROM n WHERE i = 3 AND j = 4 AND k = 0 HAVING count(*) > 0 UNION ALL SELECT '17', 17, 1
+    UNION ALL SELECT 'lue ro', min(id), 2 FROM n WHERE contains(t, 'lue_ro') HAVING count(*) > 0 UNION ALL SELECT 'PROMO', min(id), 2 FROM n WHERE contains(t, 'promo') HAVING count(*) > 0 UNION ALL SELECT 'cell_11', min(id), 2 FROM n WHERE contains(t, 'cell_11') HAVING count(*) > 0""")
+def search_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes found by coordinate, id or text."""
+    n = nodes(spark, sf_dir).withColumns({"i": F.col("node_id") % 20, "j": F.floor(F.col("node_id") / 20) % 20, "k": F.floor(F.col("node_id") / 400)})
+    out = None
+    for asked in _ASKED:
+        rows = editing.search(n, asked).select(F.lit(asked.strip()).alias("asked"), "node_id", "found_by")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT CAST(event_id AS BIGINT) AS id, event_id % 6 = 0 AS any_sound, event_id % 6 = 0 AND value > 200 AS positive FROM events")
+def sound_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which geometry is sound: three finite numbers, all positive."""
+    e = F.col("event_id")
+    v = F.when(e % 6 == 1, F.array(F.lit(1.0), F.lit(2.0))).when(e % 6 == 2, F.array(F.lit(1.0), F.lit(float("nan")), F.lit(1.0))).when(e % 6 == 3, F.array(F.lit(1.0), F.lit(None).cast("double"), F.lit(1.0))).when(e % 6 == 4, F.array(F.lit(float("inf")), F.lit(1.0), F.lit(1.0)))
+    v = v.when(e % 6 == 0, F.array(F.lit(1.0), F.col("value") - 200, F.lit(2.0)))
+    return views.table(spark, sf_dir, "events").select(e.cast("long").alias("id"), editing.sound_vector(v).isNotNull().alias("any_sound"), editing.sound_vector(v, True).isNotNull().alias("positive"))
+
+
 _STARTS = """starts AS (SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(n % 20 AS BIGINT) AS i, CAST((n // 20) % 20 AS BIGINT) AS j, CAST(n // 400 AS BIGINT) AS k, CAST(s_suppkey % 7 AS INTEGER) AS cnt,
       CASE WHEN abs(dx) >= abs(dy) AND abs(dx) >= abs(dz) THEN 0 WHEN abs(dy) >= abs(dz) THEN 1 ELSE 2 END AS axis, dx, dy, dz FROM (SELECT s_suppkey, s_suppkey * 7 % 2000 AS n, s_suppkey % 5 - 2 AS dx, s_suppkey % 7 - 3 AS dy, s_suppkey % 4 - 1.5::DOUBLE AS dz FROM supplier)),
     steps AS (SELECT id, CAST(step AS INTEGER) AS step, i + CASE WHEN axis = 0 THEN CASE WHEN dx < 0 THEN -step ELSE step END ELSE 0 END AS i, j + CASE WHEN axis = 1 THEN CASE WHEN dy < 0 THEN -step ELSE step END ELSE 0 END AS j,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caloris.functions import physics as P
-from caloris.operators import contacts, materials, octree, roles
+from caloris.operators import build, contacts, materials, octree, roles
 from caloris.plans import views
 from caloris.plans.registry import Registry
 from caloris.plans.views import sql
@@ -60,9 +60,22 @@ def face_contact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("cells mats props grid", _PAIR.format("near_internal_conduction", "near_same_material_contact", "near_component_contact", "medium", "medium", "36e-6::DOUBLE", "NOT (a.s = 10 AND b.s = 10)")))
 def near_contact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = with_k(spark, sf_dir)
-    known = contacts.typed_edges(contacts.shared_faces(contacts.candidate_pairs(cells)))
-    near = contacts.typed_edges(contacts.near_faces(contacts.candidate_pairs(cells, 4.5), 4.5), near=True)
-    return contacts.without_pairs(near, known).select("node_i", "node_j", "edge_type", "contact_confidence", F.round("g_w_k", 6).alias("g_w_k"))
+    edges = build.contact_edges(cells, 4.5).where("source = 'geometry_contact_distance'")
+    return edges.select("node_i", "node_j", "edge_type", "contact_confidence", F.round("g_w_k", 6).alias("g_w_k"))
+
+
+@query(f"""SELECT (SELECT count(*) FROM ({ORACLES['cell_thermal_props']})) AS nodes, (SELECT count(*) FROM ({ORACLES['face_contact_edges']})) AS exact_edges, (SELECT count(*) FROM ({ORACLES['near_contact_edges']})) AS near_edges,
+    (SELECT round(sum(g_w_k), 2) FROM (SELECT g_w_k FROM ({ORACLES['face_contact_edges']}) UNION ALL SELECT g_w_k FROM ({ORACLES['near_contact_edges']}))) AS total_g_w_k, (SELECT round(sum(capacity_j_k), 3) FROM ({ORACLES['cell_thermal_props']})) AS capacity_j_k, CAST(0 AS BIGINT) AS violations""")
+def built_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole build from cells to a checked graph, in one row."""
+    g = build.thermal_graph(views.cells(spark, sf_dir), views.materials(spark), gap_mm=4.5, default="DEFAULT", role_boxes=views.roles(spark, sf_dir), tolerance_mm=2.0)
+    exact = F.col("source") == "geometry"
+    near = F.col("source") == "geometry_contact_distance"
+    e = g.edges.agg(F.count_if(exact).alias("exact_edges"), F.count_if(near).alias("near_edges"), F.round(F.sum(F.round(F.when(exact | near, F.col("g_w_k")), 6)), 2).alias("total_g_w_k"))
+    n = g.nodes.agg(F.count("*").alias("nodes"), F.round(F.sum(F.round("capacity_j_k", 6)), 3).alias("capacity_j_k"))
+    v = g.violations.agg(F.count("*").alias("violations"))
+    one = F.lit(1).alias("one")
+    return n.select("*", one).join(e.select("*", one), "one").join(v.select("*", one), "one").select("nodes", "exact_edges", "near_edges", "total_g_w_k", "capacity_j_k", "violations")
 
 
 @query(sql("cells grid", "SELECT node_i, node_j, axis, 100.0::DOUBLE AS area_mm2 FROM grid JOIN cells a ON a.node_id = node_i JOIN cells b ON b.node_id = node_j WHERE a.s = 10 AND b.s = 10"))

@@ -15,9 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows of a batch for Python workers, unless the session says otherwise: texts of a few kilobytes then take a few megabytes.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once for each application."""
+    """Give the executors' Python workers this package, once for each application, and batches of bounded size."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":  # the default
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if context.applicationId in _shipped:
         return
     root = Path(__file__).parent

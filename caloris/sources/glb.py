@@ -98,12 +98,16 @@ class GlbReader(DataSourceReader):
         return [_File(self.path)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
+        from pyarrow import fs
+
+        files, name = fs.FileSystem.from_uri(partition.value) if "://" in partition.value else (fs.LocalFileSystem(), partition.value.removeprefix("file:"))
+        with files.open_input_stream(name) as f:
             yield from triangles(f.read())
 
 
 class GlbSource(DataSource):
-    """spark.dataSource.register(GlbSource); spark.read.format("glb").load(path)"""
+    """spark.dataSource.register(GlbSource); spark.read.format("glb").load(path), for stores that Arrow can open on the executors;
+    read_scenes takes any path that Spark can read."""
 
     @classmethod
     def name(cls) -> str:
@@ -161,11 +165,17 @@ def transform(rows: DataFrame, m: list[list[float]]) -> DataFrame:
 
 
 def ancestors(spark: SparkSession, parents: DataFrame) -> DataFrame:
-    """node, path of names from the root, from rows (node, parent, name), by a recursive query; cycles stop at 64."""
-    parents.createOrReplaceTempView("_glb_parents")
-    return spark.sql("""
-        WITH RECURSIVE up(node, path, depth) AS (
-          SELECT node, array(name), 0 FROM _glb_parents WHERE parent IS NULL
-          UNION ALL
-          SELECT c.node, array_append(up.path, c.name), up.depth + 1 FROM up JOIN _glb_parents c ON c.parent = up.node WHERE up.depth < 64)
-        SELECT node, path FROM up""")
+    """node, path of names from the root, from rows (node, parent, name).
+
+    Every round a node's path takes in the path of the node it has got to, so a hierarchy of any depth takes as many rounds as
+    its depth has binary digits. Nodes on a cycle, or below one, have no root and stay out; a missing parent ends a path.
+    """
+    from caloris.session import staged
+
+    rows = staged(parents.select("node", F.col("parent").alias("up"), F.array("name").alias("path")))
+    for _ in range(rows.count().bit_length() + 1):
+        if rows.where("up IS NOT NULL").isEmpty():
+            break
+        above = rows.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
+        rows = staged(rows.join(above, "up", "left").select("node", F.col("next").alias("up"), F.concat(F.coalesce("head", F.array().cast("array<string>")), "path").alias("path")))
+    return rows.where("up IS NULL").select("node", "path")

@@ -15,8 +15,8 @@ _STATE = "time_s double, filtered double, mode string"
 
 
 def fold(rows: pd.DataFrame, time_s: float | None, filtered: float, mode: str, *, tau_s: float, setpoint: float, hold: float, coarse: float) -> tuple[list[tuple], tuple]:
-    """Readings in order of time through the low pass and the mode's hysteresis; readings not newer than the state's last
-    one are late and change nothing."""
+    """Readings in order of time through the low pass and the mode's hysteresis. Readings not newer than the state's last one
+    are late: they come out with the filtered value and mode as they stand, and change nothing."""
     out = []
     for t, v in zip(rows.time_s, rows.value, strict=True):
         if time_s is None:
@@ -25,6 +25,7 @@ def fold(rows: pd.DataFrame, time_s: float | None, filtered: float, mode: str, *
             a = (t - time_s) / (tau_s + t - time_s)
             filtered = (1 - a) * filtered + a * v
         else:
+            out.append((t, v, filtered, mode))
             continue
         time_s, error = t, abs(setpoint - v)
         mode = "hold" if error <= hold else "coarse" if error >= coarse else mode

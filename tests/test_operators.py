@@ -37,6 +37,25 @@ def test_near_contact(spark):
     assert e.edge_type == "near_same_material_contact" and e.shared_area_m2 == pytest.approx(1e-4) and e.distance_m == pytest.approx(0.012)
 
 
+def test_pairs_of_boxes_from_small_to_huge(spark):
+    """Edges from 1 to 10,000 mm: the same pairs as by comparing all, each once, and few buckets however large a box."""
+    from caloris.operators import spatial
+
+    rng = np.random.default_rng(3)
+    size = 10.0 ** rng.uniform(0, 4, 70)
+    at = rng.uniform(-2000, 2000, (70, 3))
+    rows = [(n, *map(float, at[n]), *map(float, size[n] * rng.uniform(0.2, 1, 3))) for n in range(70)]
+    c = spark.createDataFrame(rows, "node_id long, cx double, cy double, cz double, sx double, sy double, sz double")
+    near = lambda a, b, gap: all(abs(a[1 + k] - b[1 + k]) <= (a[4 + k] + b[4 + k]) / 2 + gap for k in range(3))
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b, 25.0))
+    assert sorted((r.a_node_id, r.b_node_id) for r in contacts.candidate_pairs(c, 25.0).select("a_node_id", "b_node_id").collect()) == want and len(want) > 50
+    boxes = spatial.with_corners(c)
+    left, right = boxes.where("node_id % 3 = 0"), boxes.where("node_id % 3 <> 0")
+    got = sorted((r.l_node_id, r.r_node_id) for r in spatial.pairs(left, right, 12.5).select("l_node_id", "r_node_id").collect())
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] % 3 == 0 and b[0] % 3 and near(a, b, 25.0))
+    assert spatial._stored(spatial._leveled(boxes, 12.5), 12.5, "").groupBy("node_id").count().agg(F.max("count")).first()[0] <= 8
+
+
 def test_candidate_pairs_come_once(spark):
     c = cells(spark, (1, 0, 10, "a", "m", 1), (2, 10, 10, "a", "m", 1), (3, 23, 10, "a", "m", 1), (4, 200, 10, "a", "m", 1))
     pairs = lambda gap: sorted((r.a_node_id, r.b_node_id) for r in contacts.candidate_pairs(c, gap).collect())
@@ -272,6 +291,9 @@ def test_glb_scene(spark, tmp_path):
     assert spark.read.format("glb").load(str(tmp_path / "a.glb")).count() == 1
     up = glb.ancestors(spark, spark.createDataFrame([(0, None, "root"), (1, 0, "a"), (2, 1, "b")], "node int, parent int, name string"))
     assert {x.node: x.path for x in up.collect()}[2] == ["root", "a", "b"]
+    deep = [(n, n - 1 if n else None, f"n{n}") for n in range(150)] + [(200, 201, "x"), (201, 200, "y"), (202, 201, "z"), (300, 999, "alone")]
+    up = {x.node: x.path for x in glb.ancestors(spark, spark.createDataFrame(deep, "node int, parent int, name string")).collect()}
+    assert up[149] == [f"n{n}" for n in range(150)] and up[300] == ["alone"] and set(up) == {*range(150), 300}
 
 
 def test_graph_folder_and_sparse_matrix(spark, tmp_path):
