@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from caloris.session import checkpoint_dir, scratch, ship_package, staged  # noqa: F401  staging for all operators
 
 #: Code points handled at once by the vectorised text code; bounds its memory to about 60 times this many bytes.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 
 #: Most ids that are broadcast (8 bytes each, 40 as rows).
 BROADCAST_IDS = 1 << 20

@@ -310,7 +310,7 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, weighted: bool
     """
     rows = only(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     signed = staged(sign(rows, weighted=weighted))
-    texts = signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("brief").alias("brief"), F.first("size").alias("size"), F.min("id").alias("id"))
+    texts = staged(signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("brief").alias("brief"), F.first("size").alias("size"), F.min("id").alias("id"), F.count("*").alias("n")))
     bands = texts.select("key", "size", F.explode("bands").alias("band"))
     order = F.xxhash64(F.pmod("band", F.lit(ORDERS)), "key")
     shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "key")).alias("leader")).where("n > 1")
@@ -327,7 +327,7 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, weighted: bool
     more = staged(_across(known, shingles, threshold))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    keys = signed.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")).join(labels.withColumnRenamed("node", "key"), "key", "left")
+    keys = texts.select("key", "id", "n").join(labels.withColumnRenamed("node", "key"), "key", "left")
     keys = keys.select("key", F.coalesce("component", "key").alias("component"), "id", "n")
     classes = keys.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
     keys = keys.join(classes, "component").select("key", "class_id", "class_size")

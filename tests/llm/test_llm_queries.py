@@ -500,3 +500,20 @@ def test_pipeline_against_its_parts(spark, docs):
     got = corpus_pipeline.run(spark, DATA).toPandas()
     assert set(got.doc_id) == kept
     assert got.groupby("doc_id").length.sum().to_dict() == {i: len(tokens(x)) + 1 for i, x in zip(once.doc_id, once.text, strict=True) if i in kept}
+
+
+def test_pipeline_stages_on_messy_and_empty_tables(spark, messy):
+    """Extra columns, nulls, repeated rows and null ids through every stage, and a table without rows."""
+    kept = messy
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, DATA)
+        assert kept.columns == list(corpus_pipeline.COLUMNS)
+    rows = kept.toPandas()
+    # no letter: 3, 4, 7, 8; copies: 1; rows that repeat an id stay together, null ids stay
+    assert sorted(rows.doc_id.dropna().astype(int)) == [2, 5, 6, 6, 9] and rows.doc_id.isna().sum() == 2
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, DATA)
+    assert packed.agg(F.sum("length")).first()[0] == sum(len(tokens(x)) + 1 for x in rows.text)
+    none = messy.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, DATA)
+    assert none.count() == 0 and "sequence_id" in none.columns
