@@ -61,6 +61,22 @@ def migrate(heaters: DataFrame, sensors: DataFrame) -> DataFrame:
     return rows.withColumns({k: F.when(F.col("takes"), F.col(f"of.{k}")).otherwise(F.col(k)) for k in SETTINGS}).drop("of", "takes")
 
 
+_CONTROL = "mode string, pid struct<kp: double, ki: double, kd: double, lambda_order: double, lambda: double, lambdaOrder: double, mu_order: double, mu: double, muOrder: double, integral_leak_per_s: double, integralLeakPerS: double, setpoint: double>, manual struct<power: double>, pid_state struct<integral: double, previous_error: double, previousError: double>"
+
+
+def read_control(text: Column, setpoint_k: float = 293.15, power_w: float = 0.0) -> Column:
+    """A heater's control settings from JSON, with older names of fields and defaults: mode, gains, orders and leak (none below
+    0), setpoint, manual power, and the state of its integral."""
+    c = F.from_json(text, _CONTROL)
+    first = lambda default, *names: F.coalesce(*[c[a][b] for a, b in (n.split(".") for n in names)], F.lit(default))
+    least = lambda default, *names: F.greatest(F.lit(0.0), first(default, *names))
+    return F.struct(
+        F.when(c["mode"].isin("pid", "mimo", "manual"), c["mode"]).otherwise("manual").alias("mode"), *[first(0.0, f"pid.{k}").alias(k) for k in ("kp", "ki", "kd")],
+        least(1.0, "pid.lambda_order", "pid.lambda", "pid.lambdaOrder").alias("lambda_order"), least(1.0, "pid.mu_order", "pid.mu", "pid.muOrder").alias("mu_order"), least(0.0, "pid.integral_leak_per_s", "pid.integralLeakPerS").alias("leak_per_s"),
+        first(setpoint_k, "pid.setpoint").alias("setpoint"), first(power_w, "manual.power").alias("power_w"), first(0.0, "pid_state.integral").alias("integral"), F.coalesce(c["pid_state"]["previous_error"], c["pid_state"]["previousError"]).alias("previous_error"),
+    )
+
+
 def heater_average(heaters: DataFrame, setting: str, default: float) -> DataFrame:
     """sensor_id and the mean of a setting over the sensor's heaters, none below 0; a weight that is not positive is 0.5."""
     value = F.coalesce(F.avg(F.greatest(F.col(setting).cast("double"), F.lit(0.0))), F.lit(max(0.0, default)))

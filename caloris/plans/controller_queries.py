@@ -67,6 +67,17 @@ def controller_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.join(t, "sensor_id").select("sensor_id", rounded("controller_weight", 9), rounded("sensor_settling_time_s", 9))
 
 
+@query("""SELECT CAST(c_custkey AS BIGINT) AS id, CASE WHEN c_custkey % 4 = 0 THEN 'mimo' ELSE 'manual' END AS mode, CASE WHEN c_custkey % 7 = 0 THEN 0.0::DOUBLE ELSE c_acctbal END AS kp, CASE WHEN c_custkey % 7 = 0 THEN 1.0::DOUBLE WHEN c_custkey % 3 = 0 THEN greatest(0, c_acctbal) WHEN c_custkey % 3 = 1 THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END AS lambda_order,
+    CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 2 = 0 THEN 250.0::DOUBLE ELSE 293.15::DOUBLE END AS setpoint FROM customer""")
+def control_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control settings from JSON of several ages."""
+    i, b = F.col("c_custkey"), F.col("c_acctbal").cast("string")
+    order = F.when(i % 3 == 0, F.concat(F.lit('"lambda_order": '), b, F.lit(', "lambda": 9,'))).when(i % 3 == 1, F.lit('"lambdaOrder": 0.25,')).otherwise("")
+    pid = F.concat(F.lit('{"mode": "'), F.when(i % 4 == 0, "mimo").when(i % 4 == 1, "auto").otherwise("manual"), F.lit('", "pid": {'), order, F.when(i % 2 == 0, F.lit('"setpoint": 250,')).otherwise(""), F.lit('"kp": '), b, F.lit("}}"))
+    text = F.when(i % 7 == 0, F.concat(F.lit('{"mode": "'), F.when(i % 4 == 0, "mimo").otherwise("x"), F.lit('"}'))).otherwise(pid)
+    return views.table(spark, sf_dir, "customer").select(i.cast("long").alias("id"), controller.read_control(text).alias("c")).select("id", "c.mode", "c.kp", "c.lambda_order", "c.setpoint")
+
+
 def _roles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Heaters and sensors with what decides whether they take part."""
     i = F.col("heater_id")

@@ -87,6 +87,23 @@ def load_gains(spark: SparkSession, folder: str, run: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/gains").where(F.col("run") == run).select("sensor_id", "heater_id", "gain")
 
 
+def update_gains(gains: DataFrame, folder: str, run: str) -> None:
+    """Replace the gains of one run; the others stay."""
+    rows = gains.withColumns({"run": F.lit(run), "created_at": F.current_timestamp()})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{folder}/gains")
+
+
+def temperature_payload(nodes: DataFrame) -> DataFrame:
+    """One row: the initial temperatures by node id (as text), as parameters are kept."""
+    return nodes.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("node_id").cast("string"), "temperature_k")))).alias("initial_temperature_by_node_K"))
+
+
+def apply_payload(nodes: DataFrame, payload: DataFrame) -> tuple[DataFrame, int]:
+    """nodes with the temperatures of a payload (ids and temperatures as text), and how many nodes it named."""
+    given = payload.select(F.explode("initial_temperature_by_node_K").alias("id", "t")).select(F.expr("try_cast(id AS bigint)").alias("node_id"), F.expr("try_cast(t AS double)").alias("temperature_k")).where("node_id IS NOT NULL AND temperature_k IS NOT NULL")
+    return apply_temperatures(nodes, given), nodes.join(given, "node_id", "left_semi").count()
+
+
 def overlay_tags(nodes: DataFrame, tags: DataFrame) -> DataFrame:
     """nodes with their tag map overlaid by key: what `tags` (node_id, tags) says wins."""
     more = tags.withColumnRenamed("tags", "_more")

@@ -20,28 +20,32 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier scores below 0.7."""
+    """Documents that the toxicity classifier scores below 0.7. A null text counts as empty and scores as the bias alone; rows that
+    repeat a text stay or go together; without labels of both kinds nothing or everything goes; no document, no result."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), crc_of_id() % 3 != 1)
     return toxicity.clean_rows(docs, model).select(*COLUMNS)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: texts without a letter go."""
+    """Documents whose language can be told: null texts and texts without a letter go, and all if no language is labelled."""
     return langid.known_rows(docs, langid.train(docs, crc_of_id() % 5 != 0)).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id."""
+    """Of equal texts the document with the largest doc_id; null counts as empty. Rows with null ids stay, and of rows that repeat
+    an id and a text all stay if one does."""
     return exact.survivors(docs, keep="max").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least doc_id, of each class of near copies."""
+    """One document, the one with the least doc_id, of each class of near copies. Rows with null ids stay, and rows that repeat an
+    id stay or go together."""
     return minhash.survivors(docs).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 2048 tokens, with their token ids."""
+    """The pieces of sequences of 2048 tokens, with their token ids. A null text is its end token alone, a null source a queue of
+    its own name ''; repeated rows are packed each; no document, no piece."""
     return packing.pack(docs, TOKENIZER, capacity=2048, end_id=1)
 
 

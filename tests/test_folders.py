@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caloris.operators import matrices, reports
-from caloris.sources import folders
+from caloris.sources import folders, graph_io
 
 
 def test_grid_folder_is_read_repaired_and_written(spark, tmp_path):
@@ -89,3 +89,15 @@ def test_matrix_checks_raise_what_is_wrong(spark):
     with pytest.raises(ValueError, match="g_asymmetric 0-1"):
         matrices.raise_if_any(matrices.check_conductance(nodes, g.where("row = 0"), nodes), "bad")
     assert matrices.has_conduction(g) and not matrices.has_conduction(g.withColumn("value", F.lit(0.0)))
+
+
+def test_gain_runs_are_replaced_and_temperatures_travel(spark, tmp_path):
+    g = spark.createDataFrame([(1, 2, 0.5)], "sensor_id long, heater_id long, gain double")
+    a, b = (graph_io.save_gains(g, str(tmp_path), n) for n in "ab")
+    graph_io.update_gains(g.withColumn("gain", F.lit(0.75)), str(tmp_path), a)
+    assert graph_io.load_gains(spark, str(tmp_path), a).first().gain == 0.75 and graph_io.load_gains(spark, str(tmp_path), b).first().gain == 0.5
+    nodes = spark.createDataFrame([(1, 300.0), (2, 310.0)], "node_id long, temperature_k double")
+    assert graph_io.temperature_payload(nodes).first()[0] == {"1": 300.0, "2": 310.0}
+    payload = spark.createDataFrame([({"1": "250", "x": "1", "9": "2", "2": "warm"},)], "initial_temperature_by_node_K map<string,string>")
+    rows, n = graph_io.apply_payload(nodes, payload)
+    assert n == 1 and {r.node_id: r.temperature_k for r in rows.collect()} == {1: 250.0, 2: 310.0}
