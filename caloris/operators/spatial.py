@@ -73,7 +73,9 @@ def self_pairs(boxes: DataFrame, pad: float, id_col: str) -> DataFrame:
     p, q = F.col(f"p_{id_col}"), F.col(f"q_{id_col}")
     found = _met(found.where((F.col("q_lvl") > F.col("p_lvl")) | ((F.col("q_lvl") == F.col("p_lvl")) & (p < q))), pad, "p_", "q_")
     pick = lambda c, first: F.when((p < q) == F.lit(first), F.col(f"p_{c}")).otherwise(F.col(f"q_{c}"))
-    return found.select(*[pick(c, True).alias(f"a_{c}") for c in names], *[pick(c, False).alias(f"b_{c}") for c in names])
+    # a generator of one row puts the pair in order once; inlined into every later use it would be too much to compile
+    pair = F.explode(F.array(F.struct(*[pick(c, True).alias(f"a_{c}") for c in names], *[pick(c, False).alias(f"b_{c}") for c in names])))
+    return found.select(pair.alias("pair")).select("pair.*")
 
 
 def pairs(left: DataFrame, right: DataFrame, pad: float) -> DataFrame:
