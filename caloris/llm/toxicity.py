@@ -164,24 +164,32 @@ def _with_mentions(features: np.ndarray, swaps: Swaps) -> np.ndarray:
 
 
 class Design(NamedTuple):
-    """Present columns (row, column) of the texts, and of both sides of the counterfactuals."""
+    """Present columns (row, column) of the texts, and the columns (pair, column, sign) that only one side of each
+    counterfactual has: 1 for the original, -1 for the other."""
 
     row: np.ndarray
     col: np.ndarray
     texts: int
-    sides: tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    pair: np.ndarray
+    own: np.ndarray
+    sign: np.ndarray
     pairs: int
 
 
 def _design(texts: Sequence[str], features: np.ndarray, swaps: Swaps) -> Design:
     pairs = [p for x in texts for p in counterfactuals(x, swaps)]
     row, col = _matrix(texts, features)
-    return Design(row, col, len(texts), tuple(_matrix([p[i] for p in pairs], features) for i in (0, 1)), len(pairs))
+    width = max(len(features), 1)
+    left, right = (np.array(r * width + c, np.int64) for r, c in (_matrix([p[i] for p in pairs], features) for i in (0, 1)))
+    first, second = np.setdiff1d(left, right, assume_unique=True), np.setdiff1d(right, left, assume_unique=True)
+    key, sign = np.concatenate([first, second]), np.repeat([1, -1], [len(first), len(second)])
+    order = np.argsort(key, kind="stable")
+    return Design(row, col, len(texts), key[order] // width, key[order] % width, sign[order], len(pairs))
 
 
 def _solve(features: np.ndarray, design: Design, y: np.ndarray, counterfactual: float) -> Model:
     n, positive, pairs = len(y), float(y.sum()), design.pairs
-    row, col, ((r1, c1), (r2, c2)) = design.row, design.col, design.sides
+    row, col, pair, own, sign = design.row, design.col, design.pair, design.own, design.sign
     weights, bias = np.zeros(len(features)), 0.0
     cost = np.where(y > 0, 0.5 / positive, 0.5 / (n - positive))  # both classes weigh the same
     square = np.full(len(features) + 1, 1e-8)
@@ -189,17 +197,15 @@ def _solve(features: np.ndarray, design: Design, y: np.ndarray, counterfactual:
         z = np.bincount(row, weights[col], n) + bias
         error = (1 / (1 + np.exp(-z)) - y) * cost
         grad = np.bincount(col, error[row], len(features)) + RIDGE * weights
-        if pairs and counterfactual:
-            change = (np.bincount(r1, weights[c1], pairs) - np.bincount(r2, weights[c2], pairs)) * (2 * counterfactual / pairs)
-            grad += np.bincount(c1, change[r1], len(features)) - np.bincount(c2, change[r2], len(features))
+        if len(pair) and counterfactual:
+            change = np.bincount(pair, sign * weights[own], pairs) * (2 * counterfactual / pairs)
+            grad += np.bincount(own, sign * change[pair], len(features))
         grad = np.append(grad, error.sum())
         square += grad**2
         step = 0.5 * grad / np.sqrt(square)
         weights -= step[:-1]
         bias -= step[-1]
-    width = max(len(features), 1)
-    differ = np.setxor1d(r1 * width + c1, r2 * width + c2) // width
-    return Model(features, weights, bias, pairs, len(np.unique(differ)))
+    return Model(features, weights, bias, pairs, len(np.unique(pair)))
 
 
 def mean_change(model: Model, texts: Sequence[str], swaps: Swaps) -> float:
@@ -303,21 +309,27 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, *, label_col: str =
 
     def design_in(texts: list[str], y: np.ndarray) -> dict:
         d = _design(texts, features, swaps)
-        lists = lambda r, c, m: pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(m + 1)).astype(np.int32)), pa.array(c.astype(np.int32)))
-        empty = pa.array([None] * d.pairs, pa.int32())
-        left, right = (lists(r, c, d.pairs) for r, c in d.sides)
-        return {"y": pa.concat_arrays([pa.array(y.astype(np.int32)), empty]), "here": pa.concat_arrays([lists(d.row, d.col, d.texts), left]), "there": pa.concat_arrays([pa.array([[]] * d.texts, pa.list_(pa.int32())), right])}
 
-    # present columns of the sample and of its counterfactuals: bounded by the sample and MENTIONS
-    got = _in_tasks(sample, design_in, "y int, here array<int>, there array<int>").toArrow()
+        def lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+        # a counterfactual's columns carry their sign: column + 1, or its negative
+        return {
+            "y": pa.concat_arrays([pa.array(y.astype(np.int32)), pa.array([None] * d.pairs, pa.int32())]),
+            "columns": pa.concat_arrays([lists(d.row, d.col, d.texts), lists(d.pair, d.sign * (d.own + 1), d.pairs)]),
+        }
+
+    # present columns of the sample, and what differs in its counterfactuals: bounded by the sample and MENTIONS
+    got = _in_tasks(sample, design_in, "y int, columns array<int>").toArrow()
     is_text = pa.compute.is_valid(got["y"])
-    texts, sides = got.filter(is_text), got.filter(pa.compute.invert(is_text))
+    texts, others = got.filter(is_text), got.filter(pa.compute.invert(is_text))
 
     def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
         return np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False)), column.flatten().to_numpy().astype(np.int64)
 
-    design = Design(*flat(texts["here"]), texts.num_rows, (flat(sides["here"]), flat(sides["there"])), sides.num_rows)
+    pair, signed = flat(others["columns"])
+    design = Design(*flat(texts["columns"]), texts.num_rows, pair, np.abs(signed) - 1, np.sign(signed), others.num_rows)
     return _solve(features, design, texts["y"].to_numpy().astype(np.int64), counterfactual)
 
 
