@@ -200,13 +200,13 @@ def level_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return octree.histograms(views.cells(spark, sf_dir))
 
 
-@query(sql("cells", "SELECT node_id AS cell, (n * 8 + d) AS child FROM (SELECT node_id, node_id % 4 AS n, unnest(range(0, 8)) AS d FROM cells)"))
+@query(sql("cells", "SELECT node_id AS cell, (n * 8 + d) AS child, cx + (2 * (d // 4) - 1) * s / 4 AS x, cy + (2 * (d // 2 % 2) - 1) * s / 4 AS y, cz + (2 * (d % 2) - 1) * s / 4 AS z, s / 2 AS size_mm, level + 1 AS level FROM (SELECT *, node_id % 4 AS n, unnest(range(0, 8)) AS d FROM cells)"))
 def subdivision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cell's eight children, numbered."""
+    """Every cell's eight children: numbers, centres and sizes."""
     c = views.cells(spark, sf_dir).withColumn("cell_id", F.concat((F.col("node_id") % 4).cast("string"), F.lit("_"), F.col("node_id").cast("string"), F.lit("_")))
     kids = octree.subdivide(c)
     parts = F.split("cell_id", "_")
-    return kids.select(parts[1].cast("long").alias("cell"), (parts[0].cast("long") * 8 + parts[2].cast("long")).alias("child"))
+    return kids.select(parts[1].cast("long").alias("cell"), (parts[0].cast("long") * 8 + parts[2].cast("long")).alias("child"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), F.col("sx").alias("size_mm"), "level")
 
 
 @query("""SELECT CAST(p_partkey AS BIGINT) AS id, round(greatest(0, CASE WHEN p_size % 7 = 0 THEN 120 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 7500 + 250 * (p_size % 4) ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 90 + 5 * (p_size % 4) ELSE 0 END

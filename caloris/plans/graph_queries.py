@@ -47,9 +47,9 @@ def laplacian_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.laplacian(grid_conductance(spark, sf_dir)).select("row", "col", rounded("value"))
 
 
-@query("SELECT 0.0::DOUBLE AS max_delta, true AS symmetric")
+@query(sql("cells mats props grid gedges ends", ", l AS (SELECT node, other, -sum(g) AS v FROM ends GROUP BY ALL) SELECT round(max(abs(a.v - coalesce(b.v, 0))), 9) AS max_delta, max(abs(a.v - coalesce(b.v, 0))) <= 1e-12 AS symmetric FROM l a LEFT JOIN l b ON a.node = b.other AND a.other = b.node"))
 def laplacian_symmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.asymmetry(graph.laplacian(grid_conductance(spark, sf_dir)))
+    return graph.asymmetry(graph.laplacian(grid_conductance(spark, sf_dir))).select(rounded("max_delta", 9), "symmetric")
 
 
 @query(sql("cells mats props grid gedges ends", """SELECT node_id, CAST(count(other) AS BIGINT) AS degree, CAST(count(DISTINCT other) AS BIGINT) AS neighbours, CAST(count(DISTINCT CASE WHEN other % 2 = 0 THEN other END) AS BIGINT) AS visible_neighbours
