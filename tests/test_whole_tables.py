@@ -7,8 +7,10 @@ from collections import Counter
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from caloris import catalog
-from caloris.functions.text import COLOUR_STOPS
+from caloris.functions.text import COLOUR_STOPS, hex_colour
 
 BRANDS, TYPES = ("Brand#1", "Brand#2", "Brand#7"), ("SMALL", "PROMO", "ECONOMY")
 
@@ -69,7 +71,7 @@ def test_reports_of_every_part(spark, small):
     assert [r.node_id for r in run(spark, small, "largest_nodes_all")] == sorted(n for n in part if size[n] > 10)[:20]
 
 
-def test_matrix_edges_neighbours_and_colours_of_every_row(spark, small):
+def test_matrix_edges_and_neighbours_of_every_row(spark, small):
     lines = pd.read_parquet(f"{small}/lineitem.parquet")
     known = set(range(1, 21))
     want = Counter((a, b) for a, b, d in zip(lines.l_suppkey, lines.l_partkey, lines.l_discount, strict=True) if a < b and d > 0 and {a, b} <= known)
@@ -78,12 +80,11 @@ def test_matrix_edges_neighbours_and_colours_of_every_row(spark, small):
     both = {(a, b) for x in pairs for a, b in (x, x[::-1]) if a % 5 == 0 and b % 5}
     assert {(r.role_node, r.other) for r in run(spark, small, "body_neighbours_all")} == both
 
-    def colour(n):
-        t = n / 24 * (len(COLOUR_STOPS) - 1)
-        k = min(int(t), len(COLOUR_STOPS) - 2)
-        return "#" + "".join(f"{int(a * (1 - (t - k)) + b * (t - k) + 0.5):02x}" for a, b in zip(COLOUR_STOPS[k], COLOUR_STOPS[k + 1], strict=True))
 
-    assert {r.id: r.colour for r in run(spark, small, "colour_scale_all")} == {n: colour(n) for n in range(25)}
+def test_the_colour_scale_meets_its_stops(spark):
+    rows = spark.createDataFrame([(400.0 * t, c) for t, c in COLOUR_STOPS] + [(-5.0, "#d9d9d9"), (999.0, "#5a001f")], "t double, want string")
+    got = rows.select("want", hex_colour(F.col("t"), F.lit(0.0), F.lit(400.0)).alias("got"), hex_colour(F.col("t"), F.lit(7.0), F.lit(7.0)).alias("middle")).collect()
+    assert all(r.got == r.want for r in got) and {r.middle for r in got} == {"#5fb917"}
 
 
 def test_surface_octree_reaches_every_layer(spark, tmp_path):
