@@ -18,7 +18,8 @@ def face_normal(offset: Column) -> Column:
 def drag_count(dx: Column, dy: Column, direction_x: Column, direction_y: Column, pixels: float = 80.0) -> Column:
     """Whole cells that a drag covers along a direction on the screen; none against it or without a direction."""
     length = F.sqrt(direction_x * direction_x + direction_y * direction_y)
-    along = F.floor((dx * direction_x + dy * direction_y) / length / pixels)
+    # the direction is normalised before the drag is projected on it: in any other order whole cells are lost or won at their borders
+    along = F.floor((dx * (direction_x / length) + dy * (direction_y / length)) / pixels)
     return F.coalesce(F.when(length > 1e-9, F.greatest(along, F.lit(0))), F.lit(0)).cast("int")
 
 
