@@ -77,7 +77,7 @@ def _near_tests(cells: DataFrame, triangles: DataFrame, p: Params) -> DataFrame:
             keyed = keyed.withColumn(f"k{a}", F.floor(F.col(f"c{a}") / size).cast("long"))
             rows = rows.withColumns({f"l{a}": low, f"h{a}": high}).withColumn(f"k{a}", F.explode(F.sequence(F.floor((F.col(f"l{a}") - margin - 1e-9) / size - 0.5).cast("long"), F.floor((F.col(f"h{a}") + margin + 1e-9) / size + 0.5).cast("long"))))
             inside = inside & (F.col(f"l{a}") <= F.col(f"c{a}") + size / 2 + F.lit(0.0)) & (F.col(f"h{a}") >= F.col(f"c{a}") - size / 2)
-        met = keyed.join(rows, [f"k{a}" for a in AXES])
+        met = octree.met(keyed, rows)
         for a in AXES:
             met = met.where((F.col(f"l{a}") <= F.col(f"c{a}") + size / 2 + margin) & (F.col(f"h{a}") >= F.col(f"c{a}") - size / 2 - margin))
         met = met.select("cell_id", "component", "tri", *[f"{v}{a}" for v in "cs" for a in AXES], inside.alias("inside"))

@@ -15,6 +15,8 @@ AXES = ("x", "y", "z")
 RAY = (1.0, 0.3713906763541037, 0.1937728766089219)
 #: Sample points of a cell, and the part of them that a triangle in the cell stands for.
 SAMPLES, SURFACE_SHARE = 9, 0.12
+#: Cells that are broadcast to the triangles.
+FEW_CELLS = 10_000
 
 
 def subdivide(cells: DataFrame) -> DataFrame:
@@ -33,6 +35,16 @@ def sample_points(count: int) -> list[tuple[float, float, float]]:
     return sorted(product(steps, repeat=3), key=lambda p: (math.sqrt(sum(x * x for x in p)), p))[:count]
 
 
+def met(cells: DataFrame, triangles: DataFrame) -> DataFrame:
+    """The equi-join of cells with the triangles that are dealt to their grid cells (kx, ky, kz).
+
+    Spark takes the dealt triangles for as small as the file that their keys came from, so it must not choose what to
+    broadcast: cells are as long as they are few, so that the triangles stay where they are, and else both are shuffled.
+    """
+    keys = [f"k{a}" for a in AXES]
+    return triangles.join(F.broadcast(cells), keys) if cells.count() <= FEW_CELLS else triangles.hint("merge").join(cells, keys)
+
+
 def touched(cells: DataFrame, triangles: DataFrame) -> DataFrame:
     """cell_id, component of each component a triangle of which meets the cell. Triangles: component, tri (9 doubles).
 
@@ -48,7 +60,7 @@ def touched(cells: DataFrame, triangles: DataFrame) -> DataFrame:
         low, high = (f(*[F.col("tri")[3 * v + n] for v in range(3)]) for f in (F.least, F.greatest))
         keyed = keyed.withColumn(f"k{a}", F.floor(F.col(f"c{a}") / s).cast("long"))
         rows = rows.withColumn(f"k{a}", F.explode(F.sequence(F.floor((low - 1e-6) / s - 0.5).cast("long"), F.floor((high + 1e-6) / s + 0.5).cast("long"))))
-    pairs = keyed.join(rows, [f"k{a}" for a in AXES]).select("cell_id", "component", "tri", *[f"c{a}" for a in AXES], *[f"s{a}" for a in AXES])
+    pairs = met(keyed, rows).select("cell_id", "component", "tri", *[f"c{a}" for a in AXES], *[f"s{a}" for a in AXES])
     return triangle_hits(pairs).select("cell_id", "component").distinct()
 
 
@@ -60,7 +72,7 @@ def inside(points: DataFrame, triangles: DataFrame, bounds: DataFrame) -> DataFr
     length = math.sqrt(sum(r * r for r in RAY))
     d = [r / length for r in RAY]
     within = points.join(F.broadcast(bounds) if bounds.count() <= 10_000 else bounds, F.expr(" AND ".join(f"{a} BETWEEN low_{a} AND high_{a}" for a in AXES)))
-    rows = within.select("point_id", "component", *AXES).join(triangles, "component")
+    rows = within.select("point_id", "component", *AXES).join(triangles.hint("merge"), "component")  # not broadcast: see met
     v = [[F.col("tri")[3 * k + n] for n in range(3)] for k in range(3)]
     e1, e2 = [[b - a for a, b in zip(v[0], v[k], strict=True)] for k in (1, 2)]
     cross = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
