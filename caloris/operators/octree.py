@@ -55,12 +55,14 @@ def touched(cells: DataFrame, triangles: DataFrame) -> DataFrame:
         return cells.select("cell_id").limit(0).withColumn("component", F.lit(None).cast("string"))
     keyed = cells
     rows = triangles
+    near = F.lit(True)  # bounds meet: what is further apart need not pass the axes' tests
     for n, a in enumerate(AXES):
         s = float(size[a])
         low, high = (f(*[F.col("tri")[3 * v + n] for v in range(3)]) for f in (F.least, F.greatest))
         keyed = keyed.withColumn(f"k{a}", F.floor(F.col(f"c{a}") / s).cast("long"))
         rows = rows.withColumn(f"k{a}", F.explode(F.sequence(F.floor((low - 1e-6) / s - 0.5).cast("long"), F.floor((high + 1e-6) / s + 0.5).cast("long"))))
-    pairs = met(keyed, rows).select("cell_id", "component", "tri", *[f"c{a}" for a in AXES], *[f"s{a}" for a in AXES])
+        near = near & (low <= F.col(f"c{a}") + F.col(f"s{a}") / 2 + 1e-6) & (high >= F.col(f"c{a}") - F.col(f"s{a}") / 2 - 1e-6)
+    pairs = met(keyed, rows).where(near).select("cell_id", "component", "tri", *[f"c{a}" for a in AXES], *[f"s{a}" for a in AXES])
     return triangle_hits(pairs).select("cell_id", "component").distinct()
 
 
